@@ -3,24 +3,27 @@
 In the byte-level vocabularies used here a single space between two other
 characters always starts a new pre-token, a single line feed between two others
 is one, and so is a full stop or comma after a letter at a chunk's end.  A batch
-is cut there and dictionary-encoded by Arrow; distinct chunks that the worker
-does not remember are encoded by the tokenizers library, many at a time and
-parted by a carriage return, which is a token of its own there.  Texts with
+is cut there and dictionary-encoded by Arrow.  Distinct chunks that the worker
+does not remember are encoded by the tokenizers library: words of letters alone
+are one pre-token and go to its model directly, others many at a time, parted
+by a carriage return, which is a token of its own there.  Texts with
 runs of white space, or with white space of another kind, go to the library whole.
 """
 
 from __future__ import annotations
 
 import os
+import struct
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Chunks that one worker remembers: twice this at most, the older half goes first.
-MEMO = 300_000
+MEMO = 450_000
 
 _ODD = "[\\x{0}\t\r\v\f\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200b}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]|  | \n|\n |\n\n|^[ \n]|[ \n]$"
+_PACK = [struct.Struct(f"<{n}I") for n in range(32)]
 _LOADED: dict[str, "Encoder"] = {}
 
 
@@ -56,18 +59,42 @@ class Encoder:
         mark = self.tok.encode("a\r b", add_special_tokens=False).ids
         alone = self.tok.encode("\r", add_special_tokens=False).ids
         parts = [self.tok.encode(x, add_special_tokens=False).ids for x in ("a", " b")]
+        shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+        hidden = [b for b in range(256) if b not in set(shown)]
+        self.letters = {**{b: chr(b) for b in shown}, **{b: chr(256 + k) for k, b in enumerate(hidden)}}
+        probe = [" " + x for x in ("word", "Élève", "ñandú", "straße", "слово", "字")] + ["Word", "é"]
+        try:
+            self.direct = [self._model(x) for x in probe] == [x.tobytes() for x in self.whole(probe)]
+        except Exception:  # noqa: BLE001  another kind of model: everything is encoded in lots
+            self.direct = False
         self.mark = alone[0] if len(alone) == 1 and mark == parts[0] + alone + parts[1] else None
 
     def whole(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, "<u4") for e in self.tok.encode_batch(texts, add_special_tokens=False)]
+        return [np.array(e.ids, "<u4") for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _model(self, word: str) -> bytes:
+        """Ids of one pre-token."""
+        shown = "\u0120" + word[1:] if word.isascii() and word[:1] == " " else word.encode().decode("latin-1").translate(self.letters)
+        return np.array([t.id for t in self.tok.model.tokenize(shown)], "<u4").tobytes()
 
     def _learn(self, new: list[str]) -> None:
         """No chunk starts with white space before other than one space, so marks stay apart."""
+        if self.direct:
+            tokenize, letters, now, pack = self.tok.model.tokenize, self.letters, self.now, _PACK
+            rest = []
+            for w in new:
+                if w.isalpha() or w[:1] == " " and w[1:].isalpha():
+                    shown = "\u0120" + w[1:] if w.isascii() and w[0] == " " else w.encode().decode("latin-1").translate(letters)
+                    ids = [t.id for t in tokenize(shown)]
+                    now[w] = pack[len(ids)].pack(*ids) if len(ids) < 32 else np.array(ids, "<u4").tobytes()
+                else:
+                    rest.append(w)
+            new = rest
         step = 256
         lots = [new[k : k + step] for k in range(0, len(new), step)]
         for k in range(0, len(lots), 64):
             some = lots[k : k + 64]
-            for lot, e in zip(some, self.tok.encode_batch(["\r".join(x) for x in some], add_special_tokens=False), strict=True):
+            for lot, e in zip(some, self.tok.encode_batch_fast(["\r".join(x) for x in some], add_special_tokens=False), strict=True):
                 ids = np.array(e.ids, "<u4")
                 cut = np.flatnonzero(ids == self.mark)
                 raw, at = ids.tobytes(), 0
@@ -79,13 +106,9 @@ class Encoder:
         if len(self.now) > MEMO:
             self.now, self.old = {}, self.now
         now, old = self.now, self.old
-        new = []
-        for w in words:
-            if w not in now:
-                if w in old:
-                    now[w] = old[w]
-                else:
-                    new.append(w)
+        unknown = [w for w in words if w not in now]
+        now.update((w, old[w]) for w in unknown if w in old)
+        new = [w for w in unknown if w not in now] if old else unknown
         if new:
             self._learn(new)
         return [now[w] for w in words]
@@ -136,7 +159,7 @@ def encoder(path: str) -> Encoder:
     return _LOADED[path]
 
 
-def slices(texts: list[str | None], most: int = 1 << 22):
+def slices(texts: list[str | None], most: int = 1 << 23):
     """Index ranges of at most so many characters (or one text) each."""
     at = size = 0
     for i, t in enumerate(texts):

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanloom.llm import htmltext, packing, tokenstore, warc
+from spanloom.llm import htmltext, minhash, packing, suffixdedup, tokenstore, toxicity, warc
 
 
 def tokenizer_path() -> str:
@@ -24,6 +24,18 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit_pack(_table(spark, sf_dir, "documents"), tokenizer_path(), 0, 2048)
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixdedup.repeat_report(_table(spark, sf_dir, "documents"), 400, "none")
+
+
+def op4_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenstore.token_round_trip(_table(spark, sf_dir, "documents"), tokenizer_path(), 2)
 
@@ -48,7 +60,7 @@ FROM p LEFT JOIN k ON p.d = k.d AND p.n >= 1000
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_best_fit_packing, op5_token_files, op6_warc, op7_html_text)
+    found = (op1_best_fit_packing, op2_toxicity, op3_suffix_dedup, op4_dart_minhash, op5_token_files, op6_warc, op7_html_text)
     return {f.__name__: f for f in found}
 
 

@@ -46,7 +46,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if not _POW or len(_POW[0]) < n:
         size = max(n, 1 << 16)
         inverse = pow(_MULT, -1, 1 << 64)
-        _POW[:] = [np.cumprod(np.concatenate(([1], np.full(size - 1, b, _U))).astype(_U), dtype=_U) for b in (_MULT, inverse)]
+        _POW[:] = [np.cumprod(np.concatenate((np.ones(1, _U), np.full(size - 1, b, _U))), dtype=_U) for b in (_MULT, inverse)]
     return _POW[0][:n], _POW[1][:n]
 
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Chunks that one worker remembers: twice this at most, the older half goes first.
-MEMO = 450_000
+MEMO = 300_000
 
 _ODD = "[\\x{0}\t\r\v\f\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200b}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]|  | \n|\n |\n\n|^[ \n]|[ \n]$"
 _PACK = [struct.Struct(f"<{n}I") for n in range(32)]
@@ -149,6 +149,7 @@ class Encoder:
         bounds = np.concatenate(([0], np.cumsum(sizes)))
         for i, h, a, z in zip(plain, self.whole(heads), bounds[:-1], bounds[1:], strict=True):
             out[i] = np.concatenate((h, flat[a:z]))
+        pa.default_memory_pool().release_unused()
         return out
 
 
@@ -159,7 +160,7 @@ def encoder(path: str) -> Encoder:
     return _LOADED[path]
 
 
-def slices(texts: list[str | None], most: int = 1 << 23):
+def slices(texts: list[str | None], most: int = 1 << 22):
     """Index ranges of at most so many characters (or one text) each."""
     at = size = 0
     for i, t in enumerate(texts):

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanloom.llm import htmltext, minhash, packing, suffixdedup, tokenstore, toxicity, warc
+from spanloom.llm import decontam, htmltext, minhash, packing, quality, suffixdedup, tokenstore, toxicity, warc
 
 
 def tokenizer_path() -> str:
@@ -48,6 +48,14 @@ def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.extract_main_text(_table(spark, sf_dir, "pages"))
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_scores(_table(spark, sf_dir, "documents"))
+
+
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.leak_report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 OP6_SQL = """
 WITH p AS (
   SELECT page_id, url, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS d FROM pages),
@@ -60,7 +68,7 @@ FROM p LEFT JOIN k ON p.d = k.d AND p.n >= 1000
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_best_fit_packing, op2_toxicity, op3_suffix_dedup, op4_dart_minhash, op5_token_files, op6_warc, op7_html_text)
+    found = (op1_best_fit_packing, op2_toxicity, op3_suffix_dedup, op4_dart_minhash, op5_token_files, op6_warc, op7_html_text, op8_quality, op10_decontamination)
     return {f.__name__: f for f in found}
 
 

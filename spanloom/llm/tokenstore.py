@@ -32,8 +32,8 @@ from spanloom.llm.storage import discard, fresh_path, fs_of, make_dir, normal_ur
 from spanloom.llm.tokens import encoder, slices
 
 PRECISION = 18
-LANES = 1024
-BLOCK = 1 << 18
+LANES = 2048
+BLOCK = 1 << 19
 MAGIC = b"SLRANS01"
 _LOW = np.uint64(1 << 31)
 _HEAD = struct.Struct("<6I")
@@ -189,7 +189,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, folder: str) -> t
     spark.sparkContext._jvm.System.gc()  # lets the range shuffle of the texts go
     ends = table.where("counts is not null")
     # Tables of counts are added up in two streaming steps; the driver gets one.
-    some = ends.select("counts").repartition(max(1, int(parts**0.5))).mapInArrow(_summed, "counts binary").coalesce(1).mapInArrow(_summed, "counts binary")
+    some = ends.select("counts").repartition(max(1, int(parts**0.5))).mapInArrow(_summed, "counts binary").repartition(1).mapInArrow(_summed, "counts binary")
     raw = [np.frombuffer(r[0], "<i8") for r in some.collect()]
     counts = max(raw, key=len, default=np.zeros(0, np.int64))
     freq = quantised(counts if len(counts) else np.ones(1, np.int64))

@@ -205,7 +205,7 @@ def near_duplicates(docs: DataFrame, carry: list[str] | None = None) -> DataFram
     and kept; with carry, the named columns of docs too."""
     ship(docs.sparkSession)
     carry = carry or []
-    cols = [F.col("doc_id").cast("long").alias("_doc"), F.col("text").cast("string").alias("_text"), *(F.col(c) for c in carry)]
+    cols = [F.col("doc_id").cast("long").alias("_doc"), F.col("text").cast("string").alias("_text"), *(F.col(c) for c in carry if c not in ("doc_id", "text"))]
     rows = _signatures(docs.select(*cols))
     best = F.min(F.struct(F.col("_doc").isNull().alias("z"), F.col("_doc").alias("d"), F.col("_rid").alias("r")))
     classes = written(rows.where("_set is not null").groupBy("_set").agg(best.alias("b"), F.count("*").alias("n")).select("_set", F.col("b.r").alias("node"), F.col("b.d").alias("doc"), "n"), "classes")
@@ -240,7 +240,7 @@ def near_duplicates(docs: DataFrame, carry: list[str] | None = None) -> DataFram
     table = ends.join(named, "component").select("node", F.col("b.d").alias("class_id"), F.col("b.r").alias("stays"), "n_class")
     table = written(classes.select("_set", "node").join(table, "node").drop("node"), "groups")
     out = rows.join(table, "_set", "left").select(
-        *[F.col(f"`{c}`") for c in carry],
+        *[F.col({"doc_id": "_doc", "text": "_text"}.get(c, f"`{c}`")).alias(c) for c in carry],
         *([] if "doc_id" in carry else [F.col("_doc").alias("doc_id")]),
         F.when(F.col("stays").isNull(), F.col("_doc")).otherwise(F.col("class_id")).alias("class_id"),
         F.coalesce("n_class", F.lit(1)).cast("long").alias("n_class"),

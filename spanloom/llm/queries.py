@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanloom.llm import decontam, htmltext, minhash, packing, quality, suffixdedup, tokenstore, toxicity, warc
+from spanloom.llm import decontam, egojoin, htmltext, minhash, packing, quality, suffixdedup, tokenstore, toxicity, warc
 
 
 def tokenizer_path() -> str:
@@ -52,6 +52,10 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(_table(spark, sf_dir, "documents"))
 
 
+def op9_epsilon_grid_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return egojoin.epsilon_links(_table(spark, sf_dir, "embeddings"), 0.9)
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.leak_report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -68,7 +72,7 @@ FROM p LEFT JOIN k ON p.d = k.d AND p.n >= 1000
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_best_fit_packing, op2_toxicity, op3_suffix_dedup, op4_dart_minhash, op5_token_files, op6_warc, op7_html_text, op8_quality, op10_decontamination)
+    found = (op1_best_fit_packing, op2_toxicity, op3_suffix_dedup, op4_dart_minhash, op5_token_files, op6_warc, op7_html_text, op8_quality, op9_epsilon_grid_join, op10_decontamination)
     return {f.__name__: f for f in found}
 
 

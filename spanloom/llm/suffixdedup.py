@@ -408,12 +408,13 @@ def repeated_ranges(rows: DataFrame, length: int = LENGTH, keep: str = "none", g
     if size:
         discard(contexts)
     _let_go(spark)
-    solved = classes.select("h", "ctx", "c", F.col("rid").alias("rep"), F.col("first").alias("rep_first")).join(runs, ["h", "ctx"], "left").where("c > 1 or runs is not null")
+    # Written before the next join, so that its exchanges stand alone and hot classes can be split.
+    solved = written(classes.select("h", "ctx", "c", F.col("rid").alias("rep"), F.col("first").alias("rep_first")).join(runs, ["h", "ctx"], "left").where("c > 1 or runs is not null"), "solved")
     whole = ~(F.col("rid").eqNullSafe(F.col("rep")) & (F.col("first") == F.col("rep_first"))) if first else F.col("c") > 1
     hits = found.join(solved, ["h", "ctx"]).select("rid", "first", F.when(whole, F.array(F.lit(0), F.col("n"))).otherwise(F.col("runs")).alias("runs")).where("runs is not null")
     lists = hits.groupBy("rid").agg(F.collect_list(F.struct("first", "runs")).alias("hits"))
     out = written(lists, "ranges")
-    discard(found, classes, runs)
+    discard(found, classes, runs, solved)
     return out
 
 

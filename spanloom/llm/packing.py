@@ -102,7 +102,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int) -> DataF
         part = TaskContext.get().partitionId()
         enc, seen, tail = encoder(tokenizer), defaultdict(int), np.array([end_id], "<u4")
         for b in batches:
-            ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
+            ids, texts = b.column(0).to_pylist(), b.column(1)
             for lo, hi in slices(texts):
                 out = []
                 for doc, tok in zip(ids[lo:hi], enc.batch(texts[lo:hi]), strict=True):

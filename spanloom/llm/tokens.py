@@ -20,9 +20,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Chunks that one worker remembers: twice this at most, the older half goes first.
-MEMO = 300_000
+MEMO = 250_000
 
-_ODD = "[\\x{0}\t\r\v\f\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200b}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]|  | \n|\n |\n\n|^[ \n]|[ \n]$"
+_ODD = "[\\x{0}\\x{1}\t\r\v\f\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200b}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]|  | \n|\n |\n\n|^[ \n]|[ \n]$"
 _PACK = [struct.Struct(f"<{n}I") for n in range(32)]
 _LOADED: dict[str, "Encoder"] = {}
 
@@ -113,28 +113,28 @@ class Encoder:
             self._learn(new)
         return [now[w] for w in words]
 
-    def batch(self, texts: list[str | None]) -> list[np.ndarray]:
+    def batch(self, texts: pa.Array | list[str | None]) -> list[np.ndarray]:
         """Ids of each text; null counts as the empty text."""
+        texts = texts.cast(pa.large_string()) if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())
         out: list[np.ndarray] = [np.zeros(0, "<u4")] * len(texts)
-        odd = pc.fill_null(pc.match_substring_regex(pa.array(texts, pa.large_string()), _ODD), False).to_pylist()
-        plain = [i for i, t in enumerate(texts) if t and self.mark is not None and not odd[i]]
-        fast = set(plain)
-        rest = [i for i, t in enumerate(texts) if t and i not in fast]
-        if rest:
-            for i, ids in zip(rest, self.whole([texts[i] for i in rest]), strict=True):
+        size = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+        odd = pc.fill_null(pc.match_substring_regex(texts, _ODD), False).to_numpy(zero_copy_only=False)
+        plain = np.flatnonzero((size > 0) & ~odd) if self.mark is not None else np.zeros(0, np.int64)
+        rest = np.flatnonzero((size > 0) & odd) if self.mark is not None else np.flatnonzero(size > 0)
+        if len(rest):
+            for i, ids in zip(rest.tolist(), self.whole(texts.take(pa.array(rest)).to_pylist()), strict=True):
                 out[i] = ids
-        if not plain:
+        if not len(plain):
             return out
-        # A first chunk has no space before it: it is encoded apart.
-        heads, tails = [], []
-        for i in plain:
-            head, more, tail = texts[i].partition(" ")
-            heads.append(head)
-            tails.append(tail if more else None)
-        lists = pc.split_pattern(pa.array(tails, pa.large_string()), " ")
-        n = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        one = lambda x: pa.scalar(x, pa.large_string())
+        # A first chunk has no space before it: it is marked.
+        marked = pc.binary_join_element_wise(one("\x01"), texts if len(plain) == len(texts) else texts.take(pa.array(plain)), one(""))
+        lists = pc.split_pattern(marked, " ")
+        n = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
         coded = pc.dictionary_encode(lists.flatten())
-        spaced = pc.binary_join_element_wise(*(pa.scalar(x, pa.large_string()) if isinstance(x, str) else x for x in (" ", coded.dictionary, "")))
+        del lists, marked
+        spaced = pc.binary_join_element_wise(one(" "), coded.dictionary, one(""))
+        spaced = pc.replace_substring(spaced, " \x01", "")
         cut = pc.replace_substring_regex(spaced, r"(\pL)([.,]?)\n", "\\1\x00\\2\x00\n\x00")
         cut = pc.replace_substring_regex(cut, r"(\pL)([.,])$", "\\1\x00\\2")
         parts = pc.split_pattern(cut, "\x00")
@@ -143,12 +143,13 @@ class Encoder:
         raws = self._chunks(coded_parts.dictionary.to_pylist())
         sizes = np.fromiter(map(len, raws), np.int64, len(raws)) // 4
         flat = np.frombuffer(b"".join(raws), "<u4")
+        del raws, parts, cut, spaced
         # Ids of the distinct chunks, then of all chunks in order.
         flat, sizes = _expand(flat, sizes, coded_parts.indices, n_parts)
         flat, sizes = _expand(flat, sizes, coded.indices, n)
-        bounds = np.concatenate(([0], np.cumsum(sizes)))
-        for i, h, a, z in zip(plain, self.whole(heads), bounds[:-1], bounds[1:], strict=True):
-            out[i] = np.concatenate((h, flat[a:z]))
+        ends = np.cumsum(sizes)
+        for i, a, z in zip(plain.tolist(), (ends - sizes).tolist(), ends.tolist(), strict=True):
+            out[i] = flat[a:z]
         pa.default_memory_pool().release_unused()
         return out
 
@@ -160,14 +161,14 @@ def encoder(path: str) -> Encoder:
     return _LOADED[path]
 
 
-def slices(texts: list[str | None], most: int = 1 << 22):
-    """Index ranges of at most so many characters (or one text) each."""
+def slices(texts: pa.Array | list[str | None], most: int = 1 << 22):
+    """Index ranges of at most so many bytes or characters (or one text) each."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_pylist() if isinstance(texts, pa.Array) else [len(t or "") for t in texts]
     at = size = 0
-    for i, t in enumerate(texts):
-        n = len(t or "")
+    for i, n in enumerate(sizes):
         if i > at and size + n > most:
             yield at, i
             at, size = i, 0
         size += n
-    if at < len(texts):
-        yield at, len(texts)
+    if at < len(sizes):
+        yield at, len(sizes)

@@ -146,7 +146,7 @@ def _tokenised(docs: DataFrame, tokenizer: str, end_id: int, parts: int) -> Data
             )
 
         for b in batches:
-            names, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
+            names, texts = b.column(0).to_pylist(), b.column(1)
             for lo, hi in slices(texts):
                 some = [np.concatenate((t, tail)) for t in enc.batch(texts[lo:hi])]
                 c = np.bincount(np.concatenate(some))

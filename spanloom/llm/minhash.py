@@ -11,8 +11,9 @@ coordinate with the probability of their weighted Jaccard similarity.
 
 BANDS bands of ROWS coordinates give bucket keys.  Documents with equal sets
 are one class and take part once.  In a bucket, members are compared with hubs
-(first one, then twice as many each round) rather than with one another; every
-comparison computes the exact similarity from the sets.  A further round takes
+rather than with one another: first one, chosen by hash of node and bucket, so that a
+large group meets many different hubs over its buckets; every comparison computes
+the exact similarity from the sets.  A further round takes
 only members of buckets whose members are not yet all connected, and leaves out pairs
 that the triangle inequality of the Jaccard distance rules out.  Connected
 components of the links are the groups; the row with the smallest doc_id stays.
@@ -31,6 +32,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from spanloom.llm.components import connected_components
@@ -41,6 +43,8 @@ COORDINATES = 100
 BANDS = 20
 ROWS = 5
 THRESHOLD = 0.8
+#: Hubs of a bucket that is still open: so many at first, so many times more each round.
+GROWTH = 16
 #: End of the first time cell: a document of this total weight needs no other.
 _FIRST = 2.0**-15
 _U = np.uint64
@@ -210,31 +214,31 @@ def near_duplicates(docs: DataFrame, carry: list[str] | None = None) -> DataFram
     best = F.min(F.struct(F.col("_doc").isNull().alias("z"), F.col("_doc").alias("d"), F.col("_rid").alias("r")))
     classes = written(rows.where("_set is not null").groupBy("_set").agg(best.alias("b"), F.count("*").alias("n")).select("_set", F.col("b.r").alias("node"), F.col("b.d").alias("doc"), "n"), "classes")
     reps = rows.join(classes.select(F.col("node").alias("_rid")), "_rid", "left_semi")
-    buckets = reps.select(F.col("_rid").alias("node"), F.explode("_bands").alias("band"))
-    hubs = buckets.groupBy("band").agg(F.min("node").alias("hub"), F.count("*").alias("m")).where("m > 1").drop("m")
+    buckets = reps.select(F.col("_rid").alias("node"), F.explode("_bands").alias("band")).withColumn("order", F.xxhash64("node", "band"))
+    hubs = buckets.groupBy("band").agg(F.min(F.struct("order", "node")).alias("h"), F.count("*").alias("m")).where("m > 1").select("band", F.col("h.node").alias("hub"))
     members = written(buckets.join(hubs, "band"), "buckets")
-    pairs = members.where("node <> hub").select(F.col("hub").alias("u"), F.col("node").alias("v")).distinct()
+    pairs = members.where("node <> hub").select(F.least("hub", "node").alias("u"), F.greatest("hub", "node").alias("v")).distinct()
     nodes = members.select("node").distinct()
     sets = written(_sets(rows.select(F.col("_rid").alias("node"), "_text").join(nodes, "node", "left_semi")), "sets")
     tested = written(_compared(pairs, sets), "compared")
-    comp = _groups(tested)
-    more = _open_buckets(members, tested, comp)
-    hubs_now = 1
+    comp = _merged(tested, None)
+    both = tested.select(F.col("u").alias("hub"), F.col("v").alias("node"), "sim").union(tested.select(F.col("v").alias("hub"), F.col("u").alias("node"), "sim"))
+    left = members.where("node <> hub").join(both, ["hub", "node"]).select("band", "node", "order", (1 - F.col("sim")).alias("d"))
+    more = _mixed(left, comp)
+    hubs_now = 0
     while True:
         open_now = written(more, "open")
         if open_now.isEmpty():
             break
         # The next hubs of each open bucket meet the members of other components.
-        hubs_now *= 2
-        ranked = open_now.withColumn("rank", F.rank().over(_by_rank()))
+        hubs_now = GROWTH * max(1, hubs_now)
+        ranked = open_now.withColumn("rank", F.row_number().over(W.partitionBy("band").orderBy("order")))
         h = ranked.where(F.col("rank") <= hubs_now).select("band", F.col("node").alias("hub"), F.col("component").alias("hc"), F.col("d").alias("hd"))
         pairs = ranked.join(h, "band").where((F.col("component") != F.col("hc")) & (F.abs(F.col("d") - F.col("hd")) <= 1 - THRESHOLD + 1e-9)).select(F.least("hub", "node").alias("u"), F.greatest("hub", "node").alias("v")).distinct()
-        fresh = pairs.join(tested.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")), ["u", "v"], "left_anti")
-        fresh = written(_compared(fresh, sets), "compared")
-        tested = written(tested.union(fresh), "compared")
-        comp = _groups(tested)
-        left = ranked.where(F.col("rank") > hubs_now).select("band", "node", "d")
-        more = _mixed(left, comp)
+        fresh = written(_compared(pairs.join(tested.select("u", "v"), ["u", "v"], "left_anti"), sets), "compared")
+        tested = tested.union(fresh)
+        comp = _merged(fresh, comp)
+        more = _mixed(ranked.where(F.col("rank") > hubs_now).select("band", "node", "order", "d"), comp)
     ends = comp.select("node", "component").join(classes.select("node", "doc", "n"), "node", "right").withColumn("component", F.coalesce("component", "node"))
     named = ends.groupBy("component").agg(F.min(F.struct(F.col("doc").isNull().alias("z"), F.col("doc").alias("d"), F.col("node").alias("r"))).alias("b"), F.sum("n").alias("n_class"))
     table = ends.join(named, "component").select("node", F.col("b.d").alias("class_id"), F.col("b.r").alias("stays"), "n_class")
@@ -250,20 +254,20 @@ def near_duplicates(docs: DataFrame, carry: list[str] | None = None) -> DataFram
     return out
 
 
-def _by_rank():
-    from pyspark.sql import Window as W
-
-    return W.partitionBy("band").orderBy("node")
-
-
-def _groups(tested: DataFrame) -> DataFrame:
-    return written(connected_components(tested.where(F.col("sim") >= THRESHOLD - 1e-12).select("u", "v")), "components")
-
-
-def _open_buckets(members: DataFrame, tested: DataFrame, comp: DataFrame) -> DataFrame:
-    """Members, except hubs, of buckets that more than one component shares."""
-    d = tested.select(F.col("u").alias("hub"), F.col("v").alias("node"), (1 - F.col("sim")).alias("d"))
-    return _mixed(members.where("node <> hub").join(d, ["hub", "node"]).select("band", "node", "d"), comp)
+def _merged(tested: DataFrame, comp: DataFrame | None) -> DataFrame:
+    """(node, component) after the links among newly tested pairs; components that no new
+    link touches stay as they are."""
+    links = tested.where(F.col("sim") >= THRESHOLD - 1e-12).select("u", "v")
+    if comp is None:
+        return written(connected_components(links), "components")
+    for c in ("u", "v"):
+        links = links.join(comp.withColumnRenamed("node", c), c, "left").withColumn(c, F.coalesce("component", c)).drop("component")
+    links = written(links.where("u <> v").distinct(), "links")
+    if links.isEmpty():
+        return comp
+    step = connected_components(links)
+    old = comp.join(step.select(F.col("node").alias("component"), F.col("component").alias("_new")), "component", "left").select("node", F.coalesce("_new", "component").alias("component"))
+    return written(old.union(step.join(comp, "node", "left_anti")), "components")
 
 
 def _mixed(left: DataFrame, comp: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Chunks that one worker remembers: twice this at most, the older half goes first.
-MEMO = 250_000
+MEMO = 150_000
 
 _ODD = "[\\x{0}\\x{1}\t\r\v\f\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200b}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]|  | \n|\n |\n\n|^[ \n]|[ \n]$"
 _PACK = [struct.Struct(f"<{n}I") for n in range(32)]
@@ -150,7 +150,6 @@ class Encoder:
         ends = np.cumsum(sizes)
         for i, a, z in zip(plain.tolist(), (ends - sizes).tolist(), ends.tolist(), strict=True):
             out[i] = flat[a:z]
-        pa.default_memory_pool().release_unused()
         return out
 
 
@@ -161,7 +160,7 @@ def encoder(path: str) -> Encoder:
     return _LOADED[path]
 
 
-def slices(texts: pa.Array | list[str | None], most: int = 1 << 22):
+def slices(texts: pa.Array | list[str | None], most: int = 1 << 23):
     """Index ranges of at most so many bytes or characters (or one text) each."""
     sizes = pc.fill_null(pc.binary_length(texts), 0).to_pylist() if isinstance(texts, pa.Array) else [len(t or "") for t in texts]
     at = size = 0

@@ -16,6 +16,8 @@ import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+BATCH_BYTES = 16 << 20
+_BATCH_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
 _FALLBACK: list[str] = []
 _SHIPPED: set[str] = set()
 
@@ -81,7 +83,10 @@ def shuffle_parts(spark: SparkSession) -> int:
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Send this package to Python workers that could not import it otherwise."""
+    """Send this package to Python workers that could not import it otherwise, and bound the
+    bytes of a batch that goes to Python where the session has no bound of its own."""
+    if spark.conf.get(_BATCH_KEY) == "67108864b":
+        spark.conf.set(_BATCH_KEY, str(BATCH_BYTES))
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     known = [os.path.abspath(p or ".") for p in os.environ.get("PYTHONPATH", "").split(os.pathsep)] + [os.getcwd()]
     app = spark.sparkContext.applicationId

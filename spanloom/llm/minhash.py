@@ -11,11 +11,13 @@ coordinate with the probability of their weighted Jaccard similarity.
 
 BANDS bands of ROWS coordinates give bucket keys.  Documents with equal sets
 are one class and take part once.  In a bucket, members are compared with hubs
-rather than with one another: first one, chosen by hash of node and bucket, so that a
-large group meets many different hubs over its buckets; every comparison computes
-the exact similarity from the sets.  A further round takes
-only members of buckets whose members are not yet all connected, and leaves out pairs
-that the triangle inequality of the Jaccard distance rules out.  Connected
+rather than with one another: first the most central one, the node whose buckets
+hold most members (of a group of edited copies, the text they come from or the
+nearest to it), then HUBS more where several components still share a bucket;
+every comparison computes the exact similarity from the sets.  Two texts that
+neither comparison connects can be alike only if they add a common shingle to
+their hub, which brings them together again, or if what the lesser of them keeps
+of the hub is enough for both; few are, and those are compared.  Connected
 components of the links are the groups; the row with the smallest doc_id stays.
 
 Defined cases: words are lower-cased runs as in ``words``; a text of one to
@@ -36,17 +38,17 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from spanloom.llm.components import connected_components
-from spanloom.llm.storage import discard, ship, written
+from spanloom.llm.storage import discard, ship, shuffle_parts, written
 from spanloom.llm.words import batch_word_hashes, mix, shingle_hashes
 
 COORDINATES = 100
 BANDS = 20
 ROWS = 5
 THRESHOLD = 0.8
-#: Hubs of a bucket that is still open: so many at first, so many times more each round.
-GROWTH = 16
-#: End of the first time cell: a document of this total weight needs no other.
-_FIRST = 2.0**-15
+#: Further hubs of a bucket that more than one component shares.
+HUBS = 4
+#: End of the first time cell; it holds a fraction of a dart per unit of weight.
+_FIRST = 2.0**-3
 _U = np.uint64
 _ONE = 1.0 / (1 << 53)
 
@@ -186,22 +188,69 @@ def _unpacked(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(u, v) -> (u, v, similarity)"""
+    """(u, v) -> (u, v, similarity, weights of both and of their overlap, what v adds)"""
+    kind = "u long, v long, sim double, a long, b long, both long, added binary"
 
     def run(batches):
         name, held = None, None
-        for b in batches:
-            sims = []
-            for u, x, y in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+        for batch in batches:
+            out = []
+            for u, v, x, y in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 if u != name:
                     name, held = u, _unpacked(x)
-                sims.append(similarity(held, _unpacked(y)))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sims, pa.float64())], names=["u", "v", "sim"])
+                own = _unpacked(y)
+                _, i, j = np.intersect1d(held[0], own[0], assume_unique=True, return_indices=True)
+                both = int(np.minimum(held[1][i], own[1][j]).sum())
+                a, b = int(held[1].sum()), int(own[1].sum())
+                sim = both / (a + b - both)
+                more = np.ones(len(own[0]), bool)
+                more[j[own[1][j] <= held[1][i]]] = False
+                out.append((u, v, sim, a, b, both, own[0][more].astype("<u4").tobytes()))
+            cols = list(zip(*out, strict=True)) or [[]] * 7
+            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=[x.split()[0] for x in kind.split(", ")])
 
     first = sets.select(F.col("node").alias("v"), F.col("packed").alias("y"))
     second = sets.select(F.col("node").alias("u"), F.col("packed").alias("x"))
     both = pairs.join(first, "v").join(second, "u").select("u", "v", "x", "y")
-    return both.mapInArrow(run, "u long, v long, sim double")
+    return both.mapInArrow(run, kind)
+
+
+def _sharing(rows: DataFrame) -> DataFrame:
+    """(hub, node, component, added, parts) -> (u, v): nodes of different components that add the
+    same shingle to their hub; of the nodes that add one, all meet the first of each
+    component.  A hub's shingles are dealt over a number of parts that grows with its members."""
+    spark = rows.sparkSession
+
+    def deal(batches):
+        for b in batches:
+            out = []
+            for hub, node, comp, added, parts in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                h = np.frombuffer(added, "<u4")
+                to = h % parts
+                for part in np.unique(to).tolist():
+                    out.append((hub, part, node, comp, h[to == part].tobytes()))
+            cols = list(zip(*out, strict=True)) or [[]] * 5
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:4]), pa.array(cols[4], pa.binary())], names=["hub", "part", "node", "component", "added"])
+
+    def meet(batches):
+        key, seen = None, {}
+        for b in batches:
+            found = set()
+            for hub, part, node, comp, added in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if (hub, part) != key:
+                    key, seen = (hub, part), {}
+                for x in np.frombuffer(added, "<u4").tolist():
+                    firsts = seen.setdefault(x, {})
+                    for c, other in firsts.items():
+                        if c != comp:
+                            found.add((min(node, other), max(node, other)))
+                    firsts.setdefault(comp, node)
+            cols = list(zip(*found, strict=True)) or [[], []]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["u", "v"])
+
+    dealt = rows.mapInArrow(deal, "hub long, part long, node long, component long, added binary")
+    return dealt.repartition(shuffle_parts(spark), "hub", "part").sortWithinPartitions("hub", "part", "node").mapInArrow(meet, "u long, v long").distinct()
 
 
 def near_duplicates(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
@@ -214,31 +263,41 @@ def near_duplicates(docs: DataFrame, carry: list[str] | None = None) -> DataFram
     best = F.min(F.struct(F.col("_doc").isNull().alias("z"), F.col("_doc").alias("d"), F.col("_rid").alias("r")))
     classes = written(rows.where("_set is not null").groupBy("_set").agg(best.alias("b"), F.count("*").alias("n")).select("_set", F.col("b.r").alias("node"), F.col("b.d").alias("doc"), "n"), "classes")
     reps = rows.join(classes.select(F.col("node").alias("_rid")), "_rid", "left_semi")
-    buckets = reps.select(F.col("_rid").alias("node"), F.explode("_bands").alias("band")).withColumn("order", F.xxhash64("node", "band"))
-    hubs = buckets.groupBy("band").agg(F.min(F.struct("order", "node")).alias("h"), F.count("*").alias("m")).where("m > 1").select("band", F.col("h.node").alias("hub"))
+    bands = reps.select(F.col("_rid").alias("node"), F.explode("_bands").alias("band"))
+    sizes = bands.groupBy("band").agg(F.count("*").alias("m")).where("m > 1")
+    shared = written(bands.join(sizes, "band"), "bands")
+    # A node that shares much with its buckets is central; the most central one is the hub.
+    central = shared.groupBy("node").agg(F.sum("m").alias("weight"))
+    buckets = shared.drop("m").join(central, "node").withColumn("order", F.struct((-F.col("weight")).alias("w"), F.xxhash64("node").alias("x"))).drop("weight")
+    buckets = written(buckets, "buckets")
+    hubs = buckets.groupBy("band").agg(F.min(F.struct("order", "node")).alias("h")).select("band", F.col("h.node").alias("hub"))
     members = written(buckets.join(hubs, "band"), "buckets")
-    pairs = members.where("node <> hub").select(F.least("hub", "node").alias("u"), F.greatest("hub", "node").alias("v")).distinct()
+    pairs = members.where("node <> hub").select(F.col("hub").alias("u"), F.col("node").alias("v")).distinct()
     nodes = members.select("node").distinct()
     sets = written(_sets(rows.select(F.col("_rid").alias("node"), "_text").join(nodes, "node", "left_semi")), "sets")
-    tested = written(_compared(pairs, sets), "compared")
-    comp = _merged(tested, None)
-    both = tested.select(F.col("u").alias("hub"), F.col("v").alias("node"), "sim").union(tested.select(F.col("v").alias("hub"), F.col("u").alias("node"), "sim"))
-    left = members.where("node <> hub").join(both, ["hub", "node"]).select("band", "node", "order", (1 - F.col("sim")).alias("d"))
-    more = _mixed(left, comp)
-    hubs_now = 0
-    while True:
-        open_now = written(more, "open")
-        if open_now.isEmpty():
-            break
-        # The next hubs of each open bucket meet the members of other components.
-        hubs_now = GROWTH * max(1, hubs_now)
-        ranked = open_now.withColumn("rank", F.row_number().over(W.partitionBy("band").orderBy("order")))
-        h = ranked.where(F.col("rank") <= hubs_now).select("band", F.col("node").alias("hub"), F.col("component").alias("hc"), F.col("d").alias("hd"))
-        pairs = ranked.join(h, "band").where((F.col("component") != F.col("hc")) & (F.abs(F.col("d") - F.col("hd")) <= 1 - THRESHOLD + 1e-9)).select(F.least("hub", "node").alias("u"), F.greatest("hub", "node").alias("v")).distinct()
-        fresh = written(_compared(pairs.join(tested.select("u", "v"), ["u", "v"], "left_anti"), sets), "compared")
-        tested = tested.union(fresh)
-        comp = _merged(fresh, comp)
-        more = _mixed(ranked.where(F.col("rank") > hubs_now).select("band", "node", "order", "d"), comp)
+    first = written(_compared(pairs, sets), "compared")
+    comp = _merged(first, None)
+    # Buckets that components still share: the next hubs meet the members of other components.
+    left = _mixed(members.where("node <> hub").select("band", "node", "order"), comp, "band")
+    ranked = written(left.withColumn("rank", F.row_number().over(W.partitionBy("band").orderBy("order"))), "open")
+    h = ranked.where(F.col("rank") <= HUBS).select("band", F.col("node").alias("hub"), F.col("component").alias("hc"))
+    pairs = ranked.join(h, "band").where("component <> hc").select(F.least("hub", "node").alias("u"), F.greatest("hub", "node").alias("v")).distinct()
+    comp = _merged(written(_compared(pairs, sets), "compared"), comp)
+    # What is left is decided by what texts keep of their common hub and what they add to it.
+    kin = first.select(F.col("u").alias("hub"), F.col("v").alias("node"), "a", "b", "both", "added")
+    kin = written(_mixed(kin, comp, "hub").withColumn("parts", (F.count("*").over(W.partitionBy("hub")) / 2000 + 1).cast("long")), "kin")
+    # Two texts of weights x and y and similarity t have t (x + y) / (1 + t) in common at least.
+    need = THRESHOLD / (1 + THRESHOLD)
+    least = kin.groupBy("hub").agg(F.min("b").alias("least"))
+    # Without a common addition a text of weight b can only be like one of at most this weight.
+    reach = kin.withColumn("most", F.col("both") / need - F.col("b")).join(least, "hub")
+    alive = reach.where("most >= least").select("hub", "node", "component", "b", "both")
+    x = alive.select("hub", F.col("node").alias("u"), F.col("component").alias("cu"), F.col("b").alias("bu"), F.col("both").alias("iu"))
+    y = alive.select("hub", F.col("node").alias("v"), F.col("component").alias("cv"), F.col("b").alias("bv"), F.col("both").alias("iv"))
+    fits = (F.col("cu") != F.col("cv")) & (F.col("u") < F.col("v")) & (F.least("iu", "iv") >= need * (F.col("bu") + F.col("bv")) - 1e-9)
+    plain = x.join(y, "hub").where(fits).select("u", "v")
+    common = _sharing(kin.select("hub", "node", "component", "added", "parts"))
+    comp = _merged(written(_compared(plain.union(common).distinct(), sets), "compared"), comp)
     ends = comp.select("node", "component").join(classes.select("node", "doc", "n"), "node", "right").withColumn("component", F.coalesce("component", "node"))
     named = ends.groupBy("component").agg(F.min(F.struct(F.col("doc").isNull().alias("z"), F.col("doc").alias("d"), F.col("node").alias("r"))).alias("b"), F.sum("n").alias("n_class"))
     table = ends.join(named, "component").select("node", F.col("b.d").alias("class_id"), F.col("b.r").alias("stays"), "n_class")
@@ -270,8 +329,8 @@ def _merged(tested: DataFrame, comp: DataFrame | None) -> DataFrame:
     return written(old.union(step.join(comp, "node", "left_anti")), "components")
 
 
-def _mixed(left: DataFrame, comp: DataFrame) -> DataFrame:
+def _mixed(left: DataFrame, comp: DataFrame, key: str) -> DataFrame:
+    """Rows, with their components, of keys that more than one component shares."""
     full = left.join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    # Two members can only be linked if their distances to the hub are close.
-    mixed = full.groupBy("band").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("band")
-    return full.join(mixed, "band", "left_semi")
+    mixed = full.groupBy(key).agg(F.min("component").alias("_a"), F.max("component").alias("_b")).where("_a <> _b").select(key)
+    return full.join(mixed, key, "left_semi")

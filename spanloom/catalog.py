@@ -5,6 +5,756 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from spanloom import derive
+from spanloom.functions import classify, flops, names, numbers
+from spanloom.operators import correlate, diff, intervals, phases, replay, report, rollup, score, tree, viewer, whatif
+from spanloom.sql import query
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def _register(name: str, sql: str | None = None):
+    def add(f: Callable[[derive.Trace], DataFrame]):
+        QUERIES[name] = lambda spark, sf_dir: f(derive.Trace(spark, sf_dir))
+        if sql is not None:
+            ORACLE_SQL[name] = sql
+        return f
+
+    return add
+
+
+def _r(c, k: int = 4):
+    return F.round(F.col(c) if isinstance(c, str) else c, k)
+
+
+def _long(*cols: str):
+    return [F.col(c).cast("long").alias(c) for c in cols]
+
+
+_HIT = """SELECT k.correlation, n.node_id, n.module_type, row_number() OVER (PARTITION BY k.correlation ORDER BY n.dur, n.ts, n.node_id) AS rn
+  FROM kernels k JOIN nodes n ON k.tid = n.tid AND n.ts <= k.ts AND k.ts <= n.e"""
+
+
+# Interval joins and correlation
+
+
+@_register("attribute_kernels", query(f"SELECT correlation, node_id FROM ({_HIT}) WHERE rn = 1", "kernels", "nodes"))
+def _(t):
+    return intervals.deepest(t.kernels().select("correlation", "tid", "ts"), t.spans(), ["tid"], "correlation", ["node_id"], order="node_id")
+
+
+@_register(
+    "module_category_time",
+    query(f"SELECT h.module_type, d.category, count(*) AS kernels, CAST(sum(d.dur) AS BIGINT) AS total_us FROM ({_HIT}) h JOIN details d ON h.correlation = d.correlation WHERE h.rn = 1 GROUP BY ALL", "details", "nodes"),
+)
+def _(t):
+    k = t.kernels().select("correlation", "tid", "ts", "name", "dur")
+    at = intervals.deepest(k.select("correlation", "tid", "ts"), t.spans(), ["tid"], "correlation", ["node_id", "module_type"], order="node_id")
+    pre = at.join(k, "correlation").groupBy("module_type", "name").agg(F.count("*").alias("n"), F.sum("dur").alias("us"))
+    return classify.classified(pre).groupBy("module_type", "category").agg(F.sum("n").alias("kernels"), F.sum("us").alias("total_us"))
+
+
+@_register(
+    "attribute_kernels_windowed",
+    query(
+        """SELECT correlation, node_id FROM (
+  SELECT k.correlation, s.node_id, row_number() OVER (PARTITION BY k.correlation ORDER BY s.dur, s.ts, s.node_id) AS q FROM kernels k
+  JOIN (SELECT *, row_number() OVER (PARTITION BY tid ORDER BY ts, e DESC, node_id) AS rn FROM nodes) s ON k.tid = s.tid AND s.ts <= k.ts AND k.ts <= s.e
+  JOIN (SELECT k.correlation AS c, count(*) AS last FROM kernels k JOIN nodes n ON k.tid = n.tid AND n.ts <= k.ts GROUP BY ALL) l ON l.c = k.correlation
+  WHERE s.rn > l.last - 2 AND s.rn <= l.last) WHERE q = 1""",
+        "kernels",
+        "nodes",
+    ),
+)
+def _(t):
+    return intervals.deepest(t.kernels().select("correlation", "tid", "ts"), t.spans(), ["tid"], "correlation", ["node_id"], order="node_id", window=2)
+
+
+_DEDUP = "SELECT correlation, kind, ts, tid FROM (SELECT *, row_number() OVER (PARTITION BY correlation ORDER BY kind = 'runtime' DESC, CASE WHEN kind = 'runtime' THEN -seq ELSE seq END) AS q FROM launches) WHERE q = 1"
+
+
+@_register("dedup_launches", query(f"SELECT correlation, kind, ts FROM ({_DEDUP})", "launches"))
+def _(t):
+    return correlate.deduped_launches(t.launches()).select("correlation", "kind", "ts")
+
+
+@_register(
+    "kernel_modules",
+    query(
+        f"SELECT k.correlation, n.node_id FROM kernels k JOIN ({_DEDUP}) l ON k.correlation = l.correlation JOIN nodes n ON n.tid = l.tid AND n.ts <= l.ts AND l.ts <= n.e QUALIFY row_number() OVER (PARTITION BY k.correlation ORDER BY n.dur, n.ts, n.node_id) = 1",
+        "launches",
+        "nodes",
+    ),
+)
+def _(t):
+    k = t.kernels().select(F.col("seq").alias("event_id"), "correlation")
+    return correlate.attributed(k, correlate.deduped_launches(t.launches()), t.spans(), ["tid"]).select("correlation", "node_id")
+
+
+@_register("unmatched_kernels", query("SELECT correlation, name FROM kernels k WHERE NOT EXISTS (SELECT 1 FROM launches l WHERE l.correlation = k.correlation)", "kernels", "launches"))
+def _(t):
+    k = t.kernels().select(F.col("seq").alias("event_id"), "correlation", "name")
+    found = correlate.attributed(k, correlate.deduped_launches(t.launches()), t.spans(), ["tid"])
+    return correlate.unmatched(k, found).select("correlation", "name")
+
+
+@_register(
+    "shape_lookup",
+    query(
+        """SELECT correlation, dims FROM (SELECT l.correlation, o.dims, row_number() OVER (PARTITION BY l.correlation ORDER BY l.seq, o.dur, o.ts, o.op_id) AS q
+  FROM (SELECT * FROM launches WHERE kind = 'runtime') l JOIN (SELECT *, '[[' || dur || ', 2]]' AS dims FROM ops WHERE name <> 'view') o ON o.tid = l.tid AND o.ts <= l.ts AND l.ts <= o.ts + o.dur) WHERE q = 1""",
+        "launches",
+        "ops",
+    ),
+)
+def _(t):
+    dims = F.when(F.col("name") != "view", F.concat(F.lit("[["), F.col("dur").cast("string"), F.lit(", 2]]")))
+    ops = t.ops().select("tid", "op_id", F.col("ts").alias("s"), (F.col("ts") + F.col("dur")).alias("e"), dims.alias("dims"))
+    return correlate.shapes(t.launches().where("kind = 'runtime'"), ops, ["tid"])
+
+
+_FRAME = "CASE op_id % 4 WHEN 0 THEN 'app/model.py(' || op_id || '): forward' WHEN 1 THEN 'app/run.py(7): wrapper' WHEN 2 THEN 'torch/nn/x.py(3): f' ELSE '<built-in method gemm of type>' END"
+
+
+@_register(
+    "source_lookup",
+    query(
+        f"""SELECT correlation, CASE WHEN frame LIKE '<built-in%' THEN '<built-in gemm>' ELSE frame END AS source FROM (
+  SELECT l.correlation, o.frame, row_number() OVER (PARTITION BY l.correlation ORDER BY l.seq, CASE op_id % 4 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 3 ELSE 4 END, o.dur, o.ts, o.op_id) AS q
+  FROM (SELECT * FROM launches WHERE kind = 'runtime') l JOIN (SELECT *, {_FRAME} AS frame FROM ops WHERE dur >= 1) o ON o.tid = l.tid AND o.ts <= l.ts AND l.ts <= o.ts + o.dur) WHERE q = 1""",
+        "launches",
+        "ops",
+    ),
+)
+def _(t):
+    k = F.col("op_id") % 4
+    frame = F.when(k == 0, F.concat(F.lit("app/model.py("), F.col("op_id").cast("string"), F.lit("): forward"))).when(k == 1, "app/run.py(7): wrapper").when(k == 2, "torch/nn/x.py(3): f").otherwise("<built-in method gemm of type>")
+    frames = t.ops().select("tid", F.col("op_id").alias("frame_id"), frame.alias("frame"), F.col("ts").alias("s"), (F.col("ts") + F.col("dur")).alias("e"))
+    return correlate.sources(t.launches().where("kind = 'runtime'"), frames, ["tid"])
+
+
+@_register(
+    "cpu_op_attribution",
+    query("SELECT o.op_id, n.node_id FROM ops o JOIN nodes n ON o.tid = n.tid AND n.ts <= o.ts AND o.ts <= n.e WHERE o.dur >= 1 QUALIFY row_number() OVER (PARTITION BY o.op_id ORDER BY n.dur, n.ts, n.node_id) = 1", "ops", "nodes"),
+)
+def _(t):
+    return correlate.cpu_ops(t.ops(), t.spans(), ["tid"])
+
+
+_EVENTS = "SELECT event_id AS id, user_id AS tid, CASE WHEN event_type = 'click' THEN 's' ELSE 'X' END AS ph, CASE WHEN event_type = 'click' THEN 'ac2g' ELSE 'cuda_runtime' END AS cat, CASE WHEN event_type IN ('view', 'error') THEN 'hipGraphLaunch_x' ELSE 'launch' END AS name, CASE WHEN event_type = 'error' AND event_id % 3 = 0 THEN NULL ELSE event_id // 2 END AS corr FROM events"
+
+
+def _events(t) -> DataFrame:
+    e, kind = t.table("events"), F.col("event_type")
+    return e.select(
+        F.when(kind == "click", F.floor(F.col("event_id") / 2)).otherwise(F.col("event_id")).cast("long").alias("id"), F.col("user_id").cast("long").alias("tid"), F.col("user_id").cast("long").alias("pid"), F.col("event_id").cast("long").alias("ts"),
+        F.when(kind == "click", "s").otherwise("X").alias("ph"), F.when(kind == "click", "ac2g").otherwise("cuda_runtime").alias("cat"), F.when(kind.isin("view", "error"), "hipGraphLaunch_x").otherwise("launch").alias("name"),
+        F.when((kind == "error") & (F.col("event_id") % 3 == 0), None).otherwise(F.floor(F.col("event_id") / 2)).cast("long").alias("correlation"),
+    )
+
+
+@_register("repair_flows", f"WITH x AS ({_EVENTS}) SELECT CAST(corr AS BIGINT) AS id, CAST(tid AS BIGINT) AS tid, CAST(id AS BIGINT) AS ts, 'ac2g' AS cat FROM x WHERE cat = 'cuda_runtime' AND starts_with(name, 'hipGraphLaunch') AND corr IS NOT NULL AND corr NOT IN (SELECT id // 2 FROM x WHERE ph = 's')")
+def _(t):
+    return correlate.missing_flow_starts(_events(t)).select("id", "tid", "ts", "cat")
+
+
+@_register("repair_summary", f"WITH x AS ({_EVENTS}) SELECT (SELECT count(*) FROM x WHERE cat = 'cuda_runtime' AND starts_with(name, 'hipGraphLaunch')) AS launches, (SELECT count(DISTINCT id // 2) FROM x WHERE ph = 's') AS present, (SELECT count(*) FROM x WHERE cat = 'cuda_runtime' AND starts_with(name, 'hipGraphLaunch') AND corr IS NOT NULL AND corr NOT IN (SELECT id // 2 FROM x WHERE ph = 's')) AS injected")
+def _(t):
+    return correlate.repair_summary(_events(t))
+
+
+@_register("graph_launch_kernels", f"WITH x AS ({_EVENTS}) SELECT CAST(id AS BIGINT) AS id FROM x WHERE cat = 'cuda_runtime' AND corr IN (SELECT corr FROM x WHERE name LIKE '%hipGraphLaunch%' AND corr IS NOT NULL)")
+def _(t):
+    e = _events(t)
+    return e.where("cat = 'cuda_runtime'").join(correlate.graph_launches(e.where("cat = 'cuda_runtime'")), "correlation", "left_semi").select("id")
+
+
+# Trees
+
+
+@_register(
+    "span_nesting",
+    query("SELECT c.node_id, arg_max(p.node_id, (p.ts, -p.e, p.preorder)) AS parent_id FROM nodes c LEFT JOIN nodes p ON p.tid = c.tid AND p.ts <= c.ts AND p.e > c.ts AND (p.ts, -p.e, p.preorder) < (c.ts, -c.e, c.preorder) GROUP BY c.node_id", "nodes"),
+)
+def _(t):
+    n = t.nodes().select("tid", "node_id", "ts", (F.col("ts") + F.col("dur")).alias("end"), F.col("preorder").alias("seq"))
+    return tree.nest(n, ["tid"]).select("node_id", "parent_id")
+
+
+@_register(
+    "node_paths",
+    query("SELECT node_id, CAST(depth AS INTEGER) AS depth, path FROM walk", "nodes", recursive="walk AS (SELECT node_id, 0 AS depth, name AS path FROM nodes WHERE parent_id IS NULL UNION ALL SELECT n.node_id, depth + 1, path || '/' || n.name FROM nodes n JOIN walk w ON n.parent_id = w.node_id)"),
+)
+def _(t):
+    return tree.paths(t.nodes(), t.closure())
+
+
+@_register("type_graph", query("SELECT DISTINCT p.module_type AS parent_type, c.module_type AS child_type FROM nodes c JOIN nodes p ON c.parent_id = p.node_id", "nodes"))
+def _(t):
+    return tree.type_graph(t.nodes())
+
+
+@_register("type_descendants", query("SELECT DISTINCT p.module_type AS parent_type, c.module_type AS child_type FROM nodes c JOIN nodes p ON c.parent_id = p.node_id", "nodes"))
+def _(t):
+    return tree.type_descendants(tree.type_graph(t.nodes()))
+
+
+@_register(
+    "wrapper_types",
+    query(
+        """SELECT module_type FROM (SELECT f.module_type, f.total_us, f.instances, max(k.us) AS most, sum(k.us) AS every, max(c.n) AS often
+  FROM (SELECT module_type, arg_min(node_id, preorder) AS node_id, arg_min(total_us, preorder) AS total_us, count(*) AS instances FROM nodes JOIN totals USING (node_id) GROUP BY module_type) f
+  JOIN (SELECT parent_id, module_type, sum(total_us) AS us FROM nodes JOIN totals USING (node_id) WHERE parent_id IS NOT NULL GROUP BY ALL) k ON k.parent_id = f.node_id
+  JOIN (SELECT module_type, count(*) AS n FROM nodes GROUP BY ALL) c ON c.module_type = k.module_type WHERE f.total_us > 0 GROUP BY ALL)
+  WHERE most > 0.3 * total_us OR (instances <= 2 AND every > 0.3 * total_us AND often > 2)""",
+        "totals",
+    ),
+)
+def _(t):
+    return tree.wrapper_types(t.nodes(), _totals(t).select("node_id", F.col("total_us").alias("total")), threshold=0.3)
+
+
+_SIG = "SELECT parent_id AS node_id, string_agg(part, ';' ORDER BY part) AS signature FROM (SELECT parent_id, module_type || '()x' || count(*) AS part FROM nodes WHERE parent_id IS NOT NULL GROUP BY parent_id, module_type) GROUP BY parent_id"
+
+
+@_register("structure_signature", query(f"SELECT n.node_id, coalesce(s.signature, '') AS signature FROM nodes n LEFT JOIN ({_SIG}) s USING (node_id)", "nodes"))
+def _(t):
+    return tree.signatures(t.nodes())
+
+
+@_register(
+    "variants",
+    query(
+        f"""SELECT module_type, signature, instances, CASE WHEN k <= 26 THEN chr(CAST(64 + k AS INTEGER)) ELSE CAST(k AS VARCHAR) END AS variant FROM (
+  SELECT *, row_number() OVER (PARTITION BY module_type ORDER BY instances DESC, signature) AS k FROM (
+    SELECT *, bool_or(instances >= least) OVER (PARTITION BY module_type) AS has FROM (
+      SELECT *, greatest(1, floor(sum(instances) OVER (PARTITION BY module_type) / 10)) AS least FROM (
+        SELECT module_type, coalesce(signature, '') AS signature, count(*) AS instances FROM nodes LEFT JOIN ({_SIG}) s USING (node_id) GROUP BY ALL))) WHERE instances >= least OR NOT has)""",
+        "nodes",
+    ),
+)
+def _(t):
+    return tree.variants(t.nodes(), tree.signatures(t.nodes()))
+
+
+# Roll-ups
+
+
+def _totals(t) -> DataFrame:
+    return rollup.inclusive(rollup.self_stats(t.details()), t.closure(), t.nodes())
+
+
+@_register("self_stats", query("SELECT node_id, CAST(sum(dur) AS BIGINT) AS self_us, count(*) AS self_count FROM details GROUP BY node_id", "details"))
+def _(t):
+    return rollup.self_stats(t.details())
+
+
+@_register("inclusive_rollup", query("SELECT node_id, total_us, total_count FROM totals", "totals"))
+def _(t):
+    return _totals(t).select("node_id", *_long("total_us", "total_count"))
+
+
+@_register("inclusive_breakdown", query("SELECT ancestor AS node_id, category, CAST(sum(dur) AS BIGINT) AS us, count(*) AS cnt FROM anc JOIN details d ON d.node_id = anc.node GROUP BY ALL", "anc", "details"))
+def _(t):
+    return rollup.inclusive_breakdown(rollup.self_breakdown(t.details()), t.closure()).select("node_id", "category", *_long("us", "cnt"))
+
+
+@_register("grand_total", query("SELECT CAST(sum(total_us) AS BIGINT) AS total_us, CAST(sum(total_count) AS BIGINT) AS total_count FROM totals JOIN nodes USING (node_id) WHERE parent_id IS NULL", "totals", "nodes"))
+def _(t):
+    return rollup.grand_total(_totals(t), t.nodes()).select(*_long("total_us", "total_count"))
+
+
+@_register("category_breakdown", query("SELECT category, count(*) AS count, CAST(sum(dur) AS BIGINT) AS total_us, round(sum(dur) / count(*), 4) AS avg_us, round(sum(dur) / (SELECT sum(dur) FROM details) * 100, 4) AS pct FROM details GROUP BY category", "details"))
+def _(t):
+    return rollup.category_breakdown(t.details()).select("category", "count", "total_us", _r("avg_us").alias("avg_us"), _r("pct").alias("pct"))
+
+
+@_register(
+    "kernel_names",
+    query("SELECT name, arg_min(category, correlation) AS category, CAST(sum(dur) AS BIGINT) AS total_us, count(*) AS count, round(sum(dur) / count(*), 4) AS avg_us, round(sum(dur) / (SELECT sum(dur) FROM details) * 100, 4) AS pct, string_agg(DISTINCT module_type, ', ' ORDER BY module_type) AS module_types FROM details JOIN (SELECT node_id, module_type FROM nodes) USING (node_id) GROUP BY name", "details", "nodes"),
+)
+def _(t):
+    return rollup.kernel_names(t.details(), t.nodes()).select("name", "category", "total_us", "count", _r("avg_us").alias("avg_us"), _r("pct").alias("pct"), "module_types")
+
+
+@_register("type_time_stats", query("SELECT module_type, count(*) AS count, round(avg(total_us), 4) AS mean_us, round(coalesce(stddev_samp(total_us), 0), 4) AS std_us, min(total_us) AS min_us, max(total_us) AS max_us, CAST(sum(total_us) AS BIGINT) AS total_us FROM totals JOIN nodes USING (node_id) GROUP BY module_type", "totals", "nodes"))
+def _(t):
+    s = rollup.time_stats(_totals(t).join(t.nodes().select("node_id", "module_type"), "node_id"), "module_type", "total_us")
+    return s.select("module_type", "count", _r("mean_us").alias("mean_us"), _r("std_us").alias("std_us"), *_long("min_us", "max_us", "total_us"))
+
+
+@_register("top_kernel_per_node", query("SELECT node_id, name AS top_kernel FROM (SELECT node_id, name, row_number() OVER (PARTITION BY node_id ORDER BY sum(dur) DESC, min(correlation)) AS q FROM details GROUP BY node_id, name) WHERE q = 1", "details"))
+def _(t):
+    return rollup.top_kernel(t.details())
+
+
+@_register("wall_overlap", query("SELECT node_id, CAST(sum(dur) AS BIGINT) AS kernel_sum_us, max(ts + dur) - min(ts) AS wall_us, CAST(sum(dur) - (max(ts + dur) - min(ts)) AS BIGINT) AS overlap_us FROM details GROUP BY node_id", "details"))
+def _(t):
+    return rollup.wall_overlap(t.details(), "node_id")
+
+
+@_register("fallback_categories", query("SELECT category, CAST(sum(dur) AS BIGINT) AS us, count(*) AS n, round(sum(dur) / (SELECT sum(dur) FROM details) * 100, 4) AS pct FROM details GROUP BY category", "details"))
+def _(t):
+    k = classify.classified(t.kernels().groupBy("name").agg(F.sum("dur").alias("us"), F.count("*").alias("n")))
+    return k.groupBy("category").agg(F.sum("us").alias("us"), F.sum("n").alias("n")).select("category", "us", "n", _r(rollup.share_of_all("us")).alias("pct"))
+
+
+def _counted(t) -> DataFrame:
+    n = t.nodes().join(rollup.self_stats(t.details()), "node_id", "left")
+    return n.withColumn("kernel_count", F.coalesce("self_count", F.lit(0)))
+
+
+_INST = "SELECT n.*, coalesce(c.k, 0) AS kernel_count FROM nodes n LEFT JOIN (SELECT node_id, count(*) AS k FROM details GROUP BY node_id) c USING (node_id)"
+_ONE = f"SELECT * FROM ({_INST}) QUALIFY row_number() OVER (PARTITION BY module_type, instance_id ORDER BY kernel_count DESC, preorder) = 1"
+
+
+@_register("dedup_instances", query(f"SELECT module_type, instance_id, node_id FROM ({_ONE})", "nodes", "details"))
+def _(t):
+    return rollup.deduped_instances(_counted(t)).select("module_type", "instance_id", "node_id")
+
+
+@_register("median_instance", query(f"SELECT module_type, node_id FROM (SELECT *, row_number() OVER (PARTITION BY module_type ORDER BY instance_id) - 1 AS k, count(*) OVER (PARTITION BY module_type) AS m FROM ({_ONE})) WHERE k = m // 2", "nodes", "details"))
+def _(t):
+    return rollup.median_instance(_counted(t)).select("module_type", "node_id")
+
+
+# Phases
+
+
+@_register("phase_asof", query("SELECT node_id, phase FROM (SELECT n.node_id, CASE WHEN n.ts <= m.e THEN m.phase END AS phase FROM nodes n ASOF LEFT JOIN markers m ON n.ts >= m.s)", "nodes", "markers"))
+def _(t):
+    return phases.start_phase(t.nodes(), t.markers())
+
+
+@_register("phase_tagged", query("SELECT node_id, phase FROM phases", "phases"))
+def _(t):
+    return phases.tagged(t.nodes(), t.closure(), t.markers())
+
+
+_TAGS = "SELECT node_id, CASE WHEN node_id % 3 = 0 THEN 'prefill' ELSE 'decode' END AS phase FROM nodes WHERE parent_id IS NULL AND node_id % 2 = 0 OR node_id % 7 = 1 AND parent_id IS NOT NULL"
+
+
+@_register("phase_fill", query(f"SELECT node, phase FROM (SELECT a.node, coalesce(max(CASE WHEN dist = 0 THEN g.phase END), arg_max(g.phase, dist)) AS phase FROM anc a JOIN ({_TAGS}) g ON a.ancestor = g.node_id GROUP BY a.node)".replace("SELECT node, phase FROM", "SELECT node AS node_id, phase FROM"), "anc", "nodes"))
+def _(t):
+    tags = t.nodes().where("parent_id is null and node_id % 2 = 0 or node_id % 7 = 1 and parent_id is not null").select("node_id", F.when(F.col("node_id") % 3 == 0, "prefill").otherwise("decode").alias("phase"))
+    return phases.filled(tags, t.closure())
+
+
+@_register("phase_majority", query("SELECT node_id, CASE WHEN p > d THEN 'prefill' ELSE 'decode' END AS phase FROM (SELECT node_id, count(*) FILTER (category = 'gemm') AS p, count(*) FILTER (category = 'attention') AS d FROM details GROUP BY node_id) WHERE p <> d", "details"))
+def _(t):
+    name = F.when(F.col("category") == "gemm", "Extend_x").when(F.col("category") == "attention", "x_DECODE").otherwise("other")
+    return phases.majority(t.details().select("node_id", name.alias("name")))
+
+
+@_register("root_phase", query("SELECT 'CustomerModel' AS module_type, (SELECT phase FROM (SELECT phase, count(*) AS n, min(preorder) AS f FROM phases JOIN nodes USING (node_id) GROUP BY phase) ORDER BY n DESC, f LIMIT 1) AS phase", "phases", "nodes"))
+def _(t):
+    return phases.root_phase(t.nodes(), phases.tagged(t.nodes(), t.closure(), t.markers()))
+
+
+@_register("module_phase_time", query("SELECT n.module_type, coalesce(p.phase, '') AS phase, count(*) AS kernels, CAST(sum(d.dur) AS BIGINT) AS total_us FROM details d JOIN nodes n USING (node_id) LEFT JOIN phases p USING (node_id) GROUP BY ALL", "details", "nodes", "phases"))
+def _(t):
+    per = rollup.self_stats(t.details())
+    j = per.join(t.nodes().select("node_id", "module_type"), "node_id").join(phases.tagged(t.nodes(), t.closure(), t.markers()), "node_id", "left")
+    return j.groupBy("module_type", F.coalesce("phase", F.lit("")).alias("phase")).agg(F.sum("self_count").alias("kernels"), F.sum("self_us").alias("total_us"))
+
+
+# Graph replays
+
+
+def _graph(t) -> DataFrame:
+    return t.kernels().select(F.col("order").alias("correlation"), "seq", "name", "ts", "dur")
+
+
+def _segmented(t) -> DataFrame:
+    k = _graph(t).withColumn("pos", F.row_number().over(W.partitionBy("correlation").orderBy("ts", "seq")).cast("long") - 1).withColumn("kind", classify.graph_kind(F.col("name")))
+    return replay.segments(k, ["correlation"])
+
+
+@_register("comm_segments", query("SELECT correlation, CAST(seg AS BIGINT) AS seg, first, n, attn, moe, CASE WHEN attn AND moe THEN 'MoE' WHEN attn THEN 'Attn' WHEN moe THEN 'MoE' ELSE 'other' END AS label FROM segs", "segs"))
+def _(t):
+    return _segmented(t).select("correlation", *_long("seg", "first", "n"), "attn", "moe", classify.segment_label(F.col("attn"), F.col("moe")).alias("label"))
+
+
+_HALF = """SELECT *, half AND (row_number() OVER (PARTITION BY correlation, half, grp ORDER BY seg)) % 2 = 1 AS start FROM (
+  SELECT *, row_number() OVER (PARTITION BY correlation ORDER BY seg) - row_number() OVER (PARTITION BY correlation, half ORDER BY seg) AS grp FROM (
+    SELECT *, attn AND NOT moe AND known AND lead(seg) OVER (PARTITION BY correlation ORDER BY seg) IS NOT NULL AS half FROM segs))"""
+
+
+@_register(
+    "half_layer_merge",
+    query(f"SELECT correlation, CAST(layer AS BIGINT) AS layer, min(first) AS first, CAST(sum(n) AS BIGINT) AS n, bool_or(attn) AS attn, bool_or(moe) AS moe, count(*) AS halves FROM (SELECT *, sum(CASE WHEN taken THEN 0 ELSE 1 END) OVER (PARTITION BY correlation ORDER BY seg) - 1 AS layer FROM (SELECT *, coalesce(lag(start) OVER (PARTITION BY correlation ORDER BY seg), false) AS taken FROM ({_HALF}))) GROUP BY correlation, layer", "segs"),
+)
+def _(t):
+    return replay.merged(_segmented(t), ["correlation"]).select("correlation", *_long("layer", "first", "n"), "attn", "moe", *_long("halves"))
+
+
+_TEMPLATE = """SELECT s.* , g.size FROM segs s JOIN (SELECT size, arg_min(correlation, seen) AS correlation FROM (SELECT correlation, any_value(size) AS size, min(seq) AS seen FROM gk GROUP BY correlation) GROUP BY size) g USING (correlation)"""
+
+
+@_register(
+    "replay_targets",
+    query(
+        f"""SELECT correlation, size, layers, target, kind, CAST(row_number() OVER (PARTITION BY kind ORDER BY ts, correlation) - 1 AS INTEGER) AS ordinal FROM (
+  SELECT *, CASE WHEN bool_or(target) OVER () AND NOT bool_and(target) OVER () THEN CASE WHEN target THEN 'target' ELSE 'draft' END ELSE 'all' END AS kind FROM (
+    SELECT r.correlation, r.size, l.layers, r.ts, l.layers >= greatest(max(l.layers) OVER () // 2, 2) AS target FROM (SELECT correlation, any_value(size) AS size, min(ts) AS ts FROM gk GROUP BY correlation) r
+    JOIN (SELECT size, count(*) AS layers FROM ({_TEMPLATE}) GROUP BY size) l USING (size)))""",
+        "segs",
+        "gk",
+    ),
+)
+def _(t):
+    k = _graph(t)
+    return replay.replays(k, replay.templates(k, distinct_halves=True)).select("correlation", "size", "layers", "target", "kind", "ordinal")
+
+
+@_register(
+    "replay_layers",
+    query(f"SELECT k.correlation, CAST(t.seg AS BIGINT) AS layer, count(*) AS kernels, min(k.ts) AS ts, max(k.ts + k.dur) AS e, CAST(sum(k.dur) AS BIGINT) AS us FROM gk k JOIN ({_TEMPLATE}) t ON k.size = t.size AND k.pos >= t.first AND k.pos < t.first + t.n GROUP BY ALL", "segs", "gk"),
+)
+def _(t):
+    k = _graph(t)
+    return replay.layers(k, replay.templates(k, distinct_halves=True)).groupBy("correlation", F.col("layer").cast("long").alias("layer")).agg(F.count("*").alias("kernels"), F.min("ts").alias("ts"), F.max(F.col("ts") + F.col("dur")).alias("e"), F.sum("dur").alias("us"))
+
+
+# Functions
+
+
+@_register("kernel_categories", query("SELECT DISTINCT name, category FROM details", "details"))
+def _(t):
+    return classify.classified(t.kernels().select("name").distinct())
+
+
+@_register("graph_kinds", query("SELECT DISTINCT name, kind FROM gk", "gk"))
+def _(t):
+    return t.kernels().select("name").distinct().withColumn("kind", classify.graph_kind(F.col("name")))
+
+
+@_register("gemm_flops", query("SELECT correlation, CASE WHEN kk = kk THEN 2.0::DOUBLE * m * kk * nn END AS flops FROM kernels", "kernels"))
+def _(t):
+    d = flops.shaped(flops.parsed_dims(F.col("dims")))
+    return t.kernels().select("correlation", flops.gemm_flops(d).alias("flops"))
+
+
+@_register("attention_flops", query("SELECT correlation, CASE WHEN m > kk THEN 2.0::DOUBLE * kk * m * 8 * (nn + nn) WHEN m < kk THEN 2.0::DOUBLE * m * kk * 8 * (nn + nn) ELSE 2.0::DOUBLE * m * m * 8 * (nn + nn) END AS flops FROM kernels", "kernels"))
+def _(t):
+    three = F.concat(F.lit("[["), F.element_at(F.split(F.regexp_replace("dims", r"[\[\]]", ""), ", "), 1), F.lit(", 8, "), F.element_at(F.split(F.regexp_replace("dims", r"[\[\]]", ""), ", "), 4), F.lit("], ["), F.element_at(F.split(F.regexp_replace("dims", r"[\[\]]", ""), ", "), 2), F.lit(", 8, "), F.element_at(F.split(F.regexp_replace("dims", r"[\[\]]", ""), ", "), 4), F.lit("]]"))
+    return t.kernels().select("correlation", flops.attention_flops(flops.parsed_dims(three), F.lit("some_attn")).alias("flops"))
+
+
+@_register("tflops", query("SELECT correlation, CASE WHEN category IN ('gemm', 'moe') THEN '2*M*K*N' ELSE '' END AS formula, CASE WHEN category IN ('gemm', 'moe') THEN 2.0::DOUBLE * m * kk * nn / 1e12 END AS tflop, CASE WHEN category IN ('gemm', 'moe') AND dur > 0 THEN round(2.0::DOUBLE * m * kk * nn / 1e12 / (dur / 1e6), 9) END AS tflops FROM details", "details"))
+def _(t):
+    d = t.details()
+    v = flops.flops(flops.shaped(flops.parsed_dims(F.col("dims"))), F.col("category"), F.col("name"))
+    return d.select(F.col("seq").alias("correlation"), flops.formula(v, F.col("category")).alias("formula"), flops.tflop(v).alias("tflop"), F.round(flops.tflop_rate(v, F.col("dur")), 9).alias("tflops"))
+
+
+@_register("short_names", query("SELECT side, seq, short FROM sides", "sides"))
+def _(t):
+    a, b = t.sides()
+    return a.select(F.lit("a").alias("side"), "seq", names.short_kernel(F.col("name")).alias("short")).union(b.select(F.lit("b"), "seq", names.short_kernel(F.col("name"))))
+
+
+@_register(
+    "tab_names",
+    query("SELECT DISTINCT module_type || ' (' || CASE WHEN instance_id % 2 = 0 THEN 'dec' ELSE 'pre' END || CASE WHEN instance_id % 3 = 0 THEN ', A' ELSE '' END || ')' AS tab, module_type AS base, CASE WHEN instance_id % 2 = 0 THEN 'dec' ELSE 'pre' END AS phase, CASE WHEN instance_id % 3 = 0 THEN 'A' ELSE '' END AS variant FROM nodes", "nodes"),
+)
+def _(t):
+    n = t.nodes().select(F.concat("module_type", F.lit(" ("), F.when(F.col("instance_id") % 2 == 0, "dec").otherwise("pre"), F.when(F.col("instance_id") % 3 == 0, ", A").otherwise(""), F.lit(")")).alias("tab")).distinct()
+    return n.select("tab", *[c.alias(k) for k, c in names.tab_parts(F.col("tab")).items()])
+
+
+@_register("span_names", query("SELECT node_id, CASE WHEN module_type LIKE '%SPECIFIED' THEN '4-NOT_SPECIFIED' ELSE module_type END AS type, instance_id AS instance FROM nodes", "nodes"))
+def _(t):
+    return t.nodes().select("node_id", names.module_type(F.col("name")).alias("type"), names.instance_id(F.col("name")).alias("instance"))
+
+
+@_register("module_classes", query("SELECT DISTINCT module_type, CASE WHEN contains(lower(module_type), 'model') THEN 'model_root' ELSE 'default' END AS class FROM nodes", "nodes"))
+def _(t):
+    return t.nodes().select("module_type").distinct().withColumn("class", classify.module_class(F.col("module_type")))
+
+
+# Report tables
+
+
+@_register(
+    "module_tree",
+    query("SELECT n.node_id, CASE WHEN n.parent_id IS NULL THEN 0 ELSE 1 END AS depth, n.name, t.total_us, t.total_count, coalesce(p.phase, '') AS phase FROM nodes n JOIN totals t USING (node_id) LEFT JOIN phases p USING (node_id) ORDER BY n.preorder LIMIT 5000", "totals", "phases", "nodes"),
+)
+def _(t):
+    a = t.closure()
+    root = a.join(t.nodes().where("parent_id is null").select(F.col("node_id").alias("ancestor")), "ancestor", "left_semi").select(F.col("node").alias("node_id"), F.col("ancestor").alias("root_id"))
+    depths = tree.paths(t.nodes(), a).join(root, "node_id")
+    b = rollup.breakdown_text(rollup.inclusive_breakdown(rollup.self_breakdown(t.details()), a))
+    m = report.module_tree(t.nodes(), depths, _totals(t), b, phases.tagged(t.nodes(), a, t.markers()))
+    return m.select("node_id", "depth", "name", *_long("total_us", "total_count"), "phase")
+
+
+@_register("breakdown_text", query("SELECT node_id, string_agg(category || ': ' || us || ' us (' || printf('%.1f', round(us / every * 100, 1)) || '%)', ', ' ORDER BY us DESC, category) AS breakdown FROM (SELECT node_id, category, sum(dur) AS us, sum(sum(dur)) OVER (PARTITION BY node_id) AS every FROM details GROUP BY node_id, category) GROUP BY node_id", "details"))
+def _(t):
+    return rollup.breakdown_text(rollup.self_breakdown(t.details()))
+
+
+def _overview(t) -> DataFrame:
+    totals, selfs = _totals(t), rollup.self_stats(t.details())
+    reps = rollup.representative_kernel(t.nodes(), totals, selfs, rollup.top_kernel(t.details()))
+    return report.overview(t.nodes(), t.closure(), totals, selfs, reps)
+
+
+_OV = """SELECT module_type, depth, count, mean_us, std_us, total_us FROM (
+  SELECT n.module_type, CASE WHEN n.parent_id IS NULL THEN 0 ELSE 1 END AS depth, count(*) AS count, avg(total_us) AS mean_us, coalesce(stddev_samp(total_us), 0) AS std_us, sum(total_us) AS total_us FROM nodes n JOIN totals USING (node_id) GROUP BY ALL)"""
+_REP = "SELECT node_id FROM nodes WHERE parent_id IS NULL ORDER BY CASE WHEN instance_id = 1 THEN 0 ELSE 1 END, preorder LIMIT 1"
+
+
+@_register(
+    "overview",
+    query(
+        f"""WITH ov AS ({_OV}), rep AS ({_REP}),
+kid AS (SELECT module_type, sum(total_us) AS us FROM nodes JOIN totals USING (node_id) WHERE parent_id = (SELECT node_id FROM rep) GROUP BY ALL),
+up AS (SELECT total_us FROM totals WHERE node_id = (SELECT node_id FROM rep))
+SELECT o.module_type, CAST(o.depth AS INTEGER) AS depth, o.count, round(o.mean_us, 4) AS mean_us, round(o.std_us, 4) AS std_us, CAST(o.total_us AS BIGINT) AS total_us, round(CASE WHEN o.depth = 0 THEN 100.0 ELSE k.us / (SELECT total_us FROM up) * 100 END, 4) AS pct
+FROM ov o LEFT JOIN kid k USING (module_type) WHERE o.depth = 0 OR k.us IS NOT NULL""".replace("WITH ov AS", "SELECT * FROM (WITH ov AS")
+        + ")",
+        "totals",
+        "nodes",
+    ),
+)
+def _(t):
+    o = _overview(t).where("module_type <> '(self)'")
+    return o.select("module_type", "depth", "count", _r("mean_us").alias("mean_us"), _r("std_us").alias("std_us"), F.col("sum_us").cast("long").alias("total_us"), _r("pct").alias("pct"))
+
+
+@_register("summary", query("SELECT module_type, CAST(sum(total_us) AS BIGINT) AS total_us, 100.0::DOUBLE AS pct FROM nodes JOIN totals USING (node_id) WHERE parent_id IS NULL GROUP BY module_type", "totals", "nodes"))
+def _(t):
+    return report.summary(_totals(t), t.nodes()).select("module_type", *_long("total_us"), _r("pct").alias("pct"))
+
+
+@_register("detail_representatives")
+def _(t):
+    return report.detail_representatives(_counted(t), phases.tagged(t.nodes(), t.closure(), t.markers()), tree.signatures(t.nodes()))
+
+
+@_register(
+    "detail_rows",
+    query("SELECT module_type AS tab, CAST(k AS INTEGER) AS position, correlation, round(dur / wall * 100, 4) AS pct_of_wall FROM (SELECT n.module_type, d.*, row_number() OVER (PARTITION BY n.module_type ORDER BY d.ts, d.correlation) AS k, max(d.ts + d.dur) OVER (PARTITION BY n.module_type) - min(d.ts) OVER (PARTITION BY n.module_type) AS wall FROM details d JOIN nodes n USING (node_id) WHERE n.instance_id = 1) WHERE k <= 1000", "details", "nodes"),
+)
+def _(t):
+    sub = t.nodes().where("instance_id = 1").select(F.col("module_type").alias("tab"), "node_id")
+    d = report.details_of(sub, t.details().withColumn("name", F.concat("name", F.lit("#"), F.col("seq").cast("string"))))
+    return d.select("tab", "position", F.substring_index("name", "#", -1).cast("long").alias("correlation"), _r("pct_of_wall").alias("pct_of_wall"))
+
+
+# Differences
+
+
+def _aggs(t) -> tuple[DataFrame, DataFrame]:
+    a, b = t.sides()
+    return diff.aggregated(a), diff.aggregated(b)
+
+
+def _deltas(t) -> DataFrame:
+    return diff.kernel_delta(*_aggs(t))
+
+
+_PCT = "CASE WHEN base_us > 0 THEN round((target_us - base_us) / base_us * 100, 4) WHEN base_us = target_us THEN 0.0 END"
+
+
+@_register("executive_summary", query("SELECT CAST(sum(base_us) AS BIGINT) AS base_us, CAST(sum(target_us) AS BIGINT) AS target_us, CAST(sum(delta_us) AS BIGINT) AS delta_us, round(sum(delta_us) / sum(base_us) * 100, 4) AS pct, CASE WHEN sum(delta_us) > 0 THEN 'SLOWER' ELSE 'FASTER' END AS verdict FROM deltas", "deltas"))
+def _(t):
+    return diff.executive(*t.sides()).withColumn("pct", _r("pct"))
+
+
+@_register("kernel_delta", query("SELECT short, category, CAST(base_us AS BIGINT) AS base_us, CAST(target_us AS BIGINT) AS target_us, CAST(delta_us AS BIGINT) AS delta_us, CAST(base_n AS BIGINT) AS base_n, CAST(target_n AS BIGINT) AS target_n FROM deltas", "deltas"))
+def _(t):
+    return _deltas(t).select("short", "category", *_long("base_us", "target_us", "delta_us", "base_n", "target_n"))
+
+
+@_register("category_delta", query(f"SELECT *, {_PCT} AS pct, round(abs(delta_us) / sum(abs(delta_us)) OVER () * 100, 4) AS share FROM (SELECT category, CAST(sum(base_us) AS BIGINT) AS base_us, CAST(sum(target_us) AS BIGINT) AS target_us, CAST(sum(delta_us) AS BIGINT) AS delta_us FROM deltas GROUP BY category)", "deltas"))
+def _(t):
+    return diff.category_delta(_deltas(t)).withColumn("pct", _r("pct")).withColumn("share", _r("share"))
+
+
+@_register("delta_attribution", query("SELECT CAST(row_number() OVER w AS BIGINT) AS rank, short, CAST(delta_us AS BIGINT) AS delta_us, CAST(sum(delta_us) OVER w AS BIGINT) AS cumulative_us, round(sum(delta_us) OVER w / (SELECT sum(delta_us) FROM deltas) * 100, 4) AS cumulative_pct, CASE WHEN base_us = 0 THEN 'NEW' WHEN target_us = 0 THEN 'GONE' ELSE 'changed' END AS status FROM deltas WHERE delta_us <> 0 WINDOW w AS (ORDER BY abs(delta_us) DESC, short ROWS UNBOUNDED PRECEDING)", "deltas"))
+def _(t):
+    return diff.attribution(_deltas(t)).select("rank", "short", *_long("delta_us", "cumulative_us"), _r("cumulative_pct").alias("cumulative_pct"), "status")
+
+
+@_register("same_kernel_changes", query(f"SELECT short, CAST(base_us AS BIGINT) AS base_us, CAST(target_us AS BIGINT) AS target_us, CAST(delta_us AS BIGINT) AS delta_us, {_PCT} AS pct FROM deltas WHERE base_us > 0 AND target_us > 0 AND abs(delta_us) >= 50 ORDER BY abs(delta_us) DESC, short LIMIT 20", "deltas"))
+def _(t):
+    return diff.same_kernel_changes(_deltas(t)).select("short", *_long("base_us", "target_us", "delta_us"), _r("pct").alias("pct"))
+
+
+@_register("gone_new", query("SELECT short, category, us, CASE side WHEN 'a' THEN 'GONE' ELSE 'NEW' END AS side FROM aggs x WHERE NOT EXISTS (SELECT 1 FROM aggs y WHERE y.short = x.short AND y.side <> x.side)", "aggs"))
+def _(t):
+    return diff.gone_new(*_aggs(t))
+
+
+@_register("replacements", query("SELECT label, CAST(gone_us AS DOUBLE) AS gone_us, CAST(new_us AS DOUBLE) AS new_us, CAST(new_us - gone_us AS DOUBLE) AS net_us FROM (SELECT category AS label, sum(us) FILTER (side = 'a') AS gone_us, sum(us) FILTER (side = 'b') AS new_us FROM aggs x WHERE NOT EXISTS (SELECT 1 FROM aggs y WHERE y.short = x.short AND y.side <> x.side) GROUP BY category) WHERE gone_us IS NOT NULL AND new_us IS NOT NULL AND (gone_us >= 100 OR new_us >= 100) UNION ALL SELECT g.category || ' → ' || n.category, g.us, n.us, n.us - g.us FROM (SELECT category, sum(us) AS us, side FROM aggs x WHERE NOT EXISTS (SELECT 1 FROM aggs y WHERE y.short = x.short AND y.side <> x.side) GROUP BY ALL) g, (SELECT category, sum(us) AS us, side FROM aggs x WHERE NOT EXISTS (SELECT 1 FROM aggs y WHERE y.short = x.short AND y.side <> x.side) GROUP BY ALL) n WHERE g.side = 'a' AND n.side = 'b' AND g.category = 'quantization' AND n.category = 'gemm' AND greatest(g.us, n.us) / least(g.us, n.us) < 5", "aggs"))
+def _(t):
+    rows = diff.replacements(diff.gone_new(*_aggs(t)))
+    return t.spark.createDataFrame([(r["label"], r["gone_us"], r["new_us"], r["net_us"]) for r in rows], "label string, gone_us double, new_us double, net_us double")
+
+
+def _by_type(t, side: int) -> DataFrame:
+    d = t.details().where(F.col("node_id") % 2 == side).groupBy("node_id").agg(F.sum("dur").alias("us"))
+    return d.join(t.nodes().select("node_id", "module_type"), "node_id").groupBy("module_type").agg(F.sum("us").alias("us"))
+
+
+@_register("module_delta", query(f"SELECT module_type, CAST(base_us AS BIGINT) AS base_us, CAST(target_us AS BIGINT) AS target_us, CAST(target_us - base_us AS BIGINT) AS delta_us, {_PCT} AS pct FROM (SELECT module_type, sum(d.dur) FILTER (d.node_id % 2 = 0) AS base_us, sum(d.dur) FILTER (d.node_id % 2 = 1) AS target_us FROM details d JOIN nodes n USING (node_id) GROUP BY module_type) WHERE base_us IS NOT NULL AND target_us IS NOT NULL", "details", "nodes"))
+def _(t):
+    return diff.module_delta(_by_type(t, 0), _by_type(t, 1)).select("module_type", *_long("base_us", "target_us", "delta_us"), _r("pct").alias("pct"))
+
+
+@_register("tab_matching")
+def _(t):
+    n = t.nodes().where("parent_id is not null")
+    tab = lambda phase, k: n.where(F.col("node_id") % 2 == k).select(F.concat("module_type", F.lit(f" ({phase}"), F.when(F.col("instance_id") % 3 == 0, ",A").otherwise(""), F.lit(")")).alias("tab")).distinct()
+    return diff.matched_tabs(tab("dec", 0), tab("pre", 1))
+
+
+@_register(
+    "tab_side_by_side",
+    query("SELECT coalesce(a.module_type, b.module_type) AS module_type, CAST(coalesce(a.k, b.k) AS INTEGER) AS rank, a.name AS base_name, a.us AS base_us, b.name AS target_name, b.us AS target_us FROM (SELECT * FROM x WHERE side = 0) a FULL JOIN (SELECT * FROM x WHERE side = 1) b ON a.module_type = b.module_type AND a.k = b.k".replace("FROM x", "FROM (SELECT *, row_number() OVER (PARTITION BY module_type, side ORDER BY us DESC, name) AS k FROM (SELECT n.module_type, d.node_id % 2 AS side, d.name, CAST(sum(d.dur) AS BIGINT) AS us FROM details d JOIN nodes n USING (node_id) GROUP BY n.module_type, d.node_id % 2, d.name))"), "details", "nodes"),
+)
+def _(t):
+    d = t.details().join(t.nodes().select("node_id", "module_type"), "node_id").groupBy("module_type", "name", (F.col("node_id") % 2).alias("side")).agg(F.sum("dur").alias("us"))
+    return diff.side_by_side(d.where("side = 0"), d.where("side = 1"))
+
+
+# Scores
+
+
+@_register("quality_s1", query("SELECT CAST(50 + CASE WHEN bool_or(phase = 'prefill') THEN 25 ELSE 0 END + CASE WHEN bool_or(phase = 'decode') THEN 25 ELSE 0 END AS DOUBLE) AS score FROM phases", "phases"))
+def _(t):
+    p = phases.tagged(t.nodes(), t.closure(), t.markers())
+    n = t.nodes().join(p, "node_id", "left").select(F.when(F.col("parent_id").isNull(), 0).otherwise(1).alias("depth"), F.coalesce("phase", F.lit("")).alias("phase"))
+    return score.phase_coverage(n, classify.is_llm(t.nodes()))
+
+
+@_register("quality_s2", "SELECT 100.0::DOUBLE AS score")
+def _(t):
+    return score.architecture(_overview(t))
+
+
+@_register("quality_s3", query("WITH r AS (SELECT count(*) AS c FROM nodes WHERE parent_id IS NOT NULL GROUP BY module_type) SELECT CAST(avg(CASE WHEN EXISTS (SELECT 1 FROM r y WHERE (y.c <> r.c OR y.c = (SELECT max(c) FROM r)) AND (y.c % r.c = 0 OR r.c % y.c = 0)) THEN 100.0 ELSE 0 END) AS DOUBLE) AS score FROM r".replace("WITH r AS", "SELECT * FROM (WITH r AS") + ")", "nodes"))
+def _(t):
+    n = t.nodes().where("parent_id is not null").groupBy("module_type").agg(F.count("*").alias("count")).withColumn("depth", F.lit(1))
+    return score.instance_consistency(n)
+
+
+_CV = "CASE WHEN cv <= 0.1 THEN 100 WHEN cv <= 0.3 THEN 80 WHEN cv <= 0.5 THEN 60 WHEN cv <= 1.0 THEN 40 ELSE 20 END"
+_S4 = f"SELECT round(sum({_CV} * total_us) / sum(total_us), 4) AS score FROM (SELECT *, std_us / mean_us AS cv FROM ({_OV}) WHERE depth = 1 AND count >= 3)"
+
+
+def _flat(t) -> DataFrame:
+    n = t.nodes().join(_totals(t), "node_id").withColumn("depth", F.when(F.col("parent_id").isNull(), 0).otherwise(1))
+    return n.groupBy("module_type", "depth").agg(F.count("*").alias("count"), F.avg("total_us").alias("mean_us"), F.coalesce(F.stddev_samp("total_us"), F.lit(0.0)).alias("std_us"), F.sum("total_us").alias("total_us"))
+
+
+@_register("quality_s4", query(_S4, "totals", "nodes"))
+def _(t):
+    return score.time_consistency(_flat(t), classify.is_llm(t.nodes())).withColumn("score", _r("score"))
+
+
+@_register("quality_composite", query(f"SELECT sum(round(score) * 25 / 100) AS composite, CASE WHEN sum(round(score) * 25 / 100) >= 90 THEN 'A' WHEN sum(round(score) * 25 / 100) >= 80 THEN 'B' WHEN sum(round(score) * 25 / 100) >= 70 THEN 'C' WHEN sum(round(score) * 25 / 100) >= 60 THEN 'D' ELSE 'F' END AS grade FROM (SELECT 100.0::DOUBLE AS score UNION ALL SELECT 90.0::DOUBLE UNION ALL SELECT 50.0::DOUBLE UNION ALL {_S4})", "totals", "nodes"))
+def _(t):
+    fixed = t.spark.createDataFrame([("S1", 100.0), ("S2", 90.0), ("S3", 50.0)], "rule string, score double")
+    s4 = score.time_consistency(_flat(t), classify.is_llm(t.nodes())).select(F.lit("S4").alias("rule"), "score")
+    return score.composite(fixed.union(s4))
+
+
+@_register(
+    "quality_diagnostics",
+    query(
+        f"""SELECT o.module_type, round(0.7 * CASE WHEN cv <= 0.05 THEN 100 WHEN cv <= 0.1 THEN 80 WHEN cv <= 0.2 THEN 60 ELSE greatest(0, 100 - 200 * cv) END + 0.3 * coalesce(p.pattern, 100), 4) AS score FROM (SELECT *, CASE WHEN mean_us > 0 THEN std_us / mean_us ELSE 0 END AS cv FROM ({_OV})) o LEFT JOIN (
+  SELECT module_type, avg(CASE WHEN names = f THEN 100.0 ELSE 0 END) AS pattern FROM (SELECT *, first_value(names) OVER (PARTITION BY module_type ORDER BY preorder) AS f FROM (
+    SELECT n.module_type, n.preorder, string_agg(d.category, ',' ORDER BY d.correlation) AS names FROM details d JOIN nodes n USING (node_id) GROUP BY n.module_type, n.preorder, d.node_id)) GROUP BY module_type HAVING count(*) >= 2) p USING (module_type)""",
+        "totals",
+        "nodes",
+        "details",
+    ),
+)
+def _(t):
+    d = t.details().groupBy("node_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "category"))), lambda x: x["category"]), ",").alias("s"))
+    d = d.join(t.nodes().select("node_id", "module_type", "preorder"), "node_id")
+    least = d.groupBy("module_type").agg(F.min("preorder").alias("_f"))
+    seqs = d.join(least, "module_type").select("module_type", "node_id", F.sha2("s", 256).alias("seq_hash"), (F.col("preorder") == F.col("_f")).alias("first"))
+    return score.diagnostics(_flat(t), seqs).select("module_type", _r("score").alias("score"))
+
+
+# What if
+
+
+def _whatif(t) -> DataFrame:
+    p = phases.tagged(t.nodes(), t.closure(), t.markers())
+    d = t.details().join(t.nodes().select("node_id", "module_type"), "node_id").join(p, "node_id", "left").withColumn("phase", F.coalesce("phase", F.lit("")))
+    wall = d.groupBy("module_type", "phase").agg((F.sum("dur") * F.lit(0.8)).alias("wall_us"))
+    changes = t.spark.createDataFrame([(s + "_" + k + "_A", 50.0, i) for i, (s, k) in enumerate((s, k) for s in derive.STEMS[:5] for k in ("ECONOMY", "SMALL"))] + [(derive.STEMS[0] + "_ECONOMY_A", 10.0, 99)], "name string, pct double, seq long")
+    return whatif.project(d.join(wall, ["module_type", "phase"]), changes)
+
+
+_PROJ = """SELECT module_type, phase, sum_us, new_sum_us, sum_us * 0.8 AS wall_us, new_sum_us * (sum_us * 0.8) / sum_us AS new_wall_us, (new_sum_us - sum_us) / sum_us * 100 AS delta_pct FROM (
+  SELECT n.module_type, coalesce(p.phase, '') AS phase, CAST(sum(d.dur) AS DOUBLE) AS sum_us, sum(CASE WHEN regexp_matches(d.name, '^(ncclDevKernel_AllReduce|rotary_embedding_kernel|flash_attn_fwd_hd64|fused_moe_kernel|fp8_quant_kernel)_(ECONOMY|SMALL)_A$') THEN d.dur * 0.5 ELSE d.dur END)::DOUBLE AS new_sum_us
+  FROM details d JOIN nodes n USING (node_id) LEFT JOIN phases p USING (node_id) GROUP BY ALL)"""
+
+
+@_register("whatif_modules", query(f"SELECT module_type, phase, sum_us, round(new_sum_us, 4) AS new_sum_us, round(wall_us, 4) AS wall_us, round(new_wall_us, 4) AS new_wall_us, round(delta_pct, 4) AS delta_pct FROM ({_PROJ})", "details", "nodes", "phases"))
+def _(t):
+    return _whatif(t).select("module_type", "phase", "sum_us", *[_r(c).alias(c) for c in ("new_sum_us", "wall_us", "new_wall_us", "delta_pct")])
+
+
+@_register("whatif_phase", query(f"SELECT phase, round(sum(wall_us), 4) AS step_us, round(sum(new_wall_us), 4) AS new_step_us FROM ({_PROJ}) GROUP BY phase", "details", "nodes", "phases"))
+def _(t):
+    return whatif.phase_steps(_whatif(t)).select("phase", _r("step_us").alias("step_us"), _r("new_step_us").alias("new_step_us"))
+
+
+@_register("whatif_e2e", query(f"SELECT round(p + 10 * d, 4) AS e2e_us, round(np + 10 * nd, 4) AS new_e2e_us, round(((p + 10 * d) / (np + 10 * nd) - 1) * 100, 4) AS throughput_pct FROM (SELECT sum(wall_us) FILTER (phase = 'prefill') AS p, sum(new_wall_us) FILTER (phase = 'prefill') AS np, sum(wall_us) FILTER (phase = 'decode') AS d, sum(new_wall_us) FILTER (phase = 'decode') AS nd FROM ({_PROJ}))", "details", "nodes", "phases"))
+def _(t):
+    e = whatif.end_to_end(whatif.phase_steps(_whatif(t)), 11)
+    return e.select(*[_r(c).alias(c) for c in ("e2e_us", "new_e2e_us", "throughput_pct")])
+
+
+@_register("whatif_top_kernels", query("SELECT d.name, n.module_type, count(*) AS n, CAST(sum(d.dur) AS BIGINT) AS us FROM details d JOIN nodes n USING (node_id) WHERE d.name IN (SELECT name FROM details GROUP BY name ORDER BY sum(dur) DESC, name LIMIT 10) GROUP BY ALL", "details", "nodes"))
+def _(t):
+    d = t.details().join(t.nodes().select("node_id", "module_type"), "node_id").withColumn("phase", F.lit(""))
+    return whatif.top_kernels(d).select("name", "module_type", "n", "us")
+
+
+# Viewer
+
+
+@_register("viewer_nodes", query("SELECT n.node_id, n.parent_id, t.total_us, CASE WHEN n.parent_id IS NULL THEN 100.0 WHEN u.total_us > 0 THEN round(t.total_us / u.total_us * 100, 1) ELSE 0.0 END AS pct_of_parent, round(t.total_us / (SELECT max(total_us) FROM totals), 4) AS bar FROM nodes n JOIN totals t USING (node_id) LEFT JOIN totals u ON u.node_id = n.parent_id", "totals", "nodes"))
+def _(t):
+    return viewer.viewer_nodes(t.nodes(), _totals(t)).select("node_id", "parent_id", *_long("total_us"), "pct_of_parent", _r("bar").alias("bar"))
+
+
+@_register("viewer_search", query("SELECT DISTINCT ancestor AS node_id FROM anc JOIN nodes n ON anc.node = n.node_id WHERE contains(lower(n.name), 'urgent')", "anc", "nodes"))
+def _(t):
+    return viewer.search(t.nodes(), t.closure(), "URGENT")
+
+
+@_register("viewer_summary", query("SELECT CAST(sum(total_us) FILTER (parent_id IS NULL) AS BIGINT) AS total_us, count(*) AS modules, count(DISTINCT module_type) AS types FROM totals JOIN nodes USING (node_id)", "totals", "nodes"))
+def _(t):
+    j = t.nodes().join(_totals(t), "node_id")
+    return j.agg(F.sum(F.when(F.col("parent_id").isNull(), F.col("total_us"))).cast("long").alias("total_us"), F.count("*").alias("modules"), F.countDistinct("module_type").alias("types"))
+
+
+@_register("run_length", query("SELECT parent_id, module_type, count(*) AS n, min(preorder) AS first FROM (SELECT *, row_number() OVER (PARTITION BY parent_id ORDER BY preorder) - row_number() OVER (PARTITION BY parent_id, module_type ORDER BY preorder) AS g FROM nodes WHERE parent_id IS NOT NULL) GROUP BY parent_id, module_type, g", "nodes"))
+def _(t):
+    return viewer.runs(t.nodes().where("parent_id is not null"), ["parent_id"], "preorder", "module_type").select("parent_id", "module_type", "n", "first")
+
+
+@_register("pattern_fold")
+def _(t):
+    return viewer.patterns(t.nodes())
+
+
+# Numbers
+
+
+@_register("grades", query("SELECT node_id, CASE WHEN total_us % 101 >= 90 THEN 'A' WHEN total_us % 101 >= 80 THEN 'B' WHEN total_us % 101 >= 70 THEN 'C' WHEN total_us % 101 >= 60 THEN 'D' ELSE 'F' END AS grade FROM totals", "totals"))
+def _(t):
+    return _totals(t).select("node_id", numbers.grade(F.col("total_us") % 101).alias("grade"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import sys
+import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -14,9 +15,18 @@ from spanloom.operators import correlate, diff, phases, replay, report, rollup,
 from spanloom.sources import sinks, trace
 
 
+def keep(df: DataFrame) -> DataFrame:
+    """Computed once and cut from its lineage, in the folder of spark.checkpoint.dir (one of
+    its own only where none is set)."""
+    sc = df.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spanloom-"))
+    return df.checkpoint()
+
+
 def analyze(events: DataFrame, rules: list[tuple[str, str]] | None = None, window: int | None = None) -> dict[str, DataFrame]:
     """Report tables of a trace.  Without module spans only the category table is made."""
-    events = events.persist()
+    events = keep(events)
     d = trace.dispatch(events)
     full = trace.mode(events) == "full"
     kernels = d["kernels"].where(F.col("dur").isNotNull())
@@ -24,14 +34,14 @@ def analyze(events: DataFrame, rules: list[tuple[str, str]] | None = None, windo
         k = classify.classified(kernels, rules=rules)
         return {"categories": rollup.category_breakdown(k)}
     spans = d["spans"].select("thread", F.col("seq").alias("node_id"), F.col("label").alias("name"), "module_type", "instance_id", "ts", "end", "seq")
-    nodes = tree.nest(spans, ["thread"]).withColumn("synthetic", F.lit(False))
+    nodes = keep(tree.nest(spans, ["thread"]).withColumn("synthetic", F.lit(False)))
     at = spans.select("thread", "node_id", F.col("ts").alias("s"), F.col("end").alias("e"))
     if full:
         launches = correlate.deduped_launches(d["launches"].select("correlation", "kind", "seq", "thread", "ts"))
         k = kernels.select(F.col("seq").alias("event_id"), "correlation", "name", "ts", "dur", "src_rank", "seq")
-        hit = correlate.attributed(k, launches, at, ["thread"], window)
+        hit = keep(correlate.attributed(k, launches, at, ["thread"], window))
         miss = correlate.unmatched(k, hit)
-        graph = miss.join(correlate.graph_launches(d["launches"].where("kind = 'runtime'")), "correlation", "left_semi")
+        graph = keep(miss.join(correlate.graph_launches(d["launches"].where("kind = 'runtime'")), "correlation", "left_semi"))
         own, more = _replayed(graph, nodes)
         nodes = nodes.unionByName(more)
         ops = d["ops"].where("input_dims is not null").select("thread", F.col("seq").alias("op_id"), F.col("ts").alias("s"), F.col("end").alias("e"), F.col("input_dims").alias("dims"))
@@ -44,16 +54,16 @@ def analyze(events: DataFrame, rules: list[tuple[str, str]] | None = None, windo
     else:
         o = d["ops"].select(F.col("seq").alias("op_id"), "thread", "name", "ts", "dur", "seq")
         details = correlate.cpu_ops(o, at, ["thread"]).join(o, "op_id").select(F.col("op_id").alias("event_id"), "node_id", F.lit(None).cast("long").alias("correlation"), "name", "ts", "dur", "seq", F.lit(None).cast("string").alias("dims"), F.lit(None).cast("string").alias("source"))
-    details = classify.classified(details, rules=rules).persist()
-    nodes = nodes.withColumn("preorder", F.col("seq")).persist()
-    up = tree.closure(nodes).persist()
+    details = keep(classify.classified(details, rules=rules))
+    nodes = keep(nodes.withColumn("preorder", F.col("seq")))
+    up = keep(tree.closure(nodes))
     marks = phases.markers(d["frames"].select("name", "ts", "dur", "seq"))
-    tags = phases.filled(phases.tagged(nodes, up, marks).unionByName(nodes.where("synthetic").select("node_id", F.lit("decode").alias("phase"))).groupBy("node_id").agg(F.min("phase").alias("phase")), up)
+    tags = keep(phases.filled(phases.tagged(nodes, up, marks).unionByName(nodes.where("synthetic").select("node_id", F.lit("decode").alias("phase"))).groupBy("node_id").agg(F.min("phase").alias("phase")), up))
     selfs, per = rollup.self_stats(details), rollup.self_breakdown(details)
-    totals = rollup.inclusive(selfs, up, nodes).persist()
+    totals = keep(rollup.inclusive(selfs, up, nodes))
     roots = nodes.where("parent_id is null").select(F.col("node_id").alias("ancestor"))
     depths = tree.paths(nodes, up).join(up.join(roots, "ancestor", "left_semi").select(F.col("node").alias("node_id"), F.col("ancestor").alias("root_id")), "node_id")
-    reps = rollup.representative_kernel(nodes, totals, selfs, rollup.top_kernel(details))
+    reps = keep(rollup.representative_kernel(nodes, totals, selfs, rollup.top_kernel(details)))
     counted = nodes.join(totals.select("node_id", F.col("total_count").alias("kernel_count")), "node_id")
     signed = tree.signatures(nodes)
     chosen = report.detail_representatives(counted, tags, signed) if full else None
@@ -75,9 +85,9 @@ def _replayed(graph: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]
     """Kernels of graph replays under synthetic roots and layers, and those nodes."""
     names = replay.layer_names(nodes.withColumn("preorder", F.col("seq")))
     k = graph.withColumn("seq", F.col("src_rank") * (1 << 50) + F.col("seq"))
-    shape = replay.templates(k, replay.distinct_halves(names))
-    runs = replay.replays(k, shape).withColumn("root", -(F.col("correlation") * 4096 + 1))
-    layered = replay.layers(k, shape).join(runs.select("correlation", "root", "target"), "correlation").withColumn("node_id", F.col("root") - 1 - F.col("layer"))
+    shape = keep(replay.templates(k, replay.distinct_halves(names)))
+    runs = keep(replay.replays(k, shape).withColumn("root", -(F.col("correlation") * 4096 + 1)))
+    layered = keep(replay.layers(k, shape).join(runs.select("correlation", "root", "target"), "correlation").withColumn("node_id", F.col("root") - 1 - F.col("layer")))
     layers = layered.groupBy("node_id", "root", "layer", "target").agg(F.min("ts").alias("ts"), F.max(F.col("ts") + F.col("dur")).alias("end"), F.min("seq").alias("seq")).join(names, "layer", "left")
     label = F.when(F.col("target") & F.col("name").isNotNull(), F.col("name")).otherwise(F.concat(F.lit("Layer_"), F.col("layer").cast("string")))
 

@@ -217,39 +217,42 @@ def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _sharing(rows: DataFrame) -> DataFrame:
-    """(hub, node, component, added, parts) -> (u, v): nodes of different components that add the
-    same shingle to their hub; of the nodes that add one, all meet the first of each
-    component.  A hub's shingles are dealt over a number of parts that grows with its members."""
+    """(hub, node, component, added, parts, b, both) -> (u, v): nodes of different components
+    that add the same shingle to their hub, where all that both could share is enough;
+    of the nodes that add one, all meet the first of each component.  A hub's shingles are dealt over a number of parts that grows with its members."""
     spark = rows.sparkSession
 
     def deal(batches):
         for b in batches:
             out = []
-            for hub, node, comp, added, parts in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for hub, node, comp, added, parts, weight, both in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 h = np.frombuffer(added, "<u4")
                 to = h % parts
                 for part in np.unique(to).tolist():
-                    out.append((hub, part, node, comp, h[to == part].tobytes()))
-            cols = list(zip(*out, strict=True)) or [[]] * 5
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:4]), pa.array(cols[4], pa.binary())], names=["hub", "part", "node", "component", "added"])
+                    out.append((hub, part, node, comp, weight, both, h[to == part].tobytes()))
+            cols = list(zip(*out, strict=True)) or [[]] * 7
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:6]), pa.array(cols[6], pa.binary())], names=["hub", "part", "node", "component", "b", "both", "added"])
 
     def meet(batches):
-        key, seen = None, {}
+        key, seen, need = None, {}, THRESHOLD / (1 + THRESHOLD)
         for b in batches:
             found = set()
-            for hub, part, node, comp, added in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for hub, part, node, comp, weight, both, added in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if (hub, part) != key:
                     key, seen = (hub, part), {}
                 for x in np.frombuffer(added, "<u4").tolist():
                     firsts = seen.setdefault(x, {})
                     for c, other in firsts.items():
-                        if c != comp:
-                            found.add((min(node, other), max(node, other)))
-                    firsts.setdefault(comp, node)
+                        # Of the hub the lesser share is common at most, and of additions the fewer.
+                        if c != comp and min(both, other[2]) + min(weight - both, other[1] - other[2]) >= need * (weight + other[1]) - 1e-9:
+                            found.add((min(node, other[0]), max(node, other[0])))
+                    # The one with most additions stands for its component.
+                    if comp not in firsts or firsts[comp][1] - firsts[comp][2] < weight - both:
+                        firsts[comp] = (node, weight, both)
             cols = list(zip(*found, strict=True)) or [[], []]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["u", "v"])
 
-    dealt = rows.mapInArrow(deal, "hub long, part long, node long, component long, added binary")
+    dealt = rows.mapInArrow(deal, "hub long, part long, node long, component long, b long, both long, added binary")
     return dealt.repartition(shuffle_parts(spark), "hub", "part").sortWithinPartitions("hub", "part", "node").mapInArrow(meet, "u long, v long").distinct()
 
 
@@ -274,7 +277,8 @@ def near_duplicates(docs: DataFrame, carry: list[str] | None = None) -> DataFram
     members = written(buckets.join(hubs, "band"), "buckets")
     pairs = members.where("node <> hub").select(F.col("hub").alias("u"), F.col("node").alias("v")).distinct()
     nodes = members.select("node").distinct()
-    sets = written(_sets(rows.select(F.col("_rid").alias("node"), "_text").join(nodes, "node", "left_semi")), "sets")
+    # The nodes have no bound that would allow them to be broadcast.
+    sets = written(_sets(rows.select(F.col("_rid").alias("node"), "_text").join(nodes.hint("merge"), "node", "left_semi")), "sets")
     first = written(_compared(pairs, sets), "compared")
     comp = _merged(first, None)
     # Buckets that components still share: the next hubs meet the members of other components.
@@ -296,7 +300,7 @@ def near_duplicates(docs: DataFrame, carry: list[str] | None = None) -> DataFram
     y = alive.select("hub", F.col("node").alias("v"), F.col("component").alias("cv"), F.col("b").alias("bv"), F.col("both").alias("iv"))
     fits = (F.col("cu") != F.col("cv")) & (F.col("u") < F.col("v")) & (F.least("iu", "iv") >= need * (F.col("bu") + F.col("bv")) - 1e-9)
     plain = x.join(y, "hub").where(fits).select("u", "v")
-    common = _sharing(kin.select("hub", "node", "component", "added", "parts"))
+    common = _sharing(kin.select("hub", "node", "component", "added", "parts", "b", "both"))
     comp = _merged(written(_compared(plain.union(common).distinct(), sets), "compared"), comp)
     ends = comp.select("node", "component").join(classes.select("node", "doc", "n"), "node", "right").withColumn("component", F.coalesce("component", "node"))
     named = ends.groupBy("component").agg(F.min(F.struct(F.col("doc").isNull().alias("z"), F.col("doc").alias("d"), F.col("node").alias("r"))).alias("b"), F.sum("n").alias("n_class"))

@@ -16,7 +16,7 @@ import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 8 << 20
 _BATCH_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
 _FALLBACK: list[str] = []
 _SHIPPED: set[str] = set()

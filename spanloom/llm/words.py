@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 
-PIECE = 1 << 19
+PIECE = 1 << 18
 SHINGLE = 5
 
 _U = np.uint64

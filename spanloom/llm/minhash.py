@@ -14,10 +14,9 @@ are one class and take part once.  In a bucket, members are compared with hubs
 rather than with one another: first the most central one, the node whose buckets
 hold most members (of a group of edited copies, the text they come from or the
 nearest to it), then HUBS more where several components still share a bucket;
-every comparison computes the exact similarity from the sets.  Two texts that
-neither comparison connects can be alike only if they add a common shingle to
-their hub, which brings them together again, or if what the lesser of them keeps
-of the hub is enough for both; few are, and those are compared.  Connected
+every comparison computes the exact similarity from the sets.  Texts of a bucket that
+are still apart are then decided by how they differ from their hub, which gives what any
+two of them have in common: all pairs of them that can be alike are compared.  Connected
 components of the links are the groups; the row with the smallest doc_id stays.
 
 Defined cases: words are lower-cased runs as in ``words``; a text of one to
@@ -187,9 +186,26 @@ def _unpacked(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(raw, _U, n), np.frombuffer(raw, "<u4", n, 8 * n).astype(np.int64)
 
 
+def _levels(elements: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """31-bit names of the elements' occurrences low .. high - 1."""
+    n = np.maximum(high - low, 0)
+    who = np.repeat(np.arange(len(n)), n)
+    nth = np.arange(len(who)) - np.repeat(np.cumsum(n) - n, n) + low[who]
+    return np.sort((mix(elements[who] + nth.astype(_U) * _NAME) >> _U(33)).astype("<u4"))
+
+
+def _difference(hub: tuple[np.ndarray, np.ndarray], own: tuple[np.ndarray, np.ndarray]) -> tuple[int, np.ndarray]:
+    """(common weight, what own adds to hub and then, with the top bit, what it lacks)"""
+    _, i, j = np.intersect1d(hub[0], own[0], assume_unique=True, return_indices=True)
+    least = np.minimum(hub[1][i], own[1][j])
+    in_own, in_hub = np.zeros(len(own[0]), np.int64), np.zeros(len(hub[0]), np.int64)
+    in_own[j], in_hub[i] = least, least
+    return int(least.sum()), np.concatenate((_levels(own[0], in_own, own[1]), _levels(hub[0], in_hub, hub[1]) | np.uint32(1 << 31)))
+
+
 def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(u, v) -> (u, v, similarity, weights of both and of their overlap, what v adds)"""
-    kind = "u long, v long, sim double, a long, b long, both long, added binary"
+    """(u, v) -> (u, v, similarity, weights of both and of their overlap, how v differs from u)"""
+    kind = "u long, v long, sim double, a long, b long, both long, delta binary"
 
     def run(batches):
         name, held = None, None
@@ -199,13 +215,9 @@ def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 if u != name:
                     name, held = u, _unpacked(x)
                 own = _unpacked(y)
-                _, i, j = np.intersect1d(held[0], own[0], assume_unique=True, return_indices=True)
-                both = int(np.minimum(held[1][i], own[1][j]).sum())
+                both, delta = _difference(held, own)
                 a, b = int(held[1].sum()), int(own[1].sum())
-                sim = both / (a + b - both)
-                more = np.ones(len(own[0]), bool)
-                more[j[own[1][j] <= held[1][i]]] = False
-                out.append((u, v, sim, a, b, both, own[0][more].astype("<u4").tobytes()))
+                out.append((u, v, both / (a + b - both), a, b, both, delta.tobytes()))
             cols = list(zip(*out, strict=True)) or [[]] * 7
             kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=[x.split()[0] for x in kind.split(", ")])
@@ -216,43 +228,93 @@ def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.mapInArrow(run, kind)
 
 
+def _met(node: np.ndarray, comp: np.ndarray, x: np.ndarray, size: np.ndarray, index: np.ndarray, lots: list[np.ndarray], whole: bool):
+    """Pairs of rows of different components that can be alike, a part's names in lots: with
+    all of them (whole) by their number in common, otherwise by one in the lesser's prefix."""
+    rank = np.empty(len(node), np.int64)
+    rank[np.lexsort((node, x))] = np.arange(len(node))
+    owner = np.repeat(np.arange(len(node)), [len(t) for t in lots])
+    names = np.concatenate(lots)
+    order = np.argsort(names, kind="stable")
+    names, owner = names[order], owner[order]
+    for i, own in enumerate(lots):
+        own = own if whole else own[: index[i]]
+        lo, hi = np.searchsorted(names, own, "left"), np.searchsorted(names, own, "right")
+        n = hi - lo
+        at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
+        times = np.bincount(owner[at], minlength=len(node))
+        j = np.flatnonzero(times)
+        most = times[j] if whole else np.minimum(size[i], size[j])
+        j = j[(comp[j] != comp[i]) & (rank[j] > rank[i]) & (most >= x[i] + x[j] - 1e-6)]
+        if len(j):
+            yield np.minimum(node[i], node[j]), np.maximum(node[i], node[j])
+
+
 def _sharing(rows: DataFrame) -> DataFrame:
-    """(hub, node, component, added, parts, b, both) -> (u, v): nodes of different components
-    that add the same shingle to their hub, where all that both could share is enough;
-    of the nodes that add one, all meet the first of each component.  A hub's shingles are dealt over a number of parts that grows with its members."""
+    """(hub, node, component, delta, parts, a, b, both) -> (u, v): the nodes of different
+    components that can be alike, no pair left out.
+
+    Texts of weights b and c that have i and j in common with a hub of weight a have
+    i + j - a + d in common, d the number of names that their differences from the hub
+    share; alike, they have need (b + c) at least.  So d must reach the sum of both texts'
+    x = need b - i + a / 2, which is above 0 if the hub links to one of them at most, and of two
+    texts, the one of lesser x has a shared name among its first size - 2 x + 1.  A hub's names
+    are dealt over a number of parts that grows with its members; in one part alone d is
+    counted, otherwise every pair that meets is a candidate."""
     spark = rows.sparkSession
+    need = THRESHOLD / (1 + THRESHOLD)
+    kinds = [("hub", pa.int64()), ("part", pa.int64()), ("node", pa.int64()), ("component", pa.int64()), ("x", pa.float64()), ("size", pa.int64()), ("n_index", pa.int64()), ("whole", pa.bool_()), ("names", pa.binary())]
 
     def deal(batches):
         for b in batches:
             out = []
-            for hub, node, comp, added, parts, weight, both in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                h = np.frombuffer(added, "<u4")
-                to = h % parts
+            for hub, node, comp, delta, parts, a, weight, both in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                h = np.frombuffer(delta, "<u4")
+                x = need * weight - both + a / 2
+                index = min(len(h), len(h) - math.ceil(2 * x - 1e-6) + 1)
+                if parts == 1:
+                    out.append((hub, 0, node, comp, x, len(h), index, True, delta))
+                    continue
+                # No partner has a lesser x than the hub would.
+                least = max(1, math.ceil(x + (need - 0.5) * a - 1e-6))
+                asked = h[: max(0, len(h) - least + 1)]
+                to = asked % parts
                 for part in np.unique(to).tolist():
-                    out.append((hub, part, node, comp, weight, both, h[to == part].tobytes()))
-            cols = list(zip(*out, strict=True)) or [[]] * 7
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:6]), pa.array(cols[6], pa.binary())], names=["hub", "part", "node", "component", "b", "both", "added"])
+                    own = to == part
+                    out.append((hub, part, node, comp, x, len(h), int(own[: max(0, index)].sum()), False, asked[own].tobytes()))
+            cols = list(zip(*out, strict=True)) or [[]] * len(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(cols, kinds, strict=True)], names=[n for n, _ in kinds])
 
     def meet(batches):
-        key, seen, need = None, {}, THRESHOLD / (1 + THRESHOLD)
+        held: list[tuple] = []
+
+        def solve():
+            cols = list(zip(*held, strict=True))
+            node, comp, x, size, index = (np.array(c) for c in cols[2:7])
+            lots = [np.frombuffer(t, "<u4") for t in cols[8]]
+            found, n = [], 0
+            for pair in _met(node, comp, x, size, index, lots, cols[7][0]):
+                found.append(pair)
+                n += len(pair[0])
+                if n > 1 << 16:
+                    yield batch(found)
+                    found, n = [], 0
+            if found:
+                yield batch(found)
+
+        def batch(found):
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in zip(*found, strict=True)], names=["u", "v"])
+
         for b in batches:
-            found = set()
-            for hub, part, node, comp, weight, both, added in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if (hub, part) != key:
-                    key, seen = (hub, part), {}
-                for x in np.frombuffer(added, "<u4").tolist():
-                    firsts = seen.setdefault(x, {})
-                    for c, other in firsts.items():
-                        # Of the hub the lesser share is common at most, and of additions the fewer.
-                        if c != comp and min(both, other[2]) + min(weight - both, other[1] - other[2]) >= need * (weight + other[1]) - 1e-9:
-                            found.add((min(node, other[0]), max(node, other[0])))
-                    # The one with most additions stands for its component.
-                    if comp not in firsts or firsts[comp][1] - firsts[comp][2] < weight - both:
-                        firsts[comp] = (node, weight, both)
-            cols = list(zip(*found, strict=True)) or [[], []]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["u", "v"])
-
-    dealt = rows.mapInArrow(deal, "hub long, part long, node long, component long, b long, both long, added binary")
+            for r in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if held and held[-1][:2] != r[:2]:
+                    yield from solve()
+                    held = []
+                held.append(r)
+        if held:
+            yield from solve()
+
+    dealt = rows.mapInArrow(deal, "hub long, part long, node long, component long, x double, size long, n_index long, whole boolean, names binary")
     return dealt.repartition(shuffle_parts(spark), "hub", "part").sortWithinPartitions("hub", "part", "node").mapInArrow(meet, "u long, v long").distinct()
 
 
@@ -287,21 +349,13 @@ def near_duplicates(docs: DataFrame, carry: list[str] | None = None) -> DataFram
     h = ranked.where(F.col("rank") <= HUBS).select("band", F.col("node").alias("hub"), F.col("component").alias("hc"))
     pairs = ranked.join(h, "band").where("component <> hc").select(F.least("hub", "node").alias("u"), F.greatest("hub", "node").alias("v")).distinct()
     comp = _merged(written(_compared(pairs, sets), "compared"), comp)
-    # What is left is decided by what texts keep of their common hub and what they add to it.
-    kin = first.select(F.col("u").alias("hub"), F.col("v").alias("node"), "a", "b", "both", "added")
-    kin = written(_mixed(kin, comp, "hub").withColumn("parts", (F.count("*").over(W.partitionBy("hub")) / 2000 + 1).cast("long")), "kin")
-    # Two texts of weights x and y and similarity t have t (x + y) / (1 + t) in common at least.
-    need = THRESHOLD / (1 + THRESHOLD)
-    least = kin.groupBy("hub").agg(F.min("b").alias("least"))
-    # Without a common addition a text of weight b can only be like one of at most this weight.
-    reach = kin.withColumn("most", F.col("both") / need - F.col("b")).join(least, "hub")
-    alive = reach.where("most >= least").select("hub", "node", "component", "b", "both")
-    x = alive.select("hub", F.col("node").alias("u"), F.col("component").alias("cu"), F.col("b").alias("bu"), F.col("both").alias("iu"))
-    y = alive.select("hub", F.col("node").alias("v"), F.col("component").alias("cv"), F.col("b").alias("bv"), F.col("both").alias("iv"))
-    fits = (F.col("cu") != F.col("cv")) & (F.col("u") < F.col("v")) & (F.least("iu", "iv") >= need * (F.col("bu") + F.col("bv")) - 1e-9)
-    plain = x.join(y, "hub").where(fits).select("u", "v")
-    common = _sharing(kin.select("hub", "node", "component", "added", "parts", "b", "both"))
-    comp = _merged(written(_compared(plain.union(common).distinct(), sets), "compared"), comp)
+    # What is left is decided by how texts differ from their common hub.
+    kin = _mixed(first.select(F.col("u").alias("hub"), F.col("v").alias("node"), "a", "b", "both", "delta"), comp, "hub")
+    own = W.partitionBy("hub")
+    parts = F.greatest(F.count("*").over(own) / 2000, F.sum(F.length("delta")).over(own) / (1 << 22)) + 1
+    kin = written(kin.withColumn("parts", parts.cast("long")), "kin")
+    left = _sharing(kin.select("hub", "node", "component", "delta", "parts", "a", "b", "both"))
+    comp = _merged(written(_compared(left, sets), "compared"), comp)
     ends = comp.select("node", "component").join(classes.select("node", "doc", "n"), "node", "right").withColumn("component", F.coalesce("component", "node"))
     named = ends.groupBy("component").agg(F.min(F.struct(F.col("doc").isNull().alias("z"), F.col("doc").alias("d"), F.col("node").alias("r"))).alias("b"), F.sum("n").alias("n_class"))
     table = ends.join(named, "component").select("node", F.col("b.d").alias("class_id"), F.col("b.r").alias("stays"), "n_class")

@@ -242,6 +242,69 @@ def test_near_duplicates(spark):
     assert minhash.near_duplicates(docs_of(spark, [])).count() == 0
 
 
+def grouped(sets):
+    """The least member of each one's group, by comparison of all pairs."""
+    root = list(range(len(sets)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(sets)):
+        for j in range(i):
+            if minhash.similarity(sets[i], sets[j]) >= 0.8:
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    return [find(i) for i in range(len(sets))]
+
+
+def test_a_link_to_a_lesser_member_of_a_component(spark):
+    rng, texts, want = random.Random(21), [], []
+    for _ in range(6):
+        base, added = prose(rng, 204).split(), prose(rng, 2).split()
+        own = [base, *(base + prose(rng, 2).split() for _ in range(20)), base + added + prose(rng, 12).split(), base + added, base[39:] + added]
+        own = [" ".join(t) for t in own]
+        sets = [minhash.weighted_shingles(h) for h in batch_word_hashes(own)]
+        assert [minhash.similarity(s, sets[-1]) >= 0.8 for s in sets[:-1]] == [False] * (len(sets) - 2) + [True]
+        want += [len(texts) + g for g in grouped(sets)]
+        texts += own
+    got = minhash.near_duplicates(docs_of(spark, texts)).toPandas().sort_values("doc_id")
+    assert got.class_id.tolist() == want
+
+
+def test_open_buckets_leave_no_pair_out():
+    rng = random.Random(22)
+    need, seen = 0.8 / 1.8, Counter()
+    hub = (np.arange(100, dtype=np.uint64), np.array([rng.choice([1, 1, 3]) for _ in range(100)]))
+    for most in (20, 45, 70):
+        sets = []
+
+        def changed(w, times):
+            w = w.copy()
+            for _ in range(times):
+                w[rng.randrange(100)] = rng.choice([0, 0, 2])
+                w[rng.randrange(100, 160)] = rng.choice([1, 2])
+            return w
+
+        roots = [changed(np.concatenate((hub[1], np.zeros(60, np.int64))), rng.randint(1, most)) for _ in range(8)]
+        for _ in range(40):
+            w = changed(rng.choice(roots), rng.randint(0, 6))
+            sets.append((np.flatnonzero(w).astype(np.uint64), w[w > 0]))
+        parts = [minhash._difference(hub, s) for s in sets]
+        a, weight = int(hub[1].sum()), np.array([s[1].sum() for s in sets])
+        both, lots = np.array([b for b, _ in parts]), [d for _, d in parts]
+        comp = np.array([-1 if minhash.similarity(hub, s) >= 0.8 else i for i, s in enumerate(sets)])
+        node, x, size = np.arange(40), need * weight - both + a / 2, np.array([len(d) for d in lots])
+        index = np.minimum(size, size - np.ceil(2 * x - 1e-6).astype(int) + 1)
+        want = {(i, j) for j in range(40) for i in range(j) if comp[i] != comp[j] and minhash.similarity(sets[i], sets[j]) >= 0.8}
+        for whole in (True, False):
+            got = {p for u, v in minhash._met(node, comp, x, size, index, lots, whole) for p in zip(u.tolist(), v.tolist(), strict=True)}
+            assert want == got if whole else want <= got
+        seen["links"] += len(want)
+    assert seen["links"] > 20
+
+
 def test_signatures_estimate_the_similarity():
     rng = np.random.default_rng(2)
     e = rng.integers(0, 2**63, 400).astype(np.uint64)

@@ -17,6 +17,8 @@ from spanloom.llm.queries import tokenizer_path
 from spanloom.llm.storage import written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Passages of over 50 words are repeats, however few bytes they have.
+PASSAGE = 51
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,8 +33,8 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def repeat_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without later copies of long repeated strings."""
-    return suffixdedup.without_repeats(docs).select(*COLUMNS)
+    """Texts without later copies of long repeated strings and of passages of PASSAGE words."""
+    return suffixdedup.without_repeats(docs, words=PASSAGE).select(*COLUMNS)
 
 
 def leak_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -21,6 +21,10 @@ A bin of more than HOT classes is not gathered in one task: the windows'
 buckets by fingerprint, whose number grows with the windows, and the answers go
 back in packed lots.
 
+Passages of words (``without_repeats`` with words=N) are found the same way in texts whose
+words are replaced by WIDTH bytes of their hashes, so N words have one length whatever their
+letters, and case (of ASCII letters), white space and punctuation between words do not matter.
+
 Defined cases: null texts are empty; matches never cross documents; texts under
 LENGTH bytes lose nothing; rows that repeat are documents of their own; long texts
 are read in overlapping segments; columns other than those named pass unused.
@@ -37,7 +41,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.llm.storage import discard, ship, shuffle_parts, written
-from spanloom.llm.words import _BYTE, mix, powers, prefix_hash
+from spanloom.llm.words import _BYTE, _ODD_PUNCT, mix, powers, prefix_hash, span_hash, word_spans
 
 LENGTH = 400
 GRAM = 40
@@ -45,12 +49,62 @@ HOT = 4096
 #: Contexts that are ordered at once, and windows of one fingerprint bucket.
 BATCH = 16_384
 BUCKET = 1 << 21
+#: Bytes that stand for a word, and words of an anchor.
+WIDTH = 5
+WORD_GRAM = 6
 _SEGMENT = 1 << 20
 _BITS = 21
 _U = np.uint64
 _I = np.int64
 
 
+def _bytes_of(text: str | None) -> bytes:
+    return (text or "").encode("utf-8", "surrogatepass")
+
+
+def _spans_of(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes, and where words start and end; places are those of the text's own bytes."""
+    text = text or ""
+    if not text.isascii():
+        text = _ODD_PUNCT.sub(lambda m: " " * len(m[0].encode()), text)
+    return word_spans(_bytes_of(text).lower())
+
+
+def _word_bytes(text: str | None) -> bytes:
+    """WIDTH bytes of each word's hash."""
+    b, s, e = _spans_of(text)
+    out = []
+    for k in range(0, len(s), BATCH):
+        start, end = s[k : k + BATCH], e[k : k + BATCH]
+        lo = int(start[0])
+        h = mix(span_hash(prefix_hash(b[lo : int(end[-1])]), start - lo, end - lo) ^ (end - start).astype(_U))
+        out.append(h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :WIDTH].tobytes())
+    return b"".join(out)
+
+
+def _word_ranges(hits: list, words: int, text: str | None) -> list[tuple[int, int]]:
+    """Byte ranges of the text that hits on its word bytes cover; windows within a word do not count."""
+    _, s, e = _spans_of(text)
+    out = []
+    for x in hits:
+        for lo, hi in zip(x["runs"][::2], x["runs"][1::2], strict=True):
+            first, last = -(-(x["first"] + lo) // WIDTH), (x["first"] + hi - 1) // WIDTH
+            if first <= last:
+                out.append((int(s[first]), int(e[last + words - 1])))
+    return out
+
+
+def _joined(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Disjoint ranges, in order."""
+    out: list[tuple[int, int]] = []
+    for a, z in sorted(pairs):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(z, out[-1][1]))
+        else:
+            out.append((a, z))
+    return out
+
+
 def _sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     """Minimum of each w neighbours, by minima from both ends of blocks of w."""
     n = len(x)
@@ -88,7 +142,7 @@ def anchors(b: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int, gr
     return text[new], first, n, a - first, grams[a], ctx
 
 
-def _anchor_rows(rows: DataFrame, length: int, gram: int) -> DataFrame:
+def _anchor_rows(rows: DataFrame, length: int, gram: int, encode=_bytes_of) -> DataFrame:
     """(rid, doc, text) -> one row per context."""
     schema = "rid long, doc long, first long, n int, off int, h long, ctx long"
 
@@ -114,7 +168,7 @@ def _anchor_rows(rows: DataFrame, length: int, gram: int) -> DataFrame:
                 return out(rids[which], b.column(1).take(pa.array(which)), np.array([x[1] for x in held]) - starts, found)
 
             for i, t in enumerate(b.column(2).to_pylist()):
-                raw = (t or "").encode("utf-8", "surrogatepass")
+                raw = encode(t)
                 step = _SEGMENT - length + 1
                 for at in range(0, max(1, len(raw) - length + 1), step):
                     part = raw[at : at + _SEGMENT]
@@ -362,7 +416,7 @@ def _fetched(rows: DataFrame, wanted: DataFrame) -> DataFrame:
         for b in batches:
             out = []
             for rid, doc, text, w in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                raw = (text or "").encode("utf-8", "surrogatepass")
+                raw = encode(text)
                 for x in w:
                     out.append((x["h"], x["ctx"], x["n"], x["off"], doc, rid, x["first"], raw[x["first"] : x["first"] + x["n"] + length - 1]))
                     if len(out) >= 4096:
@@ -375,7 +429,7 @@ def _fetched(rows: DataFrame, wanted: DataFrame) -> DataFrame:
         kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=[x.split()[0] for x in _CONTEXT.split(", ")])
 
-    length = wanted._spanloom_length
+    length, encode = wanted._spanloom_length, wanted._spanloom_encode
     return rows.select("_rid", "_doc", "_text").join(lists, F.col("_rid") == F.col("rid")).select("_rid", "_doc", "_text", "w").mapInArrow(run, _CONTEXT)
 
 
@@ -385,16 +439,16 @@ def _let_go(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def repeated_ranges(rows: DataFrame, length: int = LENGTH, keep: str = "none", gram: int = GRAM, hot: int = HOT) -> DataFrame:
+def repeated_ranges(rows: DataFrame, length: int = LENGTH, keep: str = "none", gram: int = GRAM, hot: int = HOT, encode=_bytes_of) -> DataFrame:
     """(_rid, _doc, _text) -> (rid, ranges): byte ranges to remove, for rows that have any."""
     spark, first = rows.sparkSession, keep == "first"
-    found = written(_anchor_rows(rows.select("_rid", "_doc", "_text"), length, gram), "anchors")
+    found = written(_anchor_rows(rows.select("_rid", "_doc", "_text"), length, gram, encode), "anchors")
     place = F.struct(F.col("doc").isNull().alias("z"), "doc", "rid", "first", "n", "off")
     classes = found.groupBy("h", "ctx").agg(F.count("*").alias("c"), F.min(place).alias("p"))
     bins = classes.groupBy("h").agg(F.count("*").alias("k"), F.sum("c").alias("all")).where("all > 1").drop("all")
     classes = written(classes.join(bins, "h").select("h", "ctx", "c", "k", "p.doc", "p.rid", "p.first", "p.n", "p.off"), "classes")
     wanted = classes.where("k > 1")
-    wanted._spanloom_length = length
+    wanted._spanloom_length, wanted._spanloom_encode = length, encode
     contexts = _fetched(rows, wanted)
     size = classes.where(F.col("k") > hot).agg(F.sum("n")).first()[0]
     if size:
@@ -472,18 +526,26 @@ def repeat_report(docs: DataFrame, length: int = LENGTH, keep: str = "none", **o
     return _applied(rows, ranges, [], length, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string", finish)
 
 
-def without_repeats(docs: DataFrame, length: int = LENGTH, keep: str = "first", **options) -> DataFrame:
-    """doc_id, text, lang, source and n_chars with later copies cut out of the texts.  A
+def without_repeats(docs: DataFrame, length: int = LENGTH, keep: str = "first", words: int = 0, **options) -> DataFrame:
+    """doc_id, text, lang, source and n_chars with later copies cut out of the texts, of
+    strings of length bytes and, where words is given, of passages of so many words too.  A
     removed range that would part a character leaves that character's bytes in place."""
     ship(docs.sparkSession)
     carry = ["lang", "source"]
     rows = numbered(docs, carry)
     ranges = repeated_ranges(rows, length, keep, **options)
+    if words:
+        more = repeated_ranges(rows, words * WIDTH, keep, **(options | {"gram": min(WORD_GRAM, words) * WIDTH, "encode": _word_bytes}))
+        ranges = ranges.join(more.withColumnRenamed("hits", "_word_hits"), "rid", "full")
+        carry.append("_word_hits")
 
     def finish(b, i, doc, text, raw, s, e, kept):
-        if len(s):
+        pairs = list(zip(s.tolist(), e.tolist(), strict=True))
+        if words and (found := b.column(5)[i].as_py()):
+            pairs = _joined(pairs + _word_ranges(found, words, text))
+        if pairs:
             out, at = [], 0
-            for a, z in zip(s.tolist(), e.tolist(), strict=True):
+            for a, z in pairs:
                 while a < z and raw[a] & 0xC0 == 0x80:
                     a += 1
                 while z < len(raw) and z > a and raw[z] & 0xC0 == 0x80:

@@ -188,6 +188,29 @@ def test_first_copies_stay(spark, hot):
     assert got.text.tolist() == want
 
 
+def test_the_pipeline_cuts_passages_of_51_words(spark):
+    import corpus_pipeline
+
+    rng = random.Random(31)
+    p, q, r = (prose(rng, n).split() for n in (51, 50, 51))
+    long = prose(rng, 150).replace(" ", "")
+    texts = [
+        prose(rng, 30) + ". " + " ".join(p) + ". " + prose(rng, 30),
+        prose(rng, 20) + " " + " ".join(q) + " " + prose(rng, 20),
+        "Vorher “" + " ".join(r) + "” é danach.",
+        "Head: " + "\n".join(p).upper() + "; tail words",
+        "before " + " ".join(q) + " after",
+        "é “" + " ".join(r[:20]) + " … " + "  ".join(r[20:]) + "” ü " + long,
+        "one " + long + " two",
+    ]
+    assert len(" ".join(p)) < 400
+    docs = docs_of(spark, texts).select(*corpus_pipeline.COLUMNS)
+    got = corpus_pipeline.repeat_stage(spark, docs, "").toPandas().sort_values("doc_id").text.tolist()
+    assert len(long) > 450  # one word, so it repeats by its bytes alone
+    assert got[:3] == texts[:3] and got[3:6] == ["Head: ; tail words", texts[4], "é “” ü " + long]
+    assert got[6].startswith("one") and long not in got[6]
+
+
 def test_long_texts_are_read_in_segments(spark, monkeypatch):
     monkeypatch.setattr(suffixdedup, "_SEGMENT", 700)
     rng = random.Random(3)

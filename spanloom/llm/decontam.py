@@ -19,7 +19,7 @@ null item_ids are left out; extra columns pass unused.
 from __future__ import annotations
 
 import re
-from collections import defaultdict
+from collections import defaultdict, deque
 
 import numpy as np
 import pyarrow as pa
@@ -113,21 +113,45 @@ def windows(temp: np.ndarray) -> np.ndarray:
     return h
 
 
-def _agree(pairs: list[tuple[int, int]], item: tuple[np.ndarray, np.ndarray], doc: tuple[np.ndarray, np.ndarray]) -> float:
-    """Share of slot places whose value is the commonest for its item value."""
-    if len(item[0]) < SHINGLE:
-        return 1.0
-    slots: dict[int, int] = {}
-    for d, i in pairs:
-        for k in range(SHINGLE):
-            if item[0][i + k] != item[1][i + k]:
-                slots[i + k] = d + k
-    if not slots:
-        return 1.0
-    seen: dict[int, dict[int, int]] = defaultdict(lambda: defaultdict(int))
-    for i, d in slots.items():
-        seen[int(item[1][i])][int(doc[1][d])] += 1
-    return sum(max(v.values()) for v in seen.values()) / len(slots)
+class _Slots:
+    """Which values of the text stand in an item's slots, as matching windows come and go in order."""
+
+    def __init__(self, item: tuple[np.ndarray, np.ndarray], doc: tuple[np.ndarray, np.ndarray]):
+        self.whole = len(item[0]) < SHINGLE
+        self.slot = (item[0] != item[1]).tolist()
+        self.item, self.doc = item[1], doc[1]
+        #: The places of the text that windows give to each slot; the latest counts.
+        self.at: dict[int, deque[int]] = defaultdict(deque)
+        self.seen: dict[int, dict[int, int]] = defaultdict(lambda: defaultdict(int))
+        self.most: dict[int, int] = {}
+        self.n = self.agreed = 0
+
+    def _count(self, place: int, at: int, by: int) -> None:
+        value = int(self.item[place])
+        self.seen[value][int(self.doc[at])] += by
+        most = max(self.seen[value].values())
+        self.agreed += most - self.most.get(value, 0)
+        self.most[value] = most
+        self.n += by
+
+    def move(self, pair: tuple[int, int], comes: bool) -> None:
+        d, i = pair
+        for k in range(0 if self.whole else SHINGLE):
+            if not self.slot[i + k]:
+                continue
+            held = self.at[i + k]
+            before = held[-1] if held else None
+            held.append(d + k) if comes else held.popleft()
+            after = held[-1] if held else None
+            if before != after:
+                if before is not None:
+                    self._count(i + k, before, -1)
+                if after is not None:
+                    self._count(i + k, after, 1)
+
+    def share(self) -> float:
+        """Share of slot places whose value is the commonest for its item value."""
+        return self.agreed / self.n if self.n else 1.0
 
 
 class Bank:
@@ -182,22 +206,22 @@ class Bank:
         pairs = sorted(pairs)
         span = 2 * max(len(t[0]), SHINGLE)
         best, lo, inside, distinct = 0.0, 0, defaultdict(int), 0
-        checked = -1
-        for hi, (d, _) in enumerate(pairs):
+        slots = _Slots(t, doc)
+        for pair in pairs:
+            d = pair[0]
             x = int(w[d])
+            slots.move(pair, True)
             inside[x] += 1
             distinct += inside[x] == 1
             while pairs[lo][0] <= d - span:
                 y = int(w[pairs[lo][0]])
+                slots.move(pairs[lo], False)
                 inside[y] -= 1
                 distinct -= inside[y] == 0
                 lo += 1
             share = distinct / n
-            if share >= THRESHOLD and share > best and (checked < lo or share >= 1 or hi == len(pairs) - 1):
-                if _agree(pairs[lo : hi + 1], t, doc) >= THRESHOLD:
-                    best = share
-                else:
-                    checked = hi
+            if share >= THRESHOLD and share > best and slots.share() >= THRESHOLD:
+                best = share
         return best
 
 

@@ -392,6 +392,18 @@ def test_leaks(spark):
     assert not decontam.leak_report(docs_of(spark, texts), bench.limit(0)).where("contaminated").count()
 
 
+def test_a_leak_after_a_use_whose_slots_disagree():
+    rng = random.Random(41)
+    words = prose(rng, 60).split()
+    words[2:50:6] = ["25"] * 8
+    odd = ["%d" % (100 + i) if w == "25" else w for i, w in enumerate(words)]
+    item, tail = " ".join(words), " ".join(words[20:26])
+    text = " ".join(odd[:53]) + " " + " ".join(words[:53]) + " then " + prose(rng, 130) + " " + tail
+    bank = decontam.Bank([(1, item)])
+    assert [k for k, _ in bank.leaks(decontam.template(text))] == [1]
+    assert bank.leaks(decontam.template(" ".join(odd[:53]) + " then " + tail)) == []
+
+
 def brute_distance(a, b):
     """Optimal string alignment distance."""
     d = [[i + j if not i * j else 0 for j in range(len(b) + 1)] for i in range(len(a) + 1)]

@@ -29,7 +29,7 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffixdedup.repeat_report(_table(spark, sf_dir, "documents"), 400, "none")
+    return suffixdedup.repeat_report(_table(spark, sf_dir, "documents"), 400, "none", suffixdedup.PASSAGE)
 
 
 def op4_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

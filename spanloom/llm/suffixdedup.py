@@ -16,39 +16,47 @@ In suffix order, the previous and next smaller positions give the longest
 previous factor (``first``), the neighbours the longest common factor
 (``none``); a window repeats where it is LENGTH bytes or more.
 
-A bin of more than HOT classes is not gathered in one task: the windows'
-128-bit fingerprints, with the order of their places, go in packed lots to
-buckets by fingerprint, whose number grows with the windows, and the answers go
-back in packed lots.
+A bin of more than HOT classes is not gathered in one task: its contexts are cut by the
+offset of their windows' anchor, half the offsets each time, and dealt again by the
+bytes that all windows of the half cover.  Equal windows stay together, contexts that
+have become equal are one class again, and at one offset all windows of a bin are equal,
+so every bin gets small enough to be ordered.
+
+Texts are never shuffled: contexts and hits are written by row number and looked up by
+the tasks that read the texts.
 
 Passages of words (``without_repeats`` with words=N) are found the same way in texts whose
 words are replaced by WIDTH bytes of their hashes, so N words have one length whatever their
 letters, and case (of ASCII letters), white space and punctuation between words do not matter.
 
 Defined cases: null texts are empty; matches never cross documents; texts under
-LENGTH bytes lose nothing; rows that repeat are documents of their own; long texts
-are read in overlapping segments; columns other than those named pass unused.
+LENGTH bytes lose nothing; rows that repeat are documents of their own (with
+keep="first" the one of smaller row number is the first); null doc_ids come last; long texts
+are read in overlapping segments; an empty table gives an empty one; columns other than those
+named pass unused.
 """
 
 from __future__ import annotations
 
-import gc
 import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.storage import discard, ship, shuffle_parts, written
-from spanloom.llm.words import _BYTE, _ODD_PUNCT, mix, powers, prefix_hash, span_hash, word_spans
+from spanloom.llm.storage import Beside, beside, discard, ship, shuffle_parts, written
+from spanloom.llm.words import _ODD_PUNCT, mix, powers, prefix_hash, span_hash, word_spans
 
 LENGTH = 400
 GRAM = 40
-HOT = 4096
-#: Contexts that are ordered at once, and windows of one fingerprint bucket.
+#: Context classes of a bin that is ordered as it is.
+HOT = 512
+#: Contexts that are ordered at once.
 BATCH = 16_384
-BUCKET = 1 << 21
+#: Words of a passage that the registered queries look for beside byte strings.
+PASSAGE = 51
 #: Bytes that stand for a word, and words of an anchor.
 WIDTH = 5
 WORD_GRAM = 6
@@ -82,13 +90,13 @@ def _word_bytes(text: str | None) -> bytes:
     return b"".join(out)
 
 
-def _word_ranges(hits: list, words: int, text: str | None) -> list[tuple[int, int]]:
+def _word_ranges(hits: list[tuple], words: int, text: str | None) -> list[tuple[int, int]]:
     """Byte ranges of the text that hits on its word bytes cover; windows within a word do not count."""
     _, s, e = _spans_of(text)
     out = []
-    for x in hits:
-        for lo, hi in zip(x["runs"][::2], x["runs"][1::2], strict=True):
-            first, last = -(-(x["first"] + lo) // WIDTH), (x["first"] + hi - 1) // WIDTH
+    for at, runs in hits:
+        for lo, hi in zip(runs[::2], runs[1::2], strict=True):
+            first, last = -(-(at + lo) // WIDTH), (at + hi - 1) // WIDTH
             if first <= last:
                 out.append((int(s[first]), int(e[last + words - 1])))
     return out
@@ -261,16 +269,22 @@ def _runs(hit: np.ndarray) -> list[int]:
     return np.stack((np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)), axis=1).reshape(-1).tolist()
 
 
-_CONTEXT = "h long, ctx long, n int, off int, doc long, rid long, first long, raw binary"
-_RUNS = "h long, ctx long, runs array<int>"
+_CONTEXT = "h long, ctx long, n int, off int, doc long, rid long, first long, k long, lo int, hi int, raw binary"
+_HITS = "rid long, first long, runs array<int>"
+
+
+_ARROW = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary(), "array<int>": pa.list_(pa.int32())}
 
 
-def _run_batch(h: list, ctx: list, runs: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(ctx, pa.int64()), pa.array(runs, pa.list_(pa.int32()))], names=["h", "ctx", "runs"])
+def _batch_of(kind: str, rows: list[tuple]) -> pa.RecordBatch:
+    """Rows as a batch of a schema of the types above."""
+    names, types = zip(*(x.split() for x in kind.split(", ")), strict=True)
+    cols = list(zip(*rows, strict=True)) or [[]] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(c, _ARROW[t]) for c, t in zip(cols, types, strict=True)], names=list(names))
 
 
 def _ordered_bins(contexts: DataFrame, length: int, first: bool) -> DataFrame:
-    """Repeated window runs of the contexts of ordinary bins; a bin is never parted."""
+    """Repeated window runs of contexts by suffix order; a bin is never parted."""
 
     def solve(rows: list[tuple]):
         h = np.array([r[0] for r in rows], _I)
@@ -279,13 +293,11 @@ def _ordered_bins(contexts: DataFrame, length: int, first: bool) -> DataFrame:
         place = np.lexsort(([r[6] + r[3] for r in rows], [r[5] for r in rows], [r[4] or 0 for r in rows], [r[4] is None for r in rows]))
         position = np.empty(len(rows), _I)
         position[place] = np.arange(len(rows))
-        hit = matched_windows(group, off, n, [r[7] for r in rows], position, length, first)
-        keys, ctxs, runs = [], [], []
+        hit = matched_windows(group, off, n, [r[10] for r in rows], position, length, first)
+        out = []
         for i in np.flatnonzero(hit.any(axis=1)):
-            keys.append(rows[i][0])
-            ctxs.append(rows[i][1])
-            runs.append(_runs(np.ascontiguousarray(hit[i, off[i] - n[i] + 1 : off[i] + 1][::-1])))
-        return _run_batch(keys, ctxs, runs)
+            out.append((rows[i][5], rows[i][6], _runs(np.ascontiguousarray(hit[i, off[i] - n[i] + 1 : off[i] + 1][::-1]))))
+        return _batch_of(_HITS, out)
 
     def run(batches):
         held: list[tuple] = []
@@ -298,189 +310,115 @@ def _ordered_bins(contexts: DataFrame, length: int, first: bool) -> DataFrame:
         if held:
             yield solve(held)
 
-    return contexts.repartition(shuffle_parts(contexts.sparkSession), "h").sortWithinPartitions("h").mapInArrow(run, _RUNS)
+    return contexts.repartition(shuffle_parts(contexts.sparkSession), "h").sortWithinPartitions("h").mapInArrow(run, _HITS)
 
 
-_SECOND = mix(_BYTE ^ _U(0x5851F42D4C957F2D))
+def _name(*parts: bytes | int) -> int:
+    h = hashlib.blake2b(digest_size=8)
+    for p in parts:
+        h.update(p if isinstance(p, bytes) else p.to_bytes(8, "little", signed=True))
+    return int.from_bytes(h.digest(), "little", signed=True)
 
 
-def _hot_bins(spark: SparkSession, contexts: DataFrame, windows: int, length: int, first: bool) -> DataFrame:
-    """The same for contexts of hot bins, by fingerprints in packed lots."""
-    buckets = max(1, -(-windows // BUCKET))
-    lots = "bucket long, lot string, ord binary, q binary, f1 binary, f2 binary, head binary"
+def parted(context: tuple, length: int) -> list[tuple]:
+    """A context cut by the offset of its windows' anchor, lo .. hi halved.  The windows of a
+    half share the bytes that all offsets of the half cover, which name its bin."""
+    _, _, n, off, doc, rid, first, _, lo, hi, raw = context
+    mid = (lo + hi) // 2
+    out = []
+    for a, b in ((lo, mid), (mid + 1, hi)):
+        least, most = max(a, off - n + 1), min(b, off)
+        if least > most:
+            continue
+        skip, m = off - most, most - least + 1
+        own = raw[skip : skip + m + length - 1]
+        out.append((_name(raw[off - a : off - b + length], a, b), _name(own, most), m, most, doc, rid, first + skip, 0, a, b, own))
+    return out
 
-    def emit(batches):
-        from uuid import uuid4
 
+def _parted(contexts: DataFrame, length: int) -> DataFrame:
+    def run(batches):
         for b in batches:
-            for lo in range(0, b.num_rows, 2048):
-                rows = list(zip(*(c.to_pylist() for c in b.slice(lo, 2048).columns), strict=True))
-                lot = uuid4().hex
-                n = np.array([r[2] for r in rows], _I)
-                sizes = np.array([len(r[7]) for r in rows], _I)
-                flat = np.frombuffer(b"".join(r[7] for r in rows), np.uint8)
-                who = np.repeat(np.arange(len(rows)), n)
-                q = np.arange(len(who)) - np.repeat(np.cumsum(n) - n, n)
-                at = (np.cumsum(sizes) - sizes)[who] + q
-                inverse = powers(len(flat) + 1)[1][at]
-                one = prefix_hash(flat)
-                f1 = mix((one[at + length] - one[at]) * inverse)
-                two = np.concatenate((np.zeros(1, _U), np.cumsum(_SECOND[flat] * powers(len(flat))[0], dtype=_U)))
-                f2 = mix((two[at + length] - two[at]) * inverse)
-                order = np.array([r[8] for r in rows], _I)
-                head = np.array([(r[0], r[1]) for r in rows], _I).tobytes()
-                to = (f1 % _U(buckets)).astype(_I)
-                by = np.argsort(to, kind="stable")
-                cuts = np.flatnonzero(np.diff(to[by])) + 1
-                out = [(-1, lot, None, None, None, None, head)]
-                for part in np.split(by, cuts):
-                    out.append((int(to[part[0]]), lot, order[who[part]].tobytes(), (who[part] * 4096 + q[part]).astype("<u4").tobytes(), f1[part].tobytes(), f2[part].tobytes(), None))
-                cols = list(zip(*out, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1]), *(pa.array(c, pa.binary()) for c in cols[2:])], names=[x.split()[0] for x in lots.split(", ")])
-
-    def meet(batches):
-        held: list[tuple] = []
+            yield _batch_of(_CONTEXT, [x for r in zip(*(c.to_pylist() for c in b.columns), strict=True) for x in parted(r, length)])
 
-        def solve():
-            n = [len(r[4]) // 8 for r in held]
-            f1, f2, order = (np.frombuffer(b"".join(r[k] for r in held), t) for k, t in ((4, _U), (5, _U), (2, _I)))
-            by = np.lexsort((order, f2, f1))
-            same = (f1[by][1:] == f1[by][:-1]) & (f2[by][1:] == f2[by][:-1])
-            hit = np.zeros(len(by), bool)
-            hit[by[1:]] |= same
-            if not first:
-                hit[by[:-1]] |= same
-            out = []
-            for r, ok in zip(held, np.split(hit, np.cumsum(n)[:-1]), strict=True):
-                if ok.any():
-                    out.append((r[1], np.frombuffer(r[3], "<u4")[ok].tobytes(), None))
-            return out
+    return contexts.mapInArrow(run, _CONTEXT)
 
-        def rows(out):
-            cols = list(zip(*out, strict=True)) or [[], [], []]
-            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.binary())], names=["lot", "q", "head"])
 
-        for b in batches:
-            for r in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if held and held[0][0] != r[0]:
-                    yield rows(solve())
-                    held = []
-                held.append(r)
-        if held:
-            yield rows(solve())
-
-    def gather(batches):
-        lot, head, hits = None, b"", []
-
-        def solve():
-            names = np.frombuffer(head, _I).reshape(-1, 2)
-            q = np.sort(np.frombuffer(b"".join(hits), "<u4").astype(_I))
-            keys, ctxs, runs = [], [], []
-            if len(q):
-                new = np.flatnonzero(np.concatenate(([True], np.diff(q) != 1)) | (q % 4096 == 0))
-                last = np.concatenate((q[new[1:] - 1], q[-1:])) + 1
-                start = q[new]
-                for i in np.unique(start // 4096):
-                    own = start // 4096 == i
-                    keys.append(int(names[i, 0]))
-                    ctxs.append(int(names[i, 1]))
-                    runs.append(np.stack((start[own] - i * 4096, last[own] - i * 4096), axis=1).reshape(-1).tolist())
-            return _run_batch(keys, ctxs, runs)
+def _classes(members: DataFrame) -> DataFrame:
+    """Contexts of equal bytes as one row: their number c, the bin's number of classes k and the
+    first one's place; classes that are alone in every way are left out."""
+    place = F.struct(F.col("doc").isNull().alias("z"), "doc", "rid", "first", "n", "off")
+    classes = members.groupBy("h", "ctx").agg(F.count("*").alias("c"), F.min(place).alias("p"))
+    bins = classes.groupBy("h").agg(F.count("*").alias("k"), F.sum("c").alias("_all")).where("_all > 1").drop("_all")
+    return written(classes.join(bins, "h").select("h", "ctx", "c", "k", "p.doc", "p.rid", "p.first", "p.n", "p.off"), "classes")
 
-        for b in batches:
-            for name, q, h in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if lot is not None and name != lot:
-                    yield solve()
-                    hits = []
-                lot = name
-                if h is not None:
-                    head = h
-                else:
-                    hits.append(q)
-        if lot is not None:
-            yield solve()
-
-    placed = contexts.repartitionByRange(shuffle_parts(spark), F.col("doc").isNull(), "doc", "rid", F.col("first") + F.col("off")).sortWithinPartitions(F.col("doc").isNull(), "doc", "rid", F.col("first") + F.col("off"))
-    lots_table = written(placed.withColumn("ord", F.monotonically_increasing_id()).mapInArrow(emit, lots), "lots")
-    answers = lots_table.where("bucket >= 0").repartition(min(buckets, 4 * shuffle_parts(spark)), "bucket").sortWithinPartitions("bucket").mapInArrow(meet, "lot string, q binary, head binary")
-    heads = lots_table.where("bucket < 0").select("lot", F.lit(None).cast("binary").alias("q"), "head")
-    return answers.union(heads).repartition(shuffle_parts(spark), "lot").sortWithinPartitions("lot").mapInArrow(gather, _RUNS)
-
-
-def _fetched(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Bytes of the wanted contexts."""
-    names = ["h", "ctx", "n", "off", "first"]
-    lists = wanted.groupBy("rid").agg(F.collect_list(F.struct(*names)).alias("w"))
+
+def _whole(members: DataFrame, classes: DataFrame, first: bool) -> DataFrame:
+    """All windows of contexts that have equals; the first of them is left where first copies stay."""
+    several = classes.where("c > 1").select("h", "ctx", F.col("rid").alias("_rep"), F.col("first").alias("_at"))
+    found = members.join(several, ["h", "ctx"])
+    if first:
+        found = found.where((F.col("rid") != F.col("_rep")) | (F.col("first") != F.col("_at")))
+    return found.select("rid", "first", F.array(F.lit(0), F.col("n")).alias("runs"))
+
+
+def _fetched(rows: DataFrame, wanted: Beside, length: int, top: int, encode) -> DataFrame:
+    """(rid, doc, text) -> the wanted contexts with their bytes."""
 
     def run(batches):
         for b in batches:
+            rids = b.column(0).to_numpy(zero_copy_only=False)
+            lists = wanted.of(rids)
             out = []
-            for rid, doc, text, w in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                raw = encode(text)
-                for x in w:
-                    out.append((x["h"], x["ctx"], x["n"], x["off"], doc, rid, x["first"], raw[x["first"] : x["first"] + x["n"] + length - 1]))
+            for i in [i for i, r in enumerate(rids.tolist()) if r in lists]:
+                doc, rid, raw = b.column(1)[i].as_py(), int(rids[i]), encode(b.column(2)[i].as_py())
+                for h, ctx, n, off, first, k in lists[rid]:
+                    out.append((h, ctx, n, off, doc, rid, first, k, 0, top, raw[first : first + n + length - 1]))
                     if len(out) >= 4096:
-                        yield batch(out)
+                        yield _batch_of(_CONTEXT, out)
                         out = []
             if out:
-                yield batch(out)
-
-    def batch(out):
-        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=[x.split()[0] for x in _CONTEXT.split(", ")])
-
-    length, encode = wanted._spanloom_length, wanted._spanloom_encode
-    return rows.select("_rid", "_doc", "_text").join(lists, F.col("_rid") == F.col("rid")).select("_rid", "_doc", "_text", "w").mapInArrow(run, _CONTEXT)
+                yield _batch_of(_CONTEXT, out)
 
+    return rows.select("_rid", "_doc", "_text").mapInArrow(run, _CONTEXT)
 
-def _let_go(spark: SparkSession) -> None:
-    """Shuffle files of finished steps go when their plans are collected as garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
 
-
-def repeated_ranges(rows: DataFrame, length: int = LENGTH, keep: str = "none", gram: int = GRAM, hot: int = HOT, encode=_bytes_of) -> DataFrame:
-    """(_rid, _doc, _text) -> (rid, ranges): byte ranges to remove, for rows that have any."""
-    spark, first = rows.sparkSession, keep == "first"
+def repeated_runs(rows: DataFrame, length: int = LENGTH, keep: str = "none", gram: int = GRAM, hot: int = HOT, encode=_bytes_of) -> Beside:
+    """(_rid, _doc, _text) -> by row, (first, runs) of the windows to remove."""
+    first = keep == "first"
     found = written(_anchor_rows(rows.select("_rid", "_doc", "_text"), length, gram, encode), "anchors")
-    place = F.struct(F.col("doc").isNull().alias("z"), "doc", "rid", "first", "n", "off")
-    classes = found.groupBy("h", "ctx").agg(F.count("*").alias("c"), F.min(place).alias("p"))
-    bins = classes.groupBy("h").agg(F.count("*").alias("k"), F.sum("c").alias("all")).where("all > 1").drop("all")
-    classes = written(classes.join(bins, "h").select("h", "ctx", "c", "k", "p.doc", "p.rid", "p.first", "p.n", "p.off"), "classes")
-    wanted = classes.where("k > 1")
-    wanted._spanloom_length, wanted._spanloom_encode = length, encode
-    contexts = _fetched(rows, wanted)
-    size = classes.where(F.col("k") > hot).agg(F.sum("n")).first()[0]
-    if size:
+    shared = found.groupBy("h").agg(F.count("*").alias("_c")).where("_c > 1").select("h")
+    members = written(found.join(shared, "h", "left_semi"), "members")
+    discard(found)
+    classes = _classes(members)
+    spent: list = [members, classes]
+    hits = _whole(members, classes, first)
+    wanted = beside(classes.where("k > 1").select("rid", "h", "ctx", "n", "off", "first", "k"), "wanted")
+    spent.append(wanted)
+    contexts = _fetched(rows, wanted, length, length - gram, encode)
+    ordinary = (F.col("k") <= hot) | (F.col("lo") == F.col("hi"))
+    hottest = classes.agg(F.max("k")).first()[0] or 0
+    while hottest > hot:
+        # Bins of many classes are parted by further bytes, so each stays small enough to be ordered.
         contexts = written(contexts, "contexts")
-        names = classes.where(F.col("k") > hot).select("h", "ctx")
-        runs = _ordered_bins(contexts.join(names, ["h", "ctx"], "left_anti").select(contexts.columns), length, first)
-        runs = runs.union(_hot_bins(spark, contexts.join(names, ["h", "ctx"], "left_semi").select(contexts.columns), size, length, first))
-    else:
-        runs = _ordered_bins(contexts, length, first)
-    runs = written(runs, "runs")
-    if size:
-        discard(contexts)
-    _let_go(spark)
-    # Written before the next join, so that its exchanges stand alone and hot classes can be split.
-    solved = written(classes.select("h", "ctx", "c", F.col("rid").alias("rep"), F.col("first").alias("rep_first")).join(runs, ["h", "ctx"], "left").where("c > 1 or runs is not null"), "solved")
-    whole = ~(F.col("rid").eqNullSafe(F.col("rep")) & (F.col("first") == F.col("rep_first"))) if first else F.col("c") > 1
-    hits = found.join(solved, ["h", "ctx"]).select("rid", "first", F.when(whole, F.array(F.lit(0), F.col("n"))).otherwise(F.col("runs")).alias("runs")).where("runs is not null")
-    lists = hits.groupBy("rid").agg(F.collect_list(F.struct("first", "runs")).alias("hits"))
-    out = written(lists, "ranges")
-    discard(found, classes, runs, solved)
+        spent.append(contexts)
+        hits = hits.union(_ordered_bins(contexts.where(ordinary), length, first))
+        parts = written(_parted(contexts.where(~ordinary), length), "parts")
+        classes = _classes(parts)
+        spent += [parts, classes]
+        hits = hits.union(_whole(parts, classes, first))
+        several = classes.where("k > 1").select("h", "ctx", "rid", "first", F.col("k").alias("_k"))
+        contexts = parts.drop("k").join(several, ["h", "ctx", "rid", "first"]).withColumnRenamed("_k", "k")
+        contexts = contexts.select("h", "ctx", "n", "off", "doc", "rid", "first", "k", "lo", "hi", "raw")
+        hottest = classes.where("k > 1").join(parts.where("lo < hi").select("h").distinct(), "h", "left_semi").agg(F.max("k")).first()[0] or 0
+    out = beside(hits.union(_ordered_bins(contexts, length, first)), "hits")
+    discard(*spent)
     return out
 
 
-def byte_ranges(hits: list, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Disjoint, maximal (starts, ends) of the bytes that windows cover."""
-    pairs = np.array([(x["first"] + s, x["first"] + e + length - 1) for x in hits for s, e in zip(x["runs"][::2], x["runs"][1::2], strict=True)], _I).reshape(-1, 2)
-    if not len(pairs):
-        return pairs[:, 0], pairs[:, 1]
-    pairs = pairs[np.argsort(pairs[:, 0], kind="stable")]
-    ends = np.maximum.accumulate(pairs[:, 1])
-    new = np.concatenate(([True], pairs[1:, 0] > ends[:-1]))
-    return pairs[new, 0], ends[np.concatenate((np.flatnonzero(new)[1:] - 1, [len(pairs) - 1]))]
+def byte_ranges(hits: list[tuple], length: int) -> list[tuple[int, int]]:
+    """Disjoint, maximal (start, end) of the bytes that windows cover."""
+    return _joined([(first + s, first + e + length - 1) for first, runs in hits for s, e in zip(runs[::2], runs[1::2], strict=True)])
 
 
 def numbered(docs: DataFrame, carry: list[str]) -> DataFrame:
@@ -489,41 +427,41 @@ def numbered(docs: DataFrame, carry: list[str]) -> DataFrame:
     return written(docs.select(F.monotonically_increasing_id().alias("_rid"), *cols), "rows")
 
 
-def _applied(rows: DataFrame, ranges: DataFrame, carry: list[str], length: int, schema: str, finish) -> DataFrame:
-    """finish(carried columns, doc, bytes, starts, ends, kept bytes) per row, in batches of few bytes."""
+def _searched(rows: DataFrame, length: int, keep: str, words: int, options: dict) -> tuple[Beside, Beside | None]:
+    """Hits of byte strings and, where words is given, of passages of so many words."""
+    found = repeated_runs(rows, length, keep, **options)
+    if not words:
+        return found, None
+    return found, repeated_runs(rows, words * WIDTH, keep, **(options | {"gram": min(WORD_GRAM, words) * WIDTH, "encode": _word_bytes}))
 
-    def run(batches):
-        for b in batches:
-            docs, texts, hits = (b.column(i).to_pylist() for i in range(3))
-            out = []
-            for i, (doc, text, hit) in enumerate(zip(docs, texts, hits, strict=True)):
-                raw = (text or "").encode("utf-8", "surrogatepass")
-                s, e = byte_ranges(hit or [], length)
-                kept = b"".join(raw[a:z] for a, z in zip([0, *e.tolist()], [*s.tolist(), len(raw)], strict=True))
-                out.append(finish(b, i, doc, text, raw, s, e, kept))
-            cols = list(zip(*out, strict=True))
-            if cols:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, arrow, strict=True)], schema=arrow)
-
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
-
-    kind = StructType.fromDDL(schema)
-    arrow = to_arrow_schema(kind)
-    both = rows.join(ranges, F.col("_rid") == F.col("rid"), "left").select("_doc", "_text", "hits", *[F.col(f"`{c}`") for c in carry])
-    return both.mapInArrow(run, kind)
-
-
-def repeat_report(docs: DataFrame, length: int = LENGTH, keep: str = "none", **options) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and the checksum of what is kept."""
+
+def repeat_report(docs: DataFrame, length: int = LENGTH, keep: str = "none", words: int = 0, **options) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans and the checksum of what is kept, of strings of length
+    bytes; with words, n_passage_bytes too: the bytes in passages of so many words that occur again."""
     ship(docs.sparkSession)
     rows = numbered(docs, [])
-    ranges = repeated_ranges(rows, length, keep, **options)
+    hits, more = _searched(rows, length, keep, words, options)
+    kind = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", n_passage_bytes long" if words else "")
 
-    def finish(b, i, doc, text, raw, s, e, kept):
-        return doc, len(raw), len(raw) - len(kept), len(s), hashlib.sha256(kept).hexdigest()
-
-    return _applied(rows, ranges, [], length, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string", finish)
+    def run(batches):
+        for b in batches:
+            rids = b.column(0).to_numpy(zero_copy_only=False)
+            found, passages = hits.of(rids), more.of(rids) if words else {}
+            out = []
+            for rid, doc, text in zip(rids.tolist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                raw = _bytes_of(text)
+                pairs = byte_ranges(found.get(rid, []), length)
+                sha, at = hashlib.sha256(), 0
+                for a, z in [*pairs, (len(raw), len(raw))]:
+                    sha.update(raw[at:a])
+                    at = z
+                row = (doc, len(raw), sum(z - a for a, z in pairs), len(pairs), sha.hexdigest())
+                if words:
+                    row += (sum(z - a for a, z in _joined(_word_ranges(passages[rid], words, text))) if rid in passages else 0,)
+                out.append(row)
+            yield _batch_of(kind, out)
+
+    return rows.select("_rid", "_doc", "_text").mapInArrow(run, kind)
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH, keep: str = "first", words: int = 0, **options) -> DataFrame:
@@ -531,28 +469,37 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, keep: str = "first",
     strings of length bytes and, where words is given, of passages of so many words too.  A
     removed range that would part a character leaves that character's bytes in place."""
     ship(docs.sparkSession)
-    carry = ["lang", "source"]
-    rows = numbered(docs, carry)
-    ranges = repeated_ranges(rows, length, keep, **options)
-    if words:
-        more = repeated_ranges(rows, words * WIDTH, keep, **(options | {"gram": min(WORD_GRAM, words) * WIDTH, "encode": _word_bytes}))
-        ranges = ranges.join(more.withColumnRenamed("hits", "_word_hits"), "rid", "full")
-        carry.append("_word_hits")
-
-    def finish(b, i, doc, text, raw, s, e, kept):
-        pairs = list(zip(s.tolist(), e.tolist(), strict=True))
-        if words and (found := b.column(5)[i].as_py()):
-            pairs = _joined(pairs + _word_ranges(found, words, text))
-        if pairs:
-            out, at = [], 0
-            for a, z in pairs:
-                while a < z and raw[a] & 0xC0 == 0x80:
-                    a += 1
-                while z < len(raw) and z > a and raw[z] & 0xC0 == 0x80:
-                    z -= 1
-                out.append(raw[at:a])
-                at = z
-            text = b"".join([*out, raw[at:]]).decode("utf-8", "surrogatepass")
-        return doc, text, b.column(3)[i].as_py(), b.column(4)[i].as_py(), None if text is None else len(text)
-
-    return _applied(rows, ranges, carry, length, "doc_id long, text string, lang string, source string, n_chars long", finish)
+    rows = numbered(docs, ["lang", "source"])
+    hits, more = _searched(rows, length, keep, words, options)
+
+    def cut(text, found, passages):
+        raw = _bytes_of(text)
+        pairs = byte_ranges(found, length)
+        if passages:
+            pairs = _joined(pairs + _word_ranges(passages, words, text))
+        out, at = [], 0
+        for a, z in pairs:
+            while a < z and raw[a] & 0xC0 == 0x80:
+                a += 1
+            while z < len(raw) and z > a and raw[z] & 0xC0 == 0x80:
+                z -= 1
+            out.append(raw[at:a])
+            at = z
+        return b"".join([*out, raw[at:]]).decode("utf-8", "surrogatepass")
+
+    def run(batches):
+        for b in batches:
+            rids = b.column(0).to_numpy(zero_copy_only=False)
+            found, passages = hits.of(rids), more.of(rids) if words else {}
+            texts = b.column(2)
+            if found or passages:
+                texts = texts.to_pylist()
+                for i, rid in enumerate(rids.tolist()):
+                    if rid in found or rid in passages:
+                        texts[i] = cut(texts[i], found.get(rid, []), passages.get(rid))
+                texts = pa.array(texts, pa.string())
+            size = pa.compute.utf8_length(texts).cast(pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(1), texts, b.column(3), b.column(4), size], names=["doc_id", "text", "lang", "source", "n_chars"])
+
+    kind = "doc_id long, text string, lang string, source string, n_chars long"
+    return rows.select("_rid", "_doc", "_text", F.col("lang").cast("string"), F.col("source").cast("string")).mapInArrow(run, kind)

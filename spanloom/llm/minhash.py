@@ -16,13 +16,16 @@ hold most members (of a group of edited copies, the text they come from or the
 nearest to it), then HUBS more where several components still share a bucket;
 every comparison computes the exact similarity from the sets.  Texts of a bucket that
 are still apart are then decided by how they differ from their hub, which gives what any
-two of them have in common: all pairs of them that can be alike are compared.  Connected
-components of the links are the groups; the row with the smallest doc_id stays.
+two of them have in common; of the links found so, a spanning forest is enough.  Connected
+components of the links are the groups; the row with the smallest doc_id stays.  Texts are
+never shuffled: tasks that read them look up which are needed by row number.
 
 Defined cases: words are lower-cased runs as in ``words``; a text of one to
 four words is one shingle; texts without words (null or empty too) link with
 nothing; rows that repeat are duplicates of one another; null doc_ids come after
-all others when the one that stays is chosen; columns other than those named pass unused.
+all others when the one that stays is chosen; very long texts are hashed in pieces and
+compared whole; an empty table gives an empty one; columns other than those named pass unused,
+and a column may be named like one of the results unless it is carried.
 """
 
 from __future__ import annotations
@@ -37,7 +40,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from spanloom.llm.components import connected_components
-from spanloom.llm.storage import discard, ship, shuffle_parts, written
+from spanloom.llm.storage import Beside, beside, discard, ship, shuffle_parts, written
 from spanloom.llm.words import batch_word_hashes, mix, shingle_hashes
 
 COORDINATES = 100
@@ -49,6 +52,7 @@ HUBS = 4
 #: End of the first time cell; it holds a fraction of a dart per unit of weight.
 _FIRST = 2.0**-3
 _U = np.uint64
+_ONE_BIT = _U(1)
 _ONE = 1.0 / (1 << 53)
 
 
@@ -167,16 +171,19 @@ def _signatures(docs: DataFrame) -> DataFrame:
     return written(numbered.mapInArrow(run, f"{schema}, _rid long, _set binary, _bands array<long>"), "signatures")
 
 
-def _sets(rows: DataFrame) -> DataFrame:
-    """(node, packed set) of (node, text) rows."""
+def _sets(rows: DataFrame, nodes: Beside) -> DataFrame:
+    """(node, packed set) of the (rid, text) rows that are nodes."""
 
     def run(batches):
         for b in batches:
+            rids = b.column(0).to_numpy(zero_copy_only=False)
+            own = nodes.of(rids)
+            at = pa.array([i for i, r in enumerate(rids.tolist()) if r in own], pa.int64())
             packed = []
-            for words in batch_word_hashes(b.column(1).to_pylist()):
+            for words in batch_word_hashes(b.column(1).take(at).to_pylist()):
                 e, w = weighted_shingles(words)
                 packed.append(e.tobytes() + w.astype("<u4").tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(packed, pa.binary())], names=["node", "packed"])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), pa.array(packed, pa.binary())], names=["node", "packed"])
 
     return rows.mapInArrow(run, "node long, packed binary")
 
@@ -187,11 +194,11 @@ def _unpacked(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _levels(elements: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-    """31-bit names of the elements' occurrences low .. high - 1."""
+    """63-bit names of the elements' occurrences low .. high - 1."""
     n = np.maximum(high - low, 0)
     who = np.repeat(np.arange(len(n)), n)
     nth = np.arange(len(who)) - np.repeat(np.cumsum(n) - n, n) + low[who]
-    return np.sort((mix(elements[who] + nth.astype(_U) * _NAME) >> _U(33)).astype("<u4"))
+    return np.sort(mix(elements[who] + nth.astype(_U) * _NAME) >> _ONE_BIT)
 
 
 def _difference(hub: tuple[np.ndarray, np.ndarray], own: tuple[np.ndarray, np.ndarray]) -> tuple[int, np.ndarray]:
@@ -200,7 +207,7 @@ def _difference(hub: tuple[np.ndarray, np.ndarray], own: tuple[np.ndarray, np.nd
     least = np.minimum(hub[1][i], own[1][j])
     in_own, in_hub = np.zeros(len(own[0]), np.int64), np.zeros(len(hub[0]), np.int64)
     in_own[j], in_hub[i] = least, least
-    return int(least.sum()), np.concatenate((_levels(own[0], in_own, own[1]), _levels(hub[0], in_hub, hub[1]) | np.uint32(1 << 31)))
+    return int(least.sum()), np.concatenate((_levels(own[0], in_own, own[1]), _levels(hub[0], in_hub, hub[1]) | _U(1 << 63)))
 
 
 def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -228,62 +235,82 @@ def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.mapInArrow(run, kind)
 
 
-def _met(node: np.ndarray, comp: np.ndarray, x: np.ndarray, size: np.ndarray, index: np.ndarray, lots: list[np.ndarray], whole: bool):
-    """Pairs of rows of different components that can be alike, a part's names in lots: with
-    all of them (whole) by their number in common, otherwise by one in the lesser's prefix."""
+def _forest(node: np.ndarray, comp: np.ndarray, x: np.ndarray, size: np.ndarray, index: np.ndarray, lots: list[np.ndarray], full: list[np.ndarray] | None):
+    """Links (node, node) that join the components of rows which are alike, one for each two
+    components that meet; lots are a part's names.  Without full lists the lots are all of a
+    row's names and the number in common counts, otherwise a pair meets by a name in the
+    lesser's prefix and the full lists are intersected."""
+    top = np.unique(comp, return_inverse=True)[1].astype(np.int64)  # the local component of each row
     rank = np.empty(len(node), np.int64)
-    rank[np.lexsort((node, x))] = np.arange(len(node))
+    by_x = np.lexsort((node, x))
+    rank[by_x] = np.arange(len(node))
     owner = np.repeat(np.arange(len(node)), [len(t) for t in lots])
     names = np.concatenate(lots)
     order = np.argsort(names, kind="stable")
     names, owner = names[order], owner[order]
-    for i, own in enumerate(lots):
-        own = own if whole else own[: index[i]]
+    out = []
+    for i in by_x.tolist():
+        own = lots[i] if full is None else lots[i][: index[i]]
         lo, hi = np.searchsorted(names, own, "left"), np.searchsorted(names, own, "right")
         n = hi - lo
         at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
         times = np.bincount(owner[at], minlength=len(node))
         j = np.flatnonzero(times)
-        most = times[j] if whole else np.minimum(size[i], size[j])
-        j = j[(comp[j] != comp[i]) & (rank[j] > rank[i]) & (most >= x[i] + x[j] - 1e-6)]
-        if len(j):
-            yield np.minimum(node[i], node[j]), np.maximum(node[i], node[j])
+        most = times[j] if full is None else np.minimum(size[i], size[j])
+        for k in j[(top[j] != top[i]) & (rank[j] > rank[i]) & (most >= x[i] + x[j] - 1e-6)].tolist():
+            if top[k] == top[i]:
+                continue
+            if full is None or len(np.intersect1d(full[i], full[k], assume_unique=True)) >= x[i] + x[k] - 1e-6:
+                out.append((min(int(node[i]), int(node[k])), max(int(node[i]), int(node[k]))))
+                top[top == top[k]] = top[i]
+    return out
+
+
+#: Rows that meet in one part of a hub, about.
+PART = 4096
 
 
 def _sharing(rows: DataFrame) -> DataFrame:
-    """(hub, node, component, delta, parts, a, b, both) -> (u, v): the nodes of different
-    components that can be alike, no pair left out.
+    """(hub, node, component, delta, parts, a, b, both) -> (u, v): links between nodes of
+    different components, so many that all components that are alike are joined.
 
     Texts of weights b and c that have i and j in common with a hub of weight a have
     i + j - a + d in common, d the number of names that their differences from the hub
-    share; alike, they have need (b + c) at least.  So d must reach the sum of both texts'
-    x = need b - i + a / 2, which is above 0 if the hub links to one of them at most, and of two
-    texts, the one of lesser x has a shared name among its first size - 2 x + 1.  A hub's names
-    are dealt over a number of parts that grows with its members; in one part alone d is
-    counted, otherwise every pair that meets is a candidate."""
+    share; alike, they have need (b + c) at least.  So they are alike exactly if d reaches the
+    sum of both texts' x = need b - i + a / 2, which is above 0 if the hub links to one of them
+    at most, and of two texts, the one of lesser x has a shared name among its first
+    size - 2 x + 1 (what texts add, which is rarer, comes before what they lack).  Those names of
+    a large hub are dealt over a number of parts that grows with them, each with the row's whole
+    list; a part decides its pairs and returns a spanning forest of the links, not the pairs."""
     spark = rows.sparkSession
     need = THRESHOLD / (1 + THRESHOLD)
-    kinds = [("hub", pa.int64()), ("part", pa.int64()), ("node", pa.int64()), ("component", pa.int64()), ("x", pa.float64()), ("size", pa.int64()), ("n_index", pa.int64()), ("whole", pa.bool_()), ("names", pa.binary())]
+    kinds = [("hub", pa.int64()), ("part", pa.int64()), ("node", pa.int64()), ("component", pa.int64()), ("x", pa.float64()), ("size", pa.int64()), ("n_index", pa.int64()), ("names", pa.binary()), ("full", pa.binary())]
 
     def deal(batches):
         for b in batches:
             out = []
             for hub, node, comp, delta, parts, a, weight, both in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                h = np.frombuffer(delta, "<u4")
+                h = np.frombuffer(delta, _U)
                 x = need * weight - both + a / 2
                 index = min(len(h), len(h) - math.ceil(2 * x - 1e-6) + 1)
                 if parts == 1:
-                    out.append((hub, 0, node, comp, x, len(h), index, True, delta))
+                    out.append((hub, 0, node, comp, x, len(h), index, delta, None))
                     continue
                 # No partner has a lesser x than the hub would.
                 least = max(1, math.ceil(x + (need - 0.5) * a - 1e-6))
                 asked = h[: max(0, len(h) - least + 1)]
-                to = asked % parts
+                to = (asked % _U(parts)).astype(np.int64)
                 for part in np.unique(to).tolist():
                     own = to == part
-                    out.append((hub, part, node, comp, x, len(h), int(own[: max(0, index)].sum()), False, asked[own].tobytes()))
-            cols = list(zip(*out, strict=True)) or [[]] * len(kinds)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(cols, kinds, strict=True)], names=[n for n, _ in kinds])
+                    out.append((hub, part, node, comp, x, len(h), int(own[: max(0, index)].sum()), asked[own].tobytes(), delta))
+                if len(out) > 2048:
+                    yield batch(out)
+                    out = []
+            yield batch(out)
+
+    def batch(out):
+        cols = list(zip(*out, strict=True)) or [[]] * len(kinds)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(cols, kinds, strict=True)], names=[n for n, _ in kinds])
 
     def meet(batches):
         held: list[tuple] = []
@@ -291,30 +318,20 @@ def _sharing(rows: DataFrame) -> DataFrame:
         def solve():
             cols = list(zip(*held, strict=True))
             node, comp, x, size, index = (np.array(c) for c in cols[2:7])
-            lots = [np.frombuffer(t, "<u4") for t in cols[8]]
-            found, n = [], 0
-            for pair in _met(node, comp, x, size, index, lots, cols[7][0]):
-                found.append(pair)
-                n += len(pair[0])
-                if n > 1 << 16:
-                    yield batch(found)
-                    found, n = [], 0
-            if found:
-                yield batch(found)
-
-        def batch(found):
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in zip(*found, strict=True)], names=["u", "v"])
+            full = None if cols[8][0] is None else [np.frombuffer(t, _U) for t in cols[8]]
+            found = np.array(_forest(node, comp, x, size, index, [np.frombuffer(t, _U) for t in cols[7]], full), np.int64).reshape(-1, 2)
+            return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["u", "v"])
 
         for b in batches:
             for r in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if held and held[-1][:2] != r[:2]:
-                    yield from solve()
+                    yield solve()
                     held = []
                 held.append(r)
         if held:
-            yield from solve()
+            yield solve()
 
-    dealt = rows.mapInArrow(deal, "hub long, part long, node long, component long, x double, size long, n_index long, whole boolean, names binary")
+    dealt = rows.mapInArrow(deal, "hub long, part long, node long, component long, x double, size long, n_index long, names binary, full binary")
     return dealt.repartition(shuffle_parts(spark), "hub", "part").sortWithinPartitions("hub", "part", "node").mapInArrow(meet, "u long, v long").distinct()
 
 
@@ -338,43 +355,67 @@ def near_duplicates(docs: DataFrame, carry: list[str] | None = None) -> DataFram
     hubs = buckets.groupBy("band").agg(F.min(F.struct("order", "node")).alias("h")).select("band", F.col("h.node").alias("hub"))
     members = written(buckets.join(hubs, "band"), "buckets")
     pairs = members.where("node <> hub").select(F.col("hub").alias("u"), F.col("node").alias("v")).distinct()
-    nodes = members.select("node").distinct()
-    # The nodes have no bound that would allow them to be broadcast.
-    sets = written(_sets(rows.select(F.col("_rid").alias("node"), "_text").join(nodes.hint("merge"), "node", "left_semi")), "sets")
+    nodes = beside(members.select(F.col("node").alias("rid")).distinct(), "nodes")
+    sets = written(_sets(rows.select("_rid", "_text"), nodes), "sets")
     first = written(_compared(pairs, sets), "compared")
-    comp = _merged(first, None)
+    comp = _merged(_alike(first), None)
     # Buckets that components still share: the next hubs meet the members of other components.
-    left = _mixed(members.where("node <> hub").select("band", "node", "order"), comp, "band")
-    ranked = written(left.withColumn("rank", F.row_number().over(W.partitionBy("band").orderBy("order"))), "open")
-    h = ranked.where(F.col("rank") <= HUBS).select("band", F.col("node").alias("hub"), F.col("component").alias("hc"))
-    pairs = ranked.join(h, "band").where("component <> hc").select(F.least("hub", "node").alias("u"), F.greatest("hub", "node").alias("v")).distinct()
-    comp = _merged(written(_compared(pairs, sets), "compared"), comp)
+    left = written(_mixed(members.where("node <> hub").select("band", "node", "order"), comp, "band"), "open")
+    rank = F.row_number().over(W.partitionBy("band").orderBy("order"))
+    h = left.withColumn("rank", rank).where(F.col("rank") <= HUBS).select("band", F.col("node").alias("hub"), F.col("component").alias("hc"))
+    pairs = left.join(h, "band").where("component <> hc").select(F.least("hub", "node").alias("u"), F.greatest("hub", "node").alias("v")).distinct()
+    second = written(_compared(pairs, sets), "compared")
+    comp = _merged(_alike(second), comp)
     # What is left is decided by how texts differ from their common hub.
-    kin = _mixed(first.select(F.col("u").alias("hub"), F.col("v").alias("node"), "a", "b", "both", "delta"), comp, "hub")
-    own = W.partitionBy("hub")
-    parts = F.greatest(F.count("*").over(own) / 2000, F.sum(F.length("delta")).over(own) / (1 << 22)) + 1
-    kin = written(kin.withColumn("parts", parts.cast("long")), "kin")
-    left = _sharing(kin.select("hub", "node", "component", "delta", "parts", "a", "b", "both"))
-    comp = _merged(written(_compared(left, sets), "compared"), comp)
+    kin = written(_mixed(first.select(F.col("u").alias("hub"), F.col("v").alias("node"), "a", "b", "both", "delta"), comp, "hub"), "kin")
+    room = kin.groupBy("hub").agg(F.count("*").alias("_n"), F.sum(F.length("delta")).alias("_b"))
+    parts = F.when((F.col("_n") <= PART) & (F.col("_b") <= 1 << 24), 1).otherwise(F.ceil(F.col("_b") / (8 * PART)) + 1)
+    kin = kin.join(room, "hub").withColumn("parts", parts.cast("long"))
+    comp = _merged(_sharing(kin.select("hub", "node", "component", "delta", "parts", "a", "b", "both")), comp)
     ends = comp.select("node", "component").join(classes.select("node", "doc", "n"), "node", "right").withColumn("component", F.coalesce("component", "node"))
     named = ends.groupBy("component").agg(F.min(F.struct(F.col("doc").isNull().alias("z"), F.col("doc").alias("d"), F.col("node").alias("r"))).alias("b"), F.sum("n").alias("n_class"))
     table = ends.join(named, "component").select("node", F.col("b.d").alias("class_id"), F.col("b.r").alias("stays"), "n_class")
-    table = written(classes.select("_set", "node").join(table, "node").drop("node"), "groups")
-    out = rows.join(table, "_set", "left").select(
-        *[F.col({"doc_id": "_doc", "text": "_text"}.get(c, f"`{c}`")).alias(c) for c in carry],
-        *([] if "doc_id" in carry else [F.col("_doc").alias("doc_id")]),
+    table = classes.select("_set", "node").join(table, "node").drop("node")
+    out = rows.select("_rid", "_doc", "_set").join(table, "_set", "left").select(
+        F.col("_rid").alias("rid"),
+        F.col("_doc").alias("doc_id"),
         F.when(F.col("stays").isNull(), F.col("_doc")).otherwise(F.col("class_id")).alias("class_id"),
         F.coalesce("n_class", F.lit(1)).cast("long").alias("n_class"),
         (F.col("stays").isNull() | (F.col("stays") == F.col("_rid"))).alias("kept"),
     )
-    discard(classes, members, sets)
-    return out
+    spent = (classes, shared, buckets, members, nodes, sets, first, left, second)
+    if not carry:
+        out = written(out.drop("rid"), "groups")
+        discard(rows, *spent)
+        return out
+    groups = beside(out.select("rid", "class_id", "n_class", "kept"), "groups")
+    discard(*spent)
+    return _attached(rows, groups, carry)
+
+
+def _attached(rows: DataFrame, groups: Beside, carry: list[str]) -> DataFrame:
+    """The carried columns of the rows with their groups, by row number."""
+    cols = list(dict.fromkeys(["doc_id", *carry]))
+    source = rows.select("_rid", *[F.col({"doc_id": "_doc", "text": "_text"}.get(c, f"`{c}`")).alias(c) for c in cols])
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[1:])
+
+    def run(batches):
+        for b in batches:
+            rids = b.column(0).to_numpy(zero_copy_only=False)
+            found = groups.of(rids)
+            own = [found[r][0] for r in rids.tolist()]
+            more = [pa.array([x[k] for x in own], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.bool_()))]
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], *more], names=[*cols, "class_id", "n_class", "kept"])
+
+    return source.mapInArrow(run, f"{schema}, class_id long, n_class long, kept boolean")
 
 
-def _merged(tested: DataFrame, comp: DataFrame | None) -> DataFrame:
-    """(node, component) after the links among newly tested pairs; components that no new
-    link touches stay as they are."""
-    links = tested.where(F.col("sim") >= THRESHOLD - 1e-12).select("u", "v")
+def _alike(tested: DataFrame) -> DataFrame:
+    return tested.where(F.col("sim") >= THRESHOLD - 1e-12).select("u", "v")
+
+
+def _merged(links: DataFrame, comp: DataFrame | None) -> DataFrame:
+    """(node, component) after new links; components that no new link touches stay as they are."""
     if comp is None:
         return written(connected_components(links), "components")
     for c in ("u", "v"):
@@ -384,7 +425,9 @@ def _merged(tested: DataFrame, comp: DataFrame | None) -> DataFrame:
         return comp
     step = connected_components(links)
     old = comp.join(step.select(F.col("node").alias("component"), F.col("component").alias("_new")), "component", "left").select("node", F.coalesce("_new", "component").alias("component"))
-    return written(old.union(step.join(comp, "node", "left_anti")), "components")
+    out = written(old.union(step.join(comp, "node", "left_anti")), "components")
+    discard(links)
+    return out
 
 
 def _mixed(left: DataFrame, comp: DataFrame, key: str) -> DataFrame:

@@ -397,12 +397,14 @@ def repeated_runs(rows: DataFrame, length: int = LENGTH, keep: str = "none", gra
     spent.append(wanted)
     contexts = _fetched(rows, wanted, length, length - gram, encode)
     ordinary = (F.col("k") <= hot) | (F.col("lo") == F.col("hi"))
+    small = None
     hottest = classes.agg(F.max("k")).first()[0] or 0
     while hottest > hot:
         # Bins of many classes are parted by further bytes, so each stays small enough to be ordered.
         contexts = written(contexts, "contexts")
         spent.append(contexts)
-        hits = hits.union(_ordered_bins(contexts.where(ordinary), length, first))
+        done = contexts.where(ordinary)
+        small = done if small is None else small.union(done)
         parts = written(_parted(contexts.where(~ordinary), length), "parts")
         classes = _classes(parts)
         spent += [parts, classes]
@@ -411,7 +413,8 @@ def repeated_runs(rows: DataFrame, length: int = LENGTH, keep: str = "none", gra
         contexts = parts.drop("k").join(several, ["h", "ctx", "rid", "first"]).withColumnRenamed("_k", "k")
         contexts = contexts.select("h", "ctx", "n", "off", "doc", "rid", "first", "k", "lo", "hi", "raw")
         hottest = classes.where("k > 1").join(parts.where("lo < hi").select("h").distinct(), "h", "left_semi").agg(F.max("k")).first()[0] or 0
-    out = beside(hits.union(_ordered_bins(contexts, length, first)), "hits")
+    small = contexts if small is None else small.union(contexts)
+    out = beside(hits.union(_ordered_bins(small, length, first)), "hits")
     discard(*spent)
     return out
 

@@ -321,13 +321,38 @@ def test_open_buckets_leave_no_pair_out():
         node, x, size = np.arange(40), need * weight - both + a / 2, np.array([len(d) for d in lots])
         index = np.minimum(size, size - np.ceil(2 * x - 1e-6).astype(int) + 1)
         want = {(i, j) for j in range(40) for i in range(j) if comp[i] != comp[j] and minhash.similarity(sets[i], sets[j]) >= 0.8}
-        for whole in (True, False):
-            got = {p for u, v in minhash._met(node, comp, x, size, index, lots, whole) for p in zip(u.tolist(), v.tolist(), strict=True)}
-            assert want == got if whole else want <= got
+
+        def joined(links):
+            top = {i: c for i, c in enumerate(comp.tolist())}
+            for i, j in links:
+                old, new = top[i], top[j]
+                top |= {k: new for k, c in top.items() if c == old}
+            return {frozenset(k for k in top if top[k] == c) for c in top.values()}
+
+        for full in (None, lots):
+            got = minhash._forest(node, comp, x, size, index, lots, full)
+            assert set(got) <= want and joined(got) == joined(want) and len(got) < 40
         seen["links"] += len(want)
     assert seen["links"] > 20
 
 
+@pytest.mark.parametrize("part", [4096, 3])
+def test_a_large_group_without_a_common_hub(spark, monkeypatch, part):
+    """Edited copies of a text that is not there, each alike some others only."""
+    monkeypatch.setattr(minhash, "PART", part)
+    rng = random.Random(77)
+    base, texts = prose(rng, 240).split(), []
+    for _ in range(90):
+        w = list(base)
+        for k in rng.sample(range(240), rng.randint(2, 4)):
+            w[k] = prose(rng, 1)
+        texts.append(" ".join(w))
+    sets = [minhash.weighted_shingles(h) for h in batch_word_hashes(texts)]
+    links = sum(minhash.similarity(sets[i], sets[j]) >= 0.8 for j in range(90) for i in range(j))
+    got = minhash.near_duplicates(docs_of(spark, texts)).toPandas().sort_values("doc_id")
+    assert 90 < links < 3000 and got.class_id.tolist() == grouped(sets)
+
+
 def test_signatures_estimate_the_similarity():
     rng = np.random.default_rng(2)
     e = rng.integers(0, 2**63, 400).astype(np.uint64)

@@ -17,8 +17,8 @@ previous factor (``first``), the neighbours the longest common factor
 (``none``); a window repeats where it is LENGTH bytes or more.
 
 A bin of more than HOT classes is not gathered in one task: its contexts are cut by the
-offset of their windows' anchor, half the offsets each time, and dealt again by the
-bytes that all windows of the half cover.  Equal windows stay together, contexts that
+offset of their windows' anchor, into WAYS ranges each time, and dealt again by the
+bytes that all windows of the range cover.  Equal windows stay together, contexts that
 have become equal are one class again, and at one offset all windows of a bin are equal,
 so every bin gets small enough to be ordered.
 
@@ -53,6 +53,8 @@ LENGTH = 400
 GRAM = 40
 #: Context classes of a bin that is ordered as it is.
 HOT = 512
+#: Ranges of offsets that a larger bin's contexts are cut into, again and again.
+WAYS = 4
 #: Contexts that are ordered at once.
 BATCH = 16_384
 #: Words of a passage that the registered queries look for beside byte strings.
@@ -321,12 +323,12 @@ def _name(*parts: bytes | int) -> int:
 
 
 def parted(context: tuple, length: int) -> list[tuple]:
-    """A context cut by the offset of its windows' anchor, lo .. hi halved.  The windows of a
-    half share the bytes that all offsets of the half cover, which name its bin."""
+    """A context cut by the offset of its windows' anchor, lo .. hi in WAYS ranges.  The windows
+    of a range share the bytes that all its offsets cover, which name its bin."""
     _, _, n, off, doc, rid, first, _, lo, hi, raw = context
-    mid = (lo + hi) // 2
+    edges = sorted({lo + (hi - lo + 1) * k // WAYS for k in range(WAYS)}) + [hi + 1]
     out = []
-    for a, b in ((lo, mid), (mid + 1, hi)):
+    for a, b in zip(edges, [e - 1 for e in edges[1:]], strict=False):
         least, most = max(a, off - n + 1), min(b, off)
         if least > most:
             continue

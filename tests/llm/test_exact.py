@@ -143,6 +143,43 @@ def test_main_text(spark):
     assert [got[i].text for i in range(len(cases))] == list(cases.values()) and got[None].n_chars == 0
 
 
+def made_page(rng, kind):
+    """A page and its article's text, which the maker knows; boilerplate without labels too."""
+    sentence = lambda: prose(rng, rng.randint(8, 25)).capitalize() + ", " + prose(rng, 5) + "."
+    blocks = [prose(rng, 4).capitalize()]
+    body = f"<h1>{blocks[0]}</h1>"
+    for _ in range(rng.randint(3, 9)):
+        t = " ".join(sentence() for _ in range(rng.randint(1, 4)))
+        blocks.append(t)
+        body += f"<p>{t.replace(' ', ' <b>', 1).replace('.', '</b>.', 1)}</p>" if rng.random() < 0.3 else f"<p>{t}"
+    if rng.random() < 0.5:
+        items = [prose(rng, 5) for _ in range(4)]
+        body += "<ul>" + "".join(f"<li>{x}</li>" for x in items) + "</ul>"
+        blocks += items
+    links = "".join(f"<li><a href=/{k}>{prose(rng, 2)}</a></li>" for k in range(rng.randint(4, 9)))
+    if kind == "labelled":
+        html = f"<nav><ul>{links}</ul></nav><div class=ad>{sentence()}</div><article>{body}</article><section id=comments><p>{sentence()}</p></section><footer>{sentence()}</footer>"
+    elif kind == "plain":
+        html = f"<div><ul>{links}</ul></div><div><section>{body}</section></div><div><ul>{links}</ul></div><script>{sentence()}</script>"
+    else:
+        html = f"<table><tr><td><div>{links}</div><td><div>{body}</div></table><div><span><a>{prose(rng, 2)}</a></span></div>"
+    return f"<html><head><title>{prose(rng, 3)}</title></head><body>{html}</body></html>", " ".join(blocks)
+
+
+def test_ratios_choose_the_content(monkeypatch):
+    pages = [made_page(random.Random(k), kind) for kind in ("labelled", "plain", "table") for k in range(40)]
+    assert [htmltext.main_text(h) for h, _ in pages] == [t for _, t in pages]
+    monkeypatch.setattr(htmltext, "SHARE", 0.0)
+    assert all(htmltext.main_text(h) != t for h, t in pages if "<table>" in h)
+
+
+def test_pages_of_any_depth_and_length():
+    deep = "<div>" * 30_000 + "Deep text, here." + "<p>x, y." * 2000
+    assert htmltext.main_text(deep).startswith("Deep text, here. x, y.")
+    long = "<p>Many words, in one text. " * 20_000
+    assert len(htmltext.main_text(long)) == 20_000 * 26 - 1
+
+
 def brute_repeats(raws, length):
     seen = Counter(b[i : i + length] for b in raws for i in range(len(b) - length + 1))
     out = []

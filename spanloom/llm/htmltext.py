@@ -5,7 +5,7 @@ the length and the punctuation of its text over the number of its nodes; both
 ratios are smoothed along the order in which paths first occur and fused by their
 product, in logarithms, with the share of the text that is no link and, for paths through an
 element that is boilerplate by its tag or by a word of its class, id or role, a low prior.
-Paths whose fused score reaches the mean less half a deviation are strong.  The container is
+Paths whose fused score reaches the mean less half a deviation (of text by path) are strong.  The container is
 the deepest path that holds nearly all text of strong paths (an ``article``, ``main`` or the
 like that does is taken before a plain one).  A path below it is content if its
 score, averaged with that of the text of the path above it (so that headings and short items of
@@ -51,7 +51,7 @@ MAIN_WORDS = frozenset("article content main post entry story body text maincont
 DEEPEST = 512
 #: Prior of paths through boilerplate, and share of the threshold that content reaches.
 LOW_PRIOR = 0.1
-SHARE = 0.6
+SHARE = 0.5
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _SPACE = re.compile(r"\s+")
 _PUNCT = re.compile(r"[.,;:!?¡¿…]")
@@ -200,7 +200,9 @@ def content_paths(nodes: list[tuple[_Node, str]]) -> set[tuple[str, ...]]:
     plain = np.array([score[p] for p in paths if not leaf[p].low])
     if not len(plain):
         return set()
-    least = float(plain.mean() - 0.5 * plain.std())
+    weight = np.array([leaf[p].length for p in paths if not leaf[p].low], float)
+    mean = np.average(plain, weights=weight)
+    least = float(mean - 0.5 * np.sqrt(np.average((plain - mean) ** 2, weights=weight))) - 1e-9
     strong = {p for p in paths if not leaf[p].low and score[p] >= least}
     # Sums of paths above: of all text that is not boilerplate, and of strong text.
     held: dict[tuple[str, ...], int] = {}

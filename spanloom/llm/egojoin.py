@@ -7,7 +7,10 @@ e-grid on these directions (first direction first), and the sorted sequence is
 cut into blocks.  Interval pairs are joined recursively: both intervals are cut into
 FAN parts, and pairs of parts whose boxes on the leading directions are farther
 apart than e are skipped; projections shrink distances, so no link is lost.
-Pairs of blocks that remain are compared by matrix products.
+The recursion ends inside the blocks: a pair of blocks that remains is cut into runs of RUN
+vectors, pairs of runs are skipped by their boxes and by the distance of their centres less
+their radii, and only the others are compared by matrix products.  Block bodies are not
+shuffled: tasks get tiles of TILE by TILE block numbers and read the bodies by number.
 
 Equal vectors are one class that is compared once and counts with its number.
 A block pair returns the number of links per class and a spanning forest of them, not
@@ -16,7 +19,7 @@ the links, so results grow with the blocks and not with the links.
 Defined cases: vectors that are null, empty, zero or hold null or non-finite numbers link
 with nothing; vectors of different length never link; rows that repeat a
 vec_id are vectors of their own, and so are null ids (which no component takes its name
-from unless all its ids are null); extra columns pass unused.
+from unless all its ids are null); an empty table gives an empty one; extra columns pass unused.
 """
 
 from __future__ import annotations
@@ -28,12 +31,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.llm.components import connected_components
-from spanloom.llm.storage import ship, shuffle_parts, written
+from spanloom.llm.storage import Beside, beside, discard, ship, shuffle_parts, written
 
 THRESHOLD = 0.9
-BLOCK = 1024
+BLOCK = 512
+RUN = 32
+TILE = 16
 FAN = 16
-LEADING = 8
+LEADING = 16
 _SLACK = 1e-9
 
 
@@ -112,10 +117,10 @@ def leading_directions(classes: DataFrame) -> dict[int, np.ndarray]:
     return out
 
 
-def _keyed(classes: DataFrame, eps: float) -> DataFrame:
+def _keyed(classes: DataFrame, eps: float, dirs: dict[int, np.ndarray]) -> DataFrame:
     """Adds the grid order's key: cells of leading directions as sortable bytes."""
     spark = classes.sparkSession
-    shared = spark.sparkContext.broadcast(leading_directions(classes))  # a few directions
+    shared = spark.sparkContext.broadcast(dirs)  # a few directions
 
     def run(batches):
         dirs = shared.value
@@ -194,7 +199,7 @@ def _boxes(child: DataFrame) -> DataFrame:
 
 
 def candidate_pairs(blocks: DataFrame, eps: float) -> DataFrame:
-    """(a, b) with a <= b: block pairs that recursion does not prove to be apart."""
+    """(a, b, ta, tb): block pairs in order that recursion does not prove to be apart, and their tile."""
     spark = blocks.sparkSession
     level = blocks.select(F.col("block").alias("k"), "size", "low", "high")
     pad = [F.array(*[F.coalesce(F.get(c, i), F.lit(0.0)) for i in range(LEADING)]).alias(c) for c in ("low", "high")]
@@ -223,7 +228,7 @@ def candidate_pairs(blocks: DataFrame, eps: float) -> DataFrame:
         pairs = written(pairs.join(left, ["a", "size"]).join(right, ["b", "size"]).where("na <= nb").where(~_far(eps)).select(F.col("na").alias("a"), F.col("nb").alias("b"), "size"), "pairs")
     names = leaves.select("k", F.col("no"))
     out = pairs.join(names.select(F.col("no").alias("a"), F.col("k").alias("ka")), "a").join(names.select(F.col("no").alias("b"), F.col("k").alias("kb")), "b")
-    return out.select(F.col("ka").alias("a"), F.col("kb").alias("b"))
+    return out.select(F.col("ka").alias("a"), F.col("kb").alias("b"), F.floor(F.col("a") / TILE).alias("ta"), F.floor(F.col("b") / TILE).alias("tb"))
 
 
 def _forest(i: np.ndarray, j: np.ndarray, n: int) -> list[tuple[int, int]]:
@@ -244,42 +249,79 @@ def _forest(i: np.ndarray, j: np.ndarray, n: int) -> list[tuple[int, int]]:
     return list(zip(root[moved].tolist(), moved.tolist(), strict=True))
 
 
-def _compared(pairs: DataFrame, threshold: float) -> DataFrame:
-    """Per block pair: (node, links) and forest edges (node, other)."""
+def near_runs(x: np.ndarray, y: np.ndarray, dirs: np.ndarray, eps: float, run: int = RUN) -> np.ndarray:
+    """Which runs of x and y their boxes and balls do not prove to be farther apart than eps."""
+
+    def bounds(u):
+        at = np.arange(0, len(u), run)
+        p = u @ dirs
+        low, high = np.minimum.reduceat(p, at), np.maximum.reduceat(p, at)
+        n = np.diff(np.append(at, len(u)))
+        mid = np.add.reduceat(u, at) / n[:, None]
+        radius = np.sqrt(np.maximum.reduceat(((u - np.repeat(mid, n, axis=0)) ** 2).sum(axis=1), at))
+        return low, high, mid, radius
+
+    (a, b, m, r), (c, d, k, q) = bounds(x), bounds(y)
+    gap = np.maximum(np.maximum(a[:, None] - d[None], c[None] - b[:, None]), 0.0)
+    apart = np.sqrt(np.maximum((m * m).sum(axis=1)[:, None] + (k * k).sum(axis=1)[None] - 2 * m @ k.T, 0.0)) - r[:, None] - q[None]
+    return ((gap * gap).sum(axis=2) <= (eps + _SLACK) ** 2) & (apart <= eps + 1e-6)
+
+
+def _hits(x: np.ndarray, y: np.ndarray, dirs: np.ndarray, threshold: float, eps: float) -> np.ndarray:
+    """Which vectors of x and y link."""
+    near = near_runs(x, y, dirs, eps)
+    if near.mean() > 0.5:
+        return x @ y.T >= threshold
+    hit = np.zeros((len(x), len(y)), bool)
+    for i in np.flatnonzero(near.any(axis=1)).tolist():
+        cols = np.flatnonzero(np.repeat(near[i], RUN)[: len(y)])
+        hit[i * RUN : (i + 1) * RUN, cols] = x[i * RUN : (i + 1) * RUN] @ y[cols].T >= threshold
+    return hit
+
+
+def _compared(pairs: DataFrame, bodies: Beside, dirs: dict[int, np.ndarray], threshold: float, eps: float) -> DataFrame:
+    """(a, b, ta, tb), tile by tile -> per block pair: (node, links) and forest edges (node, other)."""
     kind = "u long, v long, n long"
+    shared = pairs.sparkSession.sparkContext.broadcast(dirs)
+
+    def links(left, right, same):
+        hit = _hits(left[2], right[2], shared.value[8 * left[2].shape[1]], threshold, eps)
+        if same:
+            np.fill_diagonal(hit, False)
+        rows = hit.any(axis=1)
+        if not rows.any():
+            return None
+        out = [(left[0][rows], (hit @ right[1])[rows])]
+        if not same:
+            other = left[1] @ hit
+            out.append((right[0][other > 0], other[other > 0]))
+        i, j = np.nonzero(hit)
+        m = len(left[0])
+        edges = _forest(i, j if same else j + m, m if same else m + len(right[0]))
+        nodes = left[0] if same else np.concatenate((left[0], right[0]))
+        u = np.concatenate([x[0] for x in out])
+        n = np.concatenate([x[1] for x in out])
+        e = np.array(edges, np.int64).reshape(-1, 2)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.concatenate((u, nodes[e[:, 0]]))), pa.array([None] * len(u) + nodes[e[:, 1]].tolist(), pa.int64()), pa.array(np.concatenate((n, np.zeros(len(e), np.int64))))],
+            names=["u", "v", "n"],
+        )
 
     def run(batches):
-        name, left = None, None
+        tile, held = None, {}
         for b in batches:
-            for ka, an, ac, ar, kb, bn, bc, br in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if ka != name:
-                    ids = np.frombuffer(an, "<i8")
-                    name, left = ka, (ids, np.frombuffer(ac, "<i8"), np.frombuffer(ar, "<f8").reshape(len(ids), -1))
-                ids = np.frombuffer(bn, "<i8")
-                right = (ids, np.frombuffer(bc, "<i8"), np.frombuffer(br, "<f8").reshape(len(ids), -1))
-                same = ka == kb
-                hit = left[2] @ right[2].T >= threshold
-                if same:
-                    np.fill_diagonal(hit, False)
-                rows = hit.any(axis=1)
-                if not rows.any():
-                    continue
-                mine = hit @ right[1]
-                out = [(left[0][rows], mine[rows])]
-                if not same:
-                    other = left[1] @ hit
-                    out.append((right[0][other > 0], other[other > 0]))
-                i, j = np.nonzero(hit)
-                m = len(left[0])
-                edges = _forest(i, j if same else j + m, m if same else m + len(ids))
-                nodes = left[0] if same else np.concatenate((left[0], ids))
-                u = np.concatenate([x[0] for x in out])
-                n = np.concatenate([x[1] for x in out])
-                e = np.array(edges, np.int64).reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate((u, nodes[e[:, 0]]))), pa.array([None] * len(u) + nodes[e[:, 1]].tolist(), pa.int64()), pa.array(np.concatenate((n, np.zeros(len(e), np.int64))))],
-                    names=["u", "v", "n"],
-                )
+            rows = list(zip(*(c.to_pylist() for c in b.columns), strict=True))
+            for at, (ka, kb, ta, tb) in enumerate(rows):
+                if (ta, tb) != tile or ka not in held or kb not in held:
+                    tile, held = (ta, tb), {}
+                    own = {k for r in rows[at:] if r[2:] == tile for k in r[:2]}
+                    for k, found in bodies.of(np.array(sorted(own))).items():
+                        nodes, counts, raw = found[0]
+                        ids = np.frombuffer(nodes, "<i8")
+                        held[k] = (ids, np.frombuffer(counts, "<i8"), np.frombuffer(raw, "<f8").reshape(len(ids), -1))
+                found = links(held[ka], held[kb], ka == kb)
+                if found is not None:
+                    yield found
 
     return pairs.mapInArrow(run, kind)
 
@@ -291,14 +333,13 @@ def epsilon_links(vectors: DataFrame, threshold: float = THRESHOLD, block: int =
     rows = vectors.select(F.monotonically_increasing_id().alias("rid"), F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
     rows = written(_usable(rows), "vectors")
     classes = written(rows.where("raw is not null").groupBy("raw").agg(F.min("rid").alias("node"), F.count("*").alias("n"), F.min("id").alias("least")), "vectorclasses")
-    keyed = written(_keyed(classes.select("node", "raw", "n"), eps), "keyed")
-    blocks = written(_blocks(keyed, block, leading_directions(classes)), "blocks")
-    pairs = candidate_pairs(blocks, eps)
-    body = blocks.select("block", "nodes", "counts", "raw")
-    left = body.select(F.col("block").alias("a"), F.col("nodes").alias("an"), F.col("counts").alias("ac"), F.col("raw").alias("ar"))
-    right = body.select(F.col("block").alias("b"), F.col("nodes").alias("bn"), F.col("counts").alias("bc"), F.col("raw").alias("br"))
-    full = pairs.repartition(4 * shuffle_parts(spark), "a", "b").join(left, "a").join(right, "b").select("a", "an", "ac", "ar", "b", "bn", "bc", "br")
-    found = written(_compared(full, threshold), "links")
+    dirs = leading_directions(classes)
+    keyed = written(_keyed(classes.select("node", "raw", "n"), eps, dirs), "keyed")
+    blocks = written(_blocks(keyed, block, dirs), "blocks")
+    bodies = beside(blocks.select(F.col("block").alias("rid"), "nodes", "counts", "raw"), "bodies")
+    pairs = candidate_pairs(blocks, eps).repartition(4 * shuffle_parts(spark), "ta", "tb").sortWithinPartitions("ta", "tb", "a", "b")
+    found = written(_compared(pairs, bodies, dirs, threshold, eps), "links")
+    discard(keyed, blocks, bodies)
     links = found.where("v is null").groupBy(F.col("u").alias("node")).agg(F.sum("n").alias("n_links"))
     comp = connected_components(found.where("v is not null").select("u", "v"))
     info = classes.join(links, "node", "left").join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))

@@ -440,6 +440,22 @@ def test_vector_links(spark):
     assert egojoin.epsilon_links(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_the_grid_order_leaves_most_pairs_out():
+    rng = np.random.default_rng(9)
+    centres = rng.normal(size=(30, 48))
+    u = np.concatenate([c + rng.normal(size=(128, 48)) * 0.2 for c in centres])
+    u /= np.linalg.norm(u, axis=1)[:, None]
+    eps = np.sqrt(0.2)
+    dirs = np.linalg.eigh(np.cov(u.T))[1][:, ::-1][:, : egojoin.LEADING]
+    cells = np.floor(u @ dirs / eps).astype(int)
+    u = u[np.lexsort(cells.T[::-1])]
+    x, y = u[:2048], u[2048:]
+    assert egojoin.near_runs(u, u, dirs, eps).mean() < 0.4
+    for a, b in ((x, y), (x, x)):
+        got = egojoin._hits(a, b, dirs, 0.9, eps)
+        assert (got == (a @ b.T >= 0.9)).all() and got.sum() > 1000
+
+
 def test_leaks(spark):
     rng = random.Random(8)
     item = "A train leaves Paris with 25 passengers at 80 km per hour and Anna counts 25 seats while Bob reads " + prose(rng, 10)

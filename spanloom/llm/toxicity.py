@@ -2,7 +2,8 @@
 
 Lexicon.  From a bounded sample of labelled training rows, words and word
 beginnings (stems) whose documents are toxic almost without exception are kept
-with the logarithm of their odds.  They form a trie.
+with the logarithm of their odds; stems of which that holds only where two words of a text
+start so (pairs) count from the second such word on.  They form a trie.
 
 Matching.  The union of the terms' Levenshtein automata is intersected with the
 trie: a state is a set of (trie node, edits so far), determinised as words are
@@ -19,8 +20,9 @@ Labels are learned only from rows whose crc32 of the doc_id's text modulo 5 is
 not 0; doc_id, lang, source and labels never enter a score.  Defined cases: null
 or empty texts get the score of a text without matches; without training labels of
 both kinds the lexicon is empty and all scores are one low constant; labels that
-repeat count once, rows that repeat are scored each; null doc_ids are
-scored and not held out.
+repeat count once (toxic if any is), rows that repeat are scored each; null doc_ids are
+scored and not held out; very long texts are scored whole; an empty table gives an empty one;
+columns other than doc_id, text and toxic pass unused.
 """
 
 from __future__ import annotations
@@ -50,17 +52,19 @@ _QUOTES = '"“”„«»'
 
 
 class Matcher:
-    """The determinised product of trie and edit automata; word -> weight, 0 without match."""
+    """The determinised product of trie and edit automata; word -> weight, 0 without match,
+    below 0 for a stem that needs a second word."""
 
-    def __init__(self, words: dict[str, float], stems: dict[str, float], exempt: frozenset[str] = frozenset()):
+    def __init__(self, words: dict[str, float], stems: dict[str, float], pairs: dict[str, float] | None = None, exempt: frozenset[str] = frozenset()):
         self.exempt = exempt
         self.kids: list[dict[str, int]] = [{}]
         self.word: list[tuple[float, int] | None] = [None]
         self.stem: list[float] = [0.0]
         self.most: list[int] = [0]
-        for terms, is_stem in ((words, False), (stems, True)):
+        self.pair: list[float] = [0.0]
+        for terms, is_stem in ((words, False), (stems, True), (pairs or {}, None)):
             for term, weight in terms.items():
-                edits = 0 if is_stem else 2 if len(term) >= FUZZIER else 1 if len(term) >= FUZZY else 0
+                edits = 0 if is_stem is not False else 2 if len(term) >= FUZZIER else 1 if len(term) >= FUZZY else 0
                 at = 0
                 self.most[0] = max(self.most[0], edits)
                 for c in term:
@@ -69,18 +73,21 @@ class Matcher:
                         self.kids.append({})
                         self.word.append(None)
                         self.stem.append(0.0)
+                        self.pair.append(0.0)
                         self.most.append(0)
                     at = self.kids[at][c]
                     self.most[at] = max(self.most[at], edits)
                 if is_stem:
                     self.stem[at] = weight
+                elif is_stem is None:
+                    self.pair[at] = weight
                 else:
                     self.word[at] = (weight, edits)
         start = self._closed({(0, 0, "")})
         self.states = {start: 0}
         self.sets = [start]
         self.step: list[dict[str, int]] = [{}]
-        self.value: list[tuple[float, float]] = [self._value(start)]
+        self.value: list[tuple[float, float, float]] = [self._value(start)]
 
     def _closed(self, items: set) -> frozenset:
         """Adds skipped trie letters; drops what has more edits than any term below allows."""
@@ -94,10 +101,11 @@ class Matcher:
                 todo += [(k, e + 1, "") for k in self.kids[node].values()]
         return frozenset((n, e, w) for (n, w), e in seen.items())
 
-    def _value(self, items: frozenset) -> tuple[float, float]:
-        """(weight of a word that ends here, weight of a stem reached here)"""
+    def _value(self, items: frozenset) -> tuple[float, float, float]:
+        """(weight of a word that ends here, of a stem and of a pair's stem reached here)"""
         word = max((self.word[n][0] * (1 if not e else 0.9**e) for n, e, w in items if not w and self.word[n] and e <= self.word[n][1]), default=0.0)
-        return word, max((self.stem[n] for n, e, w in items if not w and not e), default=0.0)
+        exact = [n for n, e, w in items if not w and not e]
+        return word, max((self.stem[n] for n in exact), default=0.0), max((self.pair[n] for n in exact), default=0.0)
 
     def _next(self, at: int, c: str) -> int:
         out = set()
@@ -124,14 +132,14 @@ class Matcher:
         return self.states[new]
 
     def weight(self, word: str) -> float:
-        at, best = 0, 0.0
+        at, best, pair = 0, 0.0, 0.0
         for c in word:
             at = self.step[at].get(c, -1) if c in self.step[at] else self._next(at, c)
             if not self.sets[at]:
-                return best
-            best = max(best, self.value[at][1])
+                return best or -pair
+            best, pair = max(best, self.value[at][1]), max(pair, self.value[at][2])
         found = self.value[at][0]
-        return max(best, found) if found and word not in self.exempt else best
+        return (max(best, found) if found and word not in self.exempt else best) or -pair
 
 
 def matches(texts: list[str | None], matcher: Matcher) -> dict[int, list[tuple[int, float]]]:
@@ -160,7 +168,12 @@ def context_sums(text: str, hits: list[tuple[int, float]]) -> tuple[float, float
     marks = np.cumsum([sum(w.count(q) for q in _QUOTES) for w in words])
     total = int(marks[-1]) if words else 0
     abuse = quoted = 0.0
+    several = sum(weight < 0 for _, weight in hits) > 1
     for k, weight in hits:
+        if weight < 0:
+            if not several:
+                continue
+            weight = -weight
         if k >= len(words):  # odd white space parts words otherwise in Arrow
             abuse += weight
             continue
@@ -192,27 +205,38 @@ PRIOR = np.array([-4.0, 6.0, 1.0])
 
 
 def fitted(x: np.ndarray, y: np.ndarray, strength: float = 2.0) -> np.ndarray:
-    """Logistic weights with a Gaussian prior around PRIOR, by Newton steps."""
+    """Logistic weights with a Gaussian prior around PRIOR, by Newton steps that are halved
+    until they are better."""
+
+    def loss(w):
+        z = x @ w
+        return (np.logaddexp(0, z) - y * z).sum() + strength / 2 * ((w - PRIOR) ** 2).sum()
+
     w = PRIOR.copy()
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         grad = x.T @ (p - y) + strength * (w - PRIOR)
         step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + strength * np.eye(3), grad)
+        now = loss(w)
+        while np.abs(step).max() >= 1e-8 and loss(w - step) > now:
+            step /= 2
         w -= step
         if np.abs(step).max() < 1e-8:
             break
     return w
 
 
-def lexicon(toxic: Counter, clean: Counter, n_toxic: int, n_clean: int) -> tuple[dict[str, float], dict[str, float]]:
-    """(words, stems) with log odds, from the numbers of documents that have each; stems
-    are marked by a final asterisk in the counters."""
+def lexicon(toxic: Counter, clean: Counter, n_toxic: int, n_clean: int) -> tuple[dict[str, float], dict[str, float], dict[str, float]]:
+    """(words, stems, pairs) with log odds, from the numbers of documents that have each; in
+    the counters a stem ends in an asterisk, a stem of two words or more in two."""
     least = max(4, math.ceil(0.03 * n_toxic))
 
     def odds(t: str) -> float:
         return math.log((toxic[t] + 0.5) / (n_toxic + 1)) - math.log((clean[t] + 0.5) / (n_clean + 1))
 
-    pure = {t: odds(t) for t, n in toxic.items() if n >= least and odds(t) > math.log(30) and clean[t] <= 0.02 * n}
+    pure = {t: odds(t) for t, n in toxic.items() if n >= least and odds(t) > math.log(30) and clean[t] <= (0.12 * n if t[-2:] == "**" else 0.02 * n)}
+    twice = {t: w for t, w in pure.items() if t[-2:] == "**"}
+    pure = {t: w for t, w in pure.items() if t not in twice}
     words = {t: w for t, w in pure.items() if t[-1] != "*" and len(t) >= 3}
     stems: dict[str, float] = {}
     for t in sorted((t for t in pure if t[-1] == "*"), key=lambda t: (len(t), t)):
@@ -226,15 +250,24 @@ def lexicon(toxic: Counter, clean: Counter, n_toxic: int, n_clean: int) -> tuple
             s = longer[:-1]
         stems[s] = min(6.0, pure[t])
     words = {w: min(6.0, x) for w, x in words.items() if not any(w.startswith(s) for s in stems)}
-    return words, stems
+    pairs: dict[str, float] = {}
+    for t in sorted(twice, key=lambda t: (-len(t), t)):
+        # The longest beginning whose texts are nearly all of a shorter one's speaks for both,
+        # and so does a word that most of a beginning's texts have.
+        if any(w.startswith(t[:-2]) and toxic[w] > 0.8 * toxic[t] for w in words):
+            continue
+        if not any(t[:-2].startswith(x) for x in stems) and not any(x.startswith(t[:-2]) and toxic[x + "**"] >= 0.9 * toxic[t] for x in pairs):
+            pairs[t[:-2]] = min(6.0, twice[t])
+    return words, stems, pairs
 
 
 def _terms(text: str) -> set[str]:
-    words = {w.strip(STRIP) for w in text.lower().split()}
-    words.discard("")
+    words = [w.strip(STRIP) for w in text.lower().split()]
     out = {w for w in words if w.isalpha()}
     for n in STEM_LETTERS:
-        out |= {w[:n] + "*" for w in words if len(w) > n and w[:n].isalpha()}
+        found = Counter(w[:n] for w in words if len(w) > n and w[:n].isalpha())
+        out |= {s + "*" for s in found}
+        out |= {s + "**" for s, k in found.items() if k > 1}
     return out
 
 
@@ -257,21 +290,21 @@ def train(docs: DataFrame, labels: DataFrame, sample_toxic: int = SAMPLE_TOXIC,
         yield pa.RecordBatch.from_arrays([pa.array(["", *terms]), pa.array([n[1], *(found[1][t] for t in terms)], pa.int64()), pa.array([n[0], *(found[0][t] for t in terms)], pa.int64())], names=["term", "toxic", "clean"])
 
     terms = texts.mapInArrow(count, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    rows = terms.where("term = '' or toxic >= 4 and clean <= 0.02 * toxic").collect()  # terms of a bounded sample
+    rows = terms.where("term = '' or toxic >= 4 and clean <= 0.12 * toxic").collect()  # terms of a bounded sample
     head = next((r for r in rows if r[0] == ""), ("", 0, 0))
     n_toxic, n_clean = int(head[1] or 0), int(head[2] or 0)
     if not n_toxic or not n_clean:
         return Matcher({}, {}), PRIOR
-    words, stems = lexicon(Counter({r[0]: r[1] for r in rows if r[0]}), Counter({r[0]: r[2] for r in rows if r[0]}), n_toxic, n_clean)
+    words, stems, pairs = lexicon(Counter({r[0]: r[1] for r in rows if r[0]}), Counter({r[0]: r[2] for r in rows if r[0]}), n_toxic, n_clean)
     spark = ship(docs.sparkSession)
-    shared = spark.sparkContext.broadcast((words, stems))
+    shared = spark.sparkContext.broadcast((words, stems, pairs))
 
     def measure(batches):
         m = Matcher(*shared.value)
         for b in batches:
             texts, toxic = b.column(0).to_pylist(), b.column(1).to_pylist()
             sums = _sums(texts, m)
-            near = [sorted({x for x in (w.strip(STRIP) for w in t.lower().split()) if x not in words and m.weight(x)}) if t and not y and sums[i].any() else [] for i, (t, y) in enumerate(zip(texts, toxic, strict=True))]
+            near = [sorted({x for x in (w.strip(STRIP) for w in t.lower().split()) if x not in words and m.weight(x) > 0}) if t and not y and sums[i].any() else [] for i, (t, y) in enumerate(zip(texts, toxic, strict=True))]
             yield pa.RecordBatch.from_arrays([pa.array(sums[:, 0]), pa.array(sums[:, 1]), b.column(1), pa.array(near, pa.list_(pa.string()))], names=["abuse", "quoted", "toxic", "near"])
 
     seen = texts.mapInArrow(measure, "abuse double, quoted double, toxic int, near array<string>").collect()  # a row per sampled document
@@ -281,7 +314,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_toxic: int = SAMPLE_TOXIC,
     for i, r in enumerate(seen):
         if r[3]:
             x[i] = 0  # near forms that clean documents use are exempt
-    return Matcher(words, stems, exempt), fitted(_shaped(x), y)
+    return Matcher(words, stems, pairs, exempt), fitted(_shaped(x), y)
 
 
 def held_out_remainder(column: str):

@@ -9,11 +9,13 @@ length, and the slots agree: the values that stand for one value of the item
 are the same at 80 % of its slots' places or more.
 
 The benchmark's windows are held in a broadcast array up to MOST of them; a
-larger benchmark is joined by shuffle, and only documents with enough windows of
-an item are looked at again.  Defined cases: null texts are empty; an item of
+larger benchmark is joined by shuffle on the rarest fifth (and one more) of each item's windows,
+one of which any leak has, and only documents that have one are looked at again.  Defined cases: null texts are empty; an item of
 fewer than five words matches only documents of just those words; items without
 words or windows match nothing; items with equal texts all match; repeated rows are decided each;
-null item_ids are left out; extra columns pass unused.
+null item_ids are left out; very long texts are read whole, in pieces; an empty table or benchmark
+gives no leak; ``leak_report`` leaves extra columns unused, ``decontaminated`` returns all columns
+of docs, which must not be named like its results or ``_rid``.
 """
 
 from __future__ import annotations
@@ -24,9 +26,10 @@ from collections import defaultdict, deque
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from spanloom.llm.storage import ship, written
+from spanloom.llm.storage import Beside, beside, ship, written
 from spanloom.llm.words import PIECE, SHINGLE, lowered, mix, prefix_hash, shingle_hashes, span_hash, word_spans
 
 THRESHOLD = 0.8
@@ -154,6 +157,22 @@ class _Slots:
         return self.agreed / self.n if self.n else 1.0
 
 
+def _aligned(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """One of the item's places for each place of the text: where windows of the item repeat, the
+    one that goes on from the place before."""
+    out: list[tuple[int, int]] = []
+    shift = 0
+    for d, i in pairs:
+        if out and out[-1][0] == d:
+            if abs(d - i - shift) < abs(d - out[-1][1] - shift):
+                out[-1] = (d, i)
+            continue
+        if out:
+            shift = out[-1][0] - out[-1][1]
+        out.append((d, i))
+    return out
+
+
 class Bank:
     """Templates and windows of the benchmark's items."""
 
@@ -203,7 +222,7 @@ class Bank:
     @staticmethod
     def _stretch(pairs, w, t, doc, n) -> float:
         """The largest share of windows in a stretch of the text whose slots agree."""
-        pairs = sorted(pairs)
+        pairs = _aligned(sorted(pairs))
         span = 2 * max(len(t[0]), SHINGLE)
         best, lo, inside, distinct = 0.0, 0, defaultdict(int), 0
         slots = _Slots(t, doc)
@@ -228,19 +247,27 @@ class Bank:
 _FOUND = "contaminated boolean, n_items int, item_ids array<long>, overlap double"
 
 
-def _decided(docs: DataFrame, bank_of, extra: int = 0) -> DataFrame:
-    """The columns of docs with the decision; extra trailing columns are not returned."""
+def _decided(docs: DataFrame, bank_of, asked: Beside | None = None) -> DataFrame:
+    """The columns of docs with the decision; with asked, the first is the row number that
+    names the items to look for and is not returned."""
     at = docs.columns.index("text")
-    kept = docs.schema.fields[: len(docs.schema.fields) - extra]
+    skip = 0 if asked is None else 1
+    kept = docs.schema.fields[skip:]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
 
     def run(batches):
         for b in batches:
-            rows = [bank_of(b, i).leaks(template(t)) if t else [] for i, t in enumerate(b.column(at).to_pylist())]
+            texts = b.column(at).to_pylist()
+            if asked is None:
+                rows = [bank_of(b, i).leaks(template(t)) if t else [] for i, t in enumerate(texts)]
+            else:
+                rids = b.column(0).to_numpy(zero_copy_only=False)
+                named = asked.of(rids)
+                rows = [bank_of(b, i, named[r]).leaks(template(t)) if t and r in named else [] for i, (r, t) in enumerate(zip(rids.tolist(), texts, strict=True))]
             ids = [[k for k, _ in r] for r in rows]
             yield pa.RecordBatch.from_arrays(
-                [*b.columns[: len(kept)], pa.array([bool(r) for r in rows], pa.bool_()), pa.array([len(r) for r in rows], pa.int32()), pa.array(ids, pa.list_(pa.int64())), pa.array([max((s for _, s in r), default=0.0) for r in rows], pa.float64())],
-                names=[*b.schema.names[: len(kept)], "contaminated", "n_items", "item_ids", "overlap"],
+                [*b.columns[skip:], pa.array([bool(r) for r in rows], pa.bool_()), pa.array([len(r) for r in rows], pa.int32()), pa.array(ids, pa.list_(pa.int64())), pa.array([max((s for _, s in r), default=0.0) for r in rows], pa.float64())],
+                names=[*b.schema.names[skip:], "contaminated", "n_items", "item_ids", "overlap"],
             )
 
     return docs.mapInArrow(run, f"{schema}, {_FOUND}")
@@ -284,16 +311,16 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, most: int = MOST) -> D
                     yield pa.RecordBatch.from_arrays([pa.array([rid] * len(w), pa.int64()), pa.array(w.view(np.int64))], names=["_rid", "w"])
 
     rows = written(docs.withColumn("_rid", F.monotonically_increasing_id()), "decontam")
-    pairs = rows.select("_rid", F.col("text").cast("string")).mapInArrow(doc_windows, "_rid long, w long").join(items.mapInArrow(item_windows, "item_id long, w long, size long"), "w")
-    enough = pairs.groupBy("_rid", "item_id").agg(F.count("*").alias("n"), F.max("size").alias("size")).where(F.col("n") >= THRESHOLD * F.col("size"))
-    lists = enough.join(items, "item_id").groupBy("_rid").agg(F.collect_list(F.struct("item_id", "item_text")).alias("_items"))
-    joined = rows.join(lists, "_rid", "left").select(*[F.col(f"`{c}`") for c in docs.columns], "_items")
-
-    def own(b, i):
-        found = b.column(b.num_columns - 1)[i].as_py() or []
-        return Bank([(x["item_id"], x["item_text"]) for x in found])
-
-    return _decided(joined, own, 1)
+    listed = items.mapInArrow(item_windows, "item_id long, w long, size long")
+    # A leak misses a fifth of an item's windows at most, so it has one of a fifth and one more: the
+    # rarest of the item, so that windows of many items bring no pairs.
+    common = listed.groupBy("w").agg(F.count("*").alias("_items"))
+    rank = F.row_number().over(W.partitionBy("item_id").orderBy("_items", "w"))  # as many as an item has windows
+    telling = listed.join(common, "w").withColumn("_rank", rank).where(F.col("_rank") <= F.floor(F.col("size") * (1 - THRESHOLD) + 1e-9) + 1).select("item_id", "w")
+    found = rows.select("_rid", F.col("text").cast("string")).mapInArrow(doc_windows, "_rid long, w long").join(telling, "w")
+    pairs = found.select("_rid", "item_id").distinct().join(items, "item_id")
+    asked = beside(pairs.select(F.col("_rid").alias("rid"), "item_id", "item_text"), "asked")
+    return _decided(rows.select("_rid", *[F.col(f"`{c}`") for c in docs.columns]), lambda b, i, found: Bank(found), asked)
 
 
 def leak_report(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:

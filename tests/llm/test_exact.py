@@ -1,6 +1,7 @@
 """Operators against brute force, round trips and odd inputs."""
 
 import hashlib
+import os
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -460,12 +461,14 @@ def test_leaks(spark):
     rng = random.Random(8)
     item = "A train leaves Paris with 25 passengers at 80 km per hour and Anna counts 25 seats while Bob reads " + prose(rng, 10)
     other = item.replace("25", "31").replace("Anna", "Lena").replace("Bob", "Max").replace("km", "miles")
-    mixed = item.replace("25", "31", 1).replace("Anna", "Lena")
-    bench = spark.createDataFrame([(1, item), (2, prose(rng, 30)), (3, "two words"), (4, None), (None, item), (5, ""), (6, "7 8 9 10 11")], "item_id long, text string")
-    texts = [None, "", prose(rng, 60) + ". " + item + ". " + prose(rng, 20), "So: " + other, prose(rng, 50), "two words", "two words more", item[: len(item) // 2], "1 2 3 4 5 6", "x. " + mixed]
+    many = " ".join(f"box {w} holds 25 balls and" for w in prose(rng, 6).split())
+    mixed = many.replace("25", "%d") % (25, 31, 44, 52, 67, 70)
+    steady = many.replace("25", "31")
+    bench = spark.createDataFrame([(1, item), (2, prose(rng, 30)), (3, "two words"), (4, None), (None, item), (5, ""), (6, "7 8 9 10 11"), (7, many)], "item_id long, text string")
+    texts = [None, "", prose(rng, 60) + ". " + item + ". " + prose(rng, 20), "So: " + other, prose(rng, 50), "two words", "two words more", item[: len(item) // 2], "1 2 3 4 5 6", "x. " + mixed, "x. " + steady]
     for most in (decontam.MOST, 1):
         got = decontam.leak_report(docs_of(spark, texts), bench, most=most).toPandas().sort_values("doc_id")
-        assert got.item_ids.map(list).tolist()[:9] == [[], [], [1], [1], [], [3], [], [], []]
+        assert got.item_ids.map(list).tolist() == [[], [], [1], [1], [], [3], [], [], [], [], [7]]
     assert decontam.leak_report(docs_of(spark, []), bench).count() == 0
     assert not decontam.leak_report(docs_of(spark, texts), bench.limit(0)).where("contaminated").count()
 
@@ -482,6 +485,21 @@ def test_a_leak_after_a_use_whose_slots_disagree():
     assert bank.leaks(decontam.template(" ".join(odd[:53]) + " then " + tail)) == []
 
 
+@pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.1/labels.parquet"), reason="needs the generated tables")
+def test_toxicity_of_each_language(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    got = toxicity.score_toxicity(docs, labels).where("held_out").join(docs.select("doc_id", "lang"), "doc_id").join(labels.select("doc_id", "toxic"), "doc_id").toPandas()
+    for _, g in got.groupby("lang"):
+        assert g.predicted[g.toxic == 1].mean() >= 0.9 and g.predicted[g.toxic == 0].mean() <= 0.06
+    assert got.toxic[got.predicted == 1].mean() >= 0.85
+
+
+def test_pairs_of_stems():
+    m = toxicity.Matcher({}, {"lowe": 5.0}, {"bome": 4.0})
+    assert m.weight("bomex") == -4.0 and m.weight("lower") == 5.0 and m.weight("bom") == 0
+    assert toxicity._sums(["a bomex b", "a bomex b bomey", "lower bomex", None], m)[:, 0].tolist() == [0.0, 8.0, 5.0, 0.0]
+
+
 def brute_distance(a, b):
     """Optimal string alignment distance."""
     d = [[i + j if not i * j else 0 for j in range(len(b) + 1)] for i in range(len(a) + 1)]

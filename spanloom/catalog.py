@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from spanloom import derive
 from spanloom.functions import classify, flops, names, numbers
+from spanloom.plans.analyze import in_preorder, keep
 from spanloom.operators import correlate, diff, intervals, phases, replay, report, rollup, score, tree, viewer, whatif
 from spanloom.sql import query
 
@@ -499,9 +500,13 @@ def _(t):
 
 
 def _overview(t) -> DataFrame:
-    totals, selfs = _totals(t), rollup.self_stats(t.details())
-    reps = rollup.representative_kernel(t.nodes(), totals, selfs, rollup.top_kernel(t.details()))
-    return report.overview(t.nodes(), t.closure(), totals, selfs, reps)
+    """The views that the levels share are computed once."""
+    nodes, details = keep(t.nodes()), keep(t.details())
+    up = keep(tree.closure(nodes))
+    selfs = keep(rollup.self_stats(details))
+    totals = keep(rollup.inclusive(selfs, up, nodes))
+    reps = rollup.representative_kernel(nodes, totals, selfs, rollup.top_kernel(details))
+    return report.overview(nodes, up, totals, selfs, keep(reps))
 
 
 _OV = """SELECT module_type, depth, count, mean_us, std_us, total_us FROM (
@@ -592,12 +597,105 @@ def _(t):
     return diff.gone_new(*_aggs(t))
 
 
-@_register("replacements", query("SELECT label, CAST(gone_us AS DOUBLE) AS gone_us, CAST(new_us AS DOUBLE) AS new_us, CAST(new_us - gone_us AS DOUBLE) AS net_us FROM (SELECT category AS label, sum(us) FILTER (side = 'a') AS gone_us, sum(us) FILTER (side = 'b') AS new_us FROM aggs x WHERE NOT EXISTS (SELECT 1 FROM aggs y WHERE y.short = x.short AND y.side <> x.side) GROUP BY category) WHERE gone_us IS NOT NULL AND new_us IS NOT NULL AND (gone_us >= 100 OR new_us >= 100) UNION ALL SELECT g.category || ' → ' || n.category, g.us, n.us, n.us - g.us FROM (SELECT category, sum(us) AS us, side FROM aggs x WHERE NOT EXISTS (SELECT 1 FROM aggs y WHERE y.short = x.short AND y.side <> x.side) GROUP BY ALL) g, (SELECT category, sum(us) AS us, side FROM aggs x WHERE NOT EXISTS (SELECT 1 FROM aggs y WHERE y.short = x.short AND y.side <> x.side) GROUP BY ALL) n WHERE g.side = 'a' AND n.side = 'b' AND g.category = 'quantization' AND n.category = 'gemm' AND greatest(g.us, n.us) / least(g.us, n.us) < 5", "aggs"))
+_GN = "SELECT category, sum(us) AS us, side FROM aggs x WHERE NOT EXISTS (SELECT 1 FROM aggs y WHERE y.short = x.short AND y.side <> x.side) GROUP BY ALL"
+
+
+@_register(
+    "replacements",
+    query(
+        f"""WITH s AS (SELECT category, max(us) FILTER (side = 'a') AS g, max(us) FILTER (side = 'b') AS n FROM ({_GN}) GROUP BY category HAVING max(us) >= 100),
+p AS (SELECT x.category AS cg, y.category AS cn, x.g, y.n, greatest(x.g, y.n) / greatest(least(x.g, y.n), 1) AS ratio FROM s x, s y WHERE x.n IS NULL AND y.g IS NULL),
+m AS (SELECT * FROM p WHERE ratio < 5 QUALIFY row_number() OVER (PARTITION BY cg ORDER BY ratio, cn) = 1 AND row_number() OVER (PARTITION BY cn ORDER BY g DESC, cg) = 1)
+SELECT label, CAST(g AS DOUBLE) AS gone_us, CAST(n AS DOUBLE) AS new_us, CAST(coalesce(n, 0) - coalesce(g, 0) AS DOUBLE) AS net_us FROM (
+  SELECT category AS label, g, n FROM s WHERE category NOT IN (SELECT cg FROM m UNION SELECT cn FROM m) UNION ALL SELECT cg || ' → ' || cn, g, n FROM m)""".replace("WITH s AS", "SELECT * FROM (WITH s AS")
+        + ")",
+        "aggs",
+    ),
+)
 def _(t):
     rows = diff.replacements(diff.gone_new(*_aggs(t)))
     return t.spark.createDataFrame([(r["label"], r["gone_us"], r["new_us"], r["net_us"]) for r in rows], "label string, gone_us double, new_us double, net_us double")
 
 
+@_register(
+    "category_drill_down",
+    query(
+        """WITH c AS (SELECT category, sum(delta_us) AS us, CASE WHEN sum(delta_us) < -100 THEN 'faster' WHEN sum(delta_us) > 100 THEN 'slower' ELSE 'negligible' END AS direction FROM deltas GROUP BY category),
+k AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY abs(delta_us) DESC, short) AS rank FROM deltas WHERE abs(delta_us) >= 50)
+SELECT row_number() OVER () AS unused, CAST(position AS INTEGER) AS position, c.category, direction, CAST(us AS BIGINT) AS category_us, CAST(rank AS INTEGER) AS rank, short, CAST(delta_us AS BIGINT) AS delta_us, CASE WHEN us <> 0 THEN round(delta_us / us * 100, 4) END AS share
+FROM (SELECT *, row_number() OVER (ORDER BY CASE direction WHEN 'faster' THEN 0 WHEN 'slower' THEN 1 ELSE 2 END, CASE WHEN direction = 'negligible' THEN 0 ELSE -abs(us) END, category) AS position FROM c) c
+LEFT JOIN (SELECT * FROM k WHERE rank <= 5) k ON k.category = c.category""".replace("WITH c AS", "SELECT * EXCLUDE (unused) FROM (WITH c AS")
+        + ")",
+        "deltas",
+    ),
+)
+def _(t):
+    return diff.drill_down(_deltas(t)).select("position", "category", "direction", *_long("category_us"), "rank", "short", *_long("delta_us"), _r("share").alias("share"))
+
+
+_PT = """SELECT p.phase, n.module_type AS tab, d.category, CAST(d.dur AS BIGINT) AS us, d.node_id % 2 AS side FROM details d JOIN nodes n USING (node_id) JOIN phases p USING (node_id)"""
+
+
+@_register(
+    "phase_breakdown",
+    query(
+        f"""SELECT phase, tab, category, CAST(tab_delta_us AS BIGINT) AS tab_delta_us, CAST(base_us AS BIGINT) AS base_us, CAST(target_us AS BIGINT) AS target_us, CAST(target_us - base_us AS BIGINT) AS delta_us FROM (
+  SELECT phase, tab, category, coalesce(sum(us) FILTER (side = 0), 0) AS base_us, coalesce(sum(us) FILTER (side = 1), 0) AS target_us FROM ({_PT}) GROUP BY ALL)
+  JOIN (SELECT phase, tab, sum(CASE side WHEN 1 THEN us ELSE -us END) AS tab_delta_us FROM ({_PT}) GROUP BY ALL HAVING count(DISTINCT side) = 2) USING (phase, tab) WHERE abs(tab_delta_us) >= 50 AND abs(target_us - base_us) >= 20""",
+        "details",
+        "nodes",
+        "phases",
+    ),
+)
+def _(t):
+    d = t.details().join(t.nodes().select("node_id", F.col("module_type").alias("tab")), "node_id").join(phases.tagged(t.nodes(), t.closure(), t.markers()), "node_id")
+    d = d.select("phase", "tab", "category", F.col("dur").alias("us"), "node_id")
+    return diff.phase_breakdown(d.where("node_id % 2 = 0"), d.where("node_id % 2 = 1")).select("phase", "tab", "category", *_long("tab_delta_us", "base_us", "target_us", "delta_us"))
+
+
+_TC = """SELECT n.module_type AS tab, d.category, d.name AS short, CAST(d.dur AS BIGINT) AS us, d.node_id % 2 AS side FROM details d JOIN nodes n USING (node_id) WHERE NOT (n.module_type = '1-URGENT' AND d.node_id % 2 = 1)"""
+
+
+@_register(
+    "tab_comparison",
+    query(
+        f"""SELECT CASE WHEN kind = 'tab' AND tab = '1-URGENT' OR has0 THEN tab END AS base_tab, CASE WHEN has1 THEN tab END AS target_tab, kind, name, base_us, target_us, target_us - base_us AS delta_us FROM (
+  SELECT tab, kind, name, CAST(coalesce(sum(us) FILTER (side = 0), 0) AS BIGINT) AS base_us, CAST(coalesce(sum(us) FILTER (side = 1), 0) AS BIGINT) AS target_us FROM (
+    SELECT tab, 'tab' AS kind, '' AS name, us, side FROM ({_TC}) UNION ALL SELECT tab, 'category', category, us, side FROM ({_TC}) UNION ALL SELECT tab, 'kernel', short, us, side FROM ({_TC})) GROUP BY ALL)
+  JOIN (SELECT tab, bool_or(side = 0) AS has0, bool_or(side = 1) AS has1 FROM ({_TC}) GROUP BY tab) USING (tab)
+  WHERE kind = 'tab' OR has0 AND has1 AND abs(target_us - base_us) >= CASE kind WHEN 'category' THEN 10 ELSE 20 END""",
+        "details",
+        "nodes",
+    ),
+)
+def _(t):
+    d = t.details().join(t.nodes().select("node_id", F.col("module_type").alias("tab")), "node_id").where("not (tab = '1-URGENT' and node_id % 2 = 1)")
+    d = d.groupBy("tab", "category", F.col("name").alias("short"), (F.col("node_id") % 2).alias("side")).agg(F.sum("dur").alias("us"))
+    a, b = d.where("side = 0"), d.where("side = 1")
+    pairs = diff.matched_tabs(a.select("tab").distinct(), b.select("tab").distinct())
+    return diff.tab_comparison(pairs, a, b).select("base_tab", "target_tab", "kind", "name", *_long("base_us", "target_us", "delta_us"))
+
+
+@_register("actionable_changes", query("SELECT short, category, CAST(base_us AS BIGINT) AS base_us, CAST(target_us AS BIGINT) AS target_us, CAST(delta_us AS BIGINT) AS delta_us FROM deltas WHERE base_us > 0 AND target_us > 0 ORDER BY abs(delta_us) DESC, short LIMIT 3", "deltas"))
+def _(t):
+    return diff.actionable(_deltas(t)).select("short", "category", *_long("base_us", "target_us", "delta_us"))
+
+
+@_register(
+    "base_modules",
+    query(
+        """SELECT module, CAST(sum(us) FILTER (side = 0) AS BIGINT) AS base_us, CAST(sum(us) FILTER (side = 1) AS BIGINT) AS target_us, CAST(sum(CASE side WHEN 1 THEN us ELSE -us END) AS BIGINT) AS delta_us, arg_max(category, (total, -first)) AS category, min(first) AS first FROM (
+  SELECT *, sum(us) OVER (PARTITION BY module, category) AS total, min(seq) OVER (PARTITION BY module, category) AS first FROM (
+    SELECT n.module_type AS module, d.category, CAST(d.dur AS BIGINT) AS us, d.node_id % 2 AS side, d.correlation AS seq FROM details d JOIN nodes n USING (node_id))) GROUP BY module""",
+        "details",
+        "nodes",
+    ),
+)
+def _(t):
+    d = t.details().join(t.nodes().select("node_id", F.col("name").alias("module")), "node_id").select("module", "category", F.col("dur").alias("us"), "seq", "node_id")
+    return diff.base_modules(d.where("node_id % 2 = 0"), d.where("node_id % 2 = 1")).select("module", *_long("base_us", "target_us", "delta_us"), "category", "first")
+
+
 def _by_type(t, side: int) -> DataFrame:
     d = t.details().where(F.col("node_id") % 2 == side).groupBy("node_id").agg(F.sum("dur").alias("us"))
     return d.join(t.nodes().select("node_id", "module_type"), "node_id").groupBy("module_type").agg(F.sum("us").alias("us"))
@@ -758,3 +856,98 @@ def _(t):
 @_register("grades", query("SELECT node_id, CASE WHEN total_us % 101 >= 90 THEN 'A' WHEN total_us % 101 >= 80 THEN 'B' WHEN total_us % 101 >= 70 THEN 'C' WHEN total_us % 101 >= 60 THEN 'D' ELSE 'F' END AS grade FROM totals", "totals"))
 def _(t):
     return _totals(t).select("node_id", numbers.grade(F.col("total_us") % 101).alias("grade"))
+
+
+# Further report, score, projection and viewer operators
+
+
+@_register("preorder", query("SELECT node_id, CAST(row_number() OVER (ORDER BY tid, ts, -e, node_id) AS BIGINT) AS place FROM nodes", "nodes"))
+def _(t):
+    n = t.nodes().select(F.col("tid").alias("thread"), "node_id", "ts", (F.col("ts") + F.col("dur")).alias("end"), F.col("preorder").alias("seq"), F.lit(False).alias("synthetic"))
+    n = in_preorder(n)
+    part = n.groupBy(F.shiftright("preorder", 33).alias("p")).agg(F.count("*").alias("c"))
+    before = part.withColumn("b", F.coalesce(F.sum("c").over(W.orderBy("p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))  # a row per partition
+    j = n.withColumn("p", F.shiftright("preorder", 33)).join(before, "p")
+    return j.select("node_id", (F.col("b") + F.col("preorder") - F.shiftleft("p", 33) + 1).alias("place"))
+
+
+@_register("layer_detail", query("SELECT d.correlation AS seq, d.name, d.category, d.dur, round(d.dur / (max(d.ts + d.dur) OVER () - min(d.ts) OVER ()) * 100, 4) AS pct_of_wall FROM details d JOIN nodes n USING (node_id) WHERE n.node_id = (SELECT node_id FROM (" + f"{_INST}" + ") WHERE module_type = '1-URGENT' AND instance_id = 2 ORDER BY kernel_count DESC, preorder LIMIT 1)", "details", "nodes"))
+def _(t):
+    d = report.layer_detail(_counted(t), t.closure(), t.details(), "1-URGENT", 2)
+    return d.select("seq", "name", "category", "dur", _r("pct_of_wall").alias("pct_of_wall"))
+
+
+@_register("instances_of", query(f"SELECT node_id, instance_id, kernel_count FROM ({_INST}) WHERE module_type = '2-HIGH' AND kernel_count > 0", "nodes", "details"))
+def _(t):
+    return report.instances_of(_counted(t), "2-HIGH", True).select("node_id", "instance_id", *_long("kernel_count"))
+
+
+@_register("indented_names", query("SELECT node_id, CASE WHEN parent_id IS NULL THEN 0 ELSE 1 END AS depth, name FROM nodes", "nodes"))
+def _(t):
+    text = F.concat(F.when(F.col("parent_id").isNull(), "").otherwise("    "), F.col("name"))
+    return t.nodes().select("node_id", *[c.alias(k) for k, c in names.indented(text).items()])
+
+
+@_register("model_kind", query("SELECT CASE WHEN count(*) > 0 THEN 'llm' ELSE 'single' END AS kind FROM phases", "phases"))
+def _(t):
+    return whatif.model_kind(phases.tagged(t.nodes(), t.closure(), t.markers()))
+
+
+@_register("ranked_kernels", query("SELECT name, CAST(sum(dur) AS BIGINT) AS total_us, count(*) AS n, round(sum(dur) / (SELECT sum(dur) FROM details) * 100, 4) AS pct FROM details GROUP BY name ORDER BY sum(dur) DESC, name LIMIT 10", "details"))
+def _(t):
+    return whatif.ranked_kernels(t.details()).select("name", *_long("total_us"), "n", _r("pct").alias("pct"))
+
+
+@_register("accumulated_changes", "SELECT user_id AS name, CAST(arg_min(event_id, event_id) % 100 AS DOUBLE) AS pct, min(event_id) AS seq FROM events WHERE event_type <> 'error' AND event_id > coalesce((SELECT max(event_id) FROM events WHERE event_type = 'error' AND event_id % 1000 < 10), -1) GROUP BY user_id")
+def _(t):
+    e = t.table("events")
+    reset = (F.col("event_type") == "error") & (F.col("event_id") % 1000 < 10)
+    h = e.where(reset | (F.col("event_type") != "error")).select(F.col("event_id").alias("seq"), F.when(~reset, F.col("user_id")).alias("name"), (F.col("event_id") % 100).cast("double").alias("pct"))
+    return whatif.accumulated(h).select("name", "pct", "seq")
+
+
+@_register("viewer_phase", query("SELECT DISTINCT ancestor AS node_id FROM anc JOIN phases p ON anc.node = p.node_id WHERE p.phase = 'decode'", "anc", "phases"))
+def _(t):
+    return viewer.of_phase(phases.tagged(t.nodes(), t.closure(), t.markers()), t.closure(), "decode")
+
+
+@_register("viewer_visible", query("SELECT node_id FROM nodes WHERE parent_id IS NULL OR parent_id % 3 = 0", "nodes"))
+def _(t):
+    return viewer.visible(t.closure(), t.nodes().where("node_id % 3 = 0").select("node_id"))
+
+
+@_register("viewer_expanded", query("SELECT node_id, 0 AS depth FROM nodes WHERE parent_id IS NULL", "nodes"))
+def _(t):
+    return viewer.expanded(t.closure(), 0)
+
+
+@_register("viewer_order", query("SELECT node_id, parent_id, CAST(row_number() OVER (PARTITION BY parent_id ORDER BY total_us DESC, preorder) AS INTEGER) AS place FROM nodes JOIN totals USING (node_id) WHERE parent_id IS NOT NULL", "nodes", "totals"))
+def _(t):
+    return viewer.ordered_siblings(t.nodes().where("parent_id is not null").join(_totals(t), "node_id"), "time_down")
+
+
+@_register(
+    "viewer_architecture",
+    query(
+        """WITH main AS (SELECT p.node_id FROM nodes p LEFT JOIN nodes c ON c.parent_id = p.node_id WHERE p.parent_id IS NULL GROUP BY p.node_id, p.preorder ORDER BY count(c.node_id) DESC, p.preorder LIMIT 1)
+SELECT CASE WHEN parent_id IS NULL THEN 'footer' ELSE 'body' END AS part, module_type, count(*) AS blocks, min(preorder) AS first, s.count, round(s.mean_us, 4) AS mean_us FROM nodes JOIN (SELECT module_type, count(*) AS count, avg(total_us) AS mean_us FROM nodes JOIN totals USING (node_id) GROUP BY module_type) s USING (module_type)
+WHERE parent_id = (SELECT node_id FROM main) OR parent_id IS NULL AND node_id <> (SELECT node_id FROM main) GROUP BY ALL""".replace("WITH main AS", "SELECT * FROM (WITH main AS")
+        + ")",
+        "nodes",
+        "totals",
+    ),
+)
+def _(t):
+    return viewer.architecture(t.nodes(), _totals(t)).select("part", "module_type", "blocks", "first", "count", _r("mean_us").alias("mean_us"))
+
+
+@_register("ordered_diagnostics", query(f"SELECT CAST(depth AS BIGINT) AS row, 'CustomerModel' AS root, depth, module_type, count, CAST(count % 100 AS DOUBLE) AS score, CASE WHEN count % 100 >= 90 THEN 'A' WHEN count % 100 >= 80 THEN 'B' WHEN count % 100 >= 70 THEN 'C' WHEN count % 100 >= 60 THEN 'D' ELSE 'F' END AS grade FROM ({_OV})", "totals", "nodes"))
+def _(t):
+    f = _flat(t).withColumn("row", F.col("depth").cast("long")).withColumn("root", F.lit("CustomerModel"))
+    return score.ordered_diagnostics(f.unionByName(f), f.select("module_type", "count", (F.col("count") % 100).cast("double").alias("score")))
+
+
+@_register("quality_rows", query(f"SELECT 'group' AS section, module_type AS metric, CAST(count % 100 AS DOUBLE) AS score, CASE WHEN count % 100 >= 90 THEN 'A' WHEN count % 100 >= 80 THEN 'B' WHEN count % 100 >= 70 THEN 'C' WHEN count % 100 >= 60 THEN 'D' ELSE 'F' END AS grade, 'count=' || count AS detail FROM ({_OV}) UNION ALL SELECT 'rule', 'S4', score, CASE WHEN score >= 90 THEN 'A' WHEN score >= 80 THEN 'B' WHEN score >= 70 THEN 'C' WHEN score >= 60 THEN 'D' ELSE 'F' END, '' FROM ({_S4}) UNION ALL SELECT 'composite', 'composite', round(score) / 4, 'F', '' FROM ({_S4})", "totals", "nodes"))
+def _(t):
+    s4 = score.time_consistency(_flat(t), classify.is_llm(t.nodes())).select(F.lit("S4").alias("rule"), _r("score").alias("score"))
+    return score.quality_rows(s4, score.composite(s4), _flat(t).select("module_type", "count", (F.col("count") % 100).cast("double").alias("score")))

@@ -84,3 +84,9 @@ def source_tier(frame: Column) -> Column:
 def source_label(frame: Column) -> Column:
     built_in = F.regexp_extract(frame, BUILTIN, 1)
     return F.when(~frame.contains(".py(") & (built_in != ""), F.concat(F.lit("<built-in "), built_in, F.lit(">"))).otherwise(frame)
+
+
+def indented(text: Column) -> dict[str, Column]:
+    """Depth (four spaces a level) and name of an indented entry."""
+    spaces = F.length(F.regexp_extract(text, "^( *)", 1))
+    return {"depth": F.floor(spaces / 4).cast("int"), "name": F.trim(text)}

@@ -69,24 +69,91 @@ def gone_new(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def replacements(sides: DataFrame) -> list[dict]:
-    """Categories whose kernels were replaced.  sides: category, side, us - one row per
-    category and side, so the greedy pairing is a driver loop.  Gone categories go by time, then name."""
+    """Categories whose kernels went, came or were replaced; a missing side is None.  sides:
+    category, side, us - one row per category and side, so the greedy pairing of categories with
+    one side only is a driver loop.  Gone categories go by time, then name."""
     gone, new = ({r["category"]: float(r["us"]) for r in sides.where(F.col("side") == s).groupBy("category").agg(F.sum("us").alias("us")).collect()} for s in ("GONE", "NEW"))
-    out = []
-    for c in sorted(set(gone) & set(new)):
-        if gone[c] >= REPLACED_US or new[c] >= REPLACED_US:
-            out.append({"label": c, "gone_us": gone[c], "new_us": new[c]})
-    free = {c: us for c, us in new.items() if c not in gone and us >= REPLACED_US}
-    for c in sorted((c for c in gone if c not in new and gone[c] >= REPLACED_US), key=lambda c: (-gone[c], c)):
-        ratio = {x: max(gone[c], us) / max(min(gone[c], us), 1) for x, us in free.items()}
+    big = {c for c in {*gone, *new} if max(gone.get(c, 0.0), new.get(c, 0.0)) >= REPLACED_US}
+    pairs: list[tuple[str | None, str | None]] = [(c, c) for c in big if c in gone and c in new]
+    free = {c for c in big if c not in gone}
+    for c in sorted((c for c in big if c not in new), key=lambda c: (-gone[c], c)):
+        ratio = {x: max(gone[c], new[x]) / max(min(gone[c], new[x]), 1) for x in free}
         best = min(ratio, key=lambda x: (ratio[x], x), default=None)
         if best is not None and ratio[best] < RATIO:
-            out.append({"label": f"{c} → {best}", "gone_us": gone[c], "new_us": free.pop(best)})
-    for r in out:
-        r["net_us"] = r["new_us"] - r["gone_us"]
+            free.discard(best)
+            pairs.append((c, best))
+        else:
+            pairs.append((c, None))
+    pairs += [(None, c) for c in free]
+    out = []
+    for x, y in pairs:
+        label = x if y in (None, x) else y if x is None else f"{x} → {y}"
+        left, right = None if x is None else gone[x], None if y is None else new[y]
+        out.append({"label": label, "gone_us": left, "new_us": right, "net_us": (right or 0.0) - (left or 0.0)})
     return sorted(out, key=lambda r: (-abs(r["net_us"]), r["label"]))
 
 
+def drill_down(deltas: DataFrame, top: int = 5) -> DataFrame:
+    """Categories in reading order (faster ones first, then slower ones, each by change, then the
+    negligible) with their kernels that changed most and their share of the category's change."""
+    g = deltas.groupBy("category").agg(F.sum("delta_us").alias("category_us"))
+    way = F.when(F.col("category_us") < -CATEGORY_US, "faster").when(F.col("category_us") > CATEGORY_US, "slower").otherwise("negligible")
+    g = g.withColumn("direction", way)
+    # A row per category.
+    order = W.partitionBy(F.lit(0)).orderBy(F.when(F.col("direction") == "faster", 0).when(F.col("direction") == "slower", 1).otherwise(2), F.when(F.col("direction") == "negligible", 0).otherwise(-F.abs("category_us")), "category")
+    g = g.withColumn("position", F.row_number().over(order))
+    k = deltas.where(F.abs("delta_us") >= CHANGE_US).withColumn("rank", F.row_number().over(W.partitionBy("category").orderBy(F.abs("delta_us").desc(), "short"))).where(F.col("rank") <= top)
+    j = g.join(k.select("category", "rank", "short", "delta_us"), "category", "left")
+    return j.select("position", "category", "direction", "category_us", "rank", "short", "delta_us", F.when(F.col("category_us") != 0, F.col("delta_us") / F.col("category_us") * 100).alias("share"))
+
+
+def phase_breakdown(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Per phase, tab of both sides and category: times of both and change, of tabs and
+    categories that changed enough.  a, b: phase, tab, category, us"""
+    keys = ["phase", "tab"]
+    both = a.groupBy(*keys).agg(F.sum("us").alias("_x")).join(b.groupBy(*keys).agg(F.sum("us").alias("_y")), keys)
+    both = both.where(F.abs(F.col("_y") - F.col("_x")) >= BLOCK_US).select(*keys, (F.col("_y") - F.col("_x")).alias("tab_delta_us"))
+    x = a.groupBy(*keys, "category").agg(F.sum("us").alias("base_us"))
+    y = b.groupBy(*keys, "category").agg(F.sum("us").alias("target_us"))
+    j = x.join(y, [*keys, "category"], "full").join(both, keys)
+    z = F.lit(0)
+    j = j.select(*keys, "category", "tab_delta_us", F.coalesce("base_us", z).alias("base_us"), F.coalesce("target_us", z).alias("target_us"))
+    return j.withColumn("delta_us", F.col("target_us") - F.col("base_us")).where(F.abs("delta_us") >= BLOCK_CATEGORY_US)
+
+
+def tab_comparison(pairs: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
+    """Per matched tab its categories and kernels that changed enough, and unmatched tabs with
+    their signed time.  pairs: base_tab, target_tab; a, b: tab, category, short, us"""
+    pairs = pairs.select("base_tab", "target_tab")
+    x = a.join(pairs, F.col("tab") == F.col("base_tab")).select("base_tab", "target_tab", "category", "short", F.col("us").alias("base_us"), F.lit(0).alias("target_us"))
+    y = b.join(pairs, F.col("tab") == F.col("target_tab")).select("base_tab", "target_tab", "category", "short", F.lit(0).alias("base_us"), F.col("us").alias("target_us"))
+    rows = x.unionByName(y)
+
+    def by(name, kind: str, least: int) -> DataFrame:
+        g = rows.groupBy("base_tab", "target_tab", F.lit(kind).alias("kind"), name.alias("name")).agg(F.sum("base_us").alias("base_us"), F.sum("target_us").alias("target_us"))
+        return g.withColumn("delta_us", F.col("target_us") - F.col("base_us")).where(F.abs("delta_us") >= least)
+
+    matched = F.col("base_tab").isNotNull() & F.col("target_tab").isNotNull()
+    tabs = by(F.lit("").cast("string"), "tab", 0)
+    return tabs.unionByName(by(F.col("category"), "category", TAB_CATEGORY_US).where(matched)).unionByName(by(F.col("short"), "kernel", TAB_KERNEL_US).where(matched))
+
+
+def actionable(deltas: DataFrame, top: int = 3) -> DataFrame:
+    """The kernels of both sides whose time changed most."""
+    return deltas.where("base_us > 0 and target_us > 0").orderBy(F.abs("delta_us").desc(), "short").limit(top).select("short", "category", "base_us", "target_us", "delta_us")
+
+
+def base_modules(a: DataFrame, b: DataFrame) -> DataFrame:
+    """One tab's modules without their numbers, by signed change: times of both sides, the
+    category with most time and the first place.  a, b: module, category, us, seq"""
+    base = F.regexp_replace("module", r"_\d+$", "")
+    x = a.select(base.alias("module"), "category", "seq", F.col("us").alias("base_us"), F.lit(0).alias("target_us"), F.col("us"))
+    y = b.select(base.alias("module"), "category", "seq", F.lit(0).alias("base_us"), F.col("us").alias("target_us"), F.col("us"))
+    g = x.unionByName(y).groupBy("module", "category").agg(F.sum("base_us").alias("base_us"), F.sum("target_us").alias("target_us"), F.sum("us").alias("us"), F.min("seq").alias("seq"))
+    m = g.groupBy("module").agg(F.sum("base_us").alias("base_us"), F.sum("target_us").alias("target_us"), F.max_by("category", F.struct(F.col("us"), (-F.col("seq")).alias("s"))).alias("category"), F.min("seq").alias("first"))
+    return m.withColumn("delta_us", F.col("target_us") - F.col("base_us")).orderBy("delta_us", "module")
+
+
 def module_delta(a: DataFrame, b: DataFrame) -> DataFrame:
     """Modules that both sides have; a, b: module_type, us"""
     j = a.select("module_type", F.col("us").alias("base_us")).join(b.select("module_type", F.col("us").alias("target_us")), "module_type")

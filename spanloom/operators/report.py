@@ -103,3 +103,21 @@ def summary(totals: DataFrame, nodes: DataFrame) -> DataFrame:
     """Root types by time with percent of the grand total."""
     roots = nodes.where("parent_id is null").join(totals, "node_id").groupBy("module_type").agg(F.sum("total_us").alias("total_us"))
     return roots.withColumn("pct", rollup.share_of_all("total_us")).orderBy(F.col("total_us").desc(), "module_type")
+
+
+def layer_detail(nodes: DataFrame, ancestors: DataFrame, details: DataFrame, module_type: str, instance_id: int | None = None) -> DataFrame:
+    """Kernels of one instance of a type (the median one where none is named) in time order with
+    their percent of its wall time.  nodes: module_type, instance_id, kernel_count, preorder"""
+    own = nodes.where(F.col("module_type") == module_type)
+    one = rollup.median_instance(own) if instance_id is None else rollup.deduped_instances(own.where(F.col("instance_id") == instance_id))
+    below = one.select(F.col("node_id").alias("ancestor")).join(ancestors, "ancestor").select(F.col("node").alias("node_id"))
+    d = details.join(below, "node_id", "left_semi")
+    wall = d.agg((F.max(F.col("ts") + F.col("dur")) - F.min("ts")).alias("wall_us"))
+    j = d.crossJoin(F.broadcast(wall))  # one row
+    return j.select("ts", "seq", "name", "category", "dur", F.when(F.col("wall_us") > 0, F.col("dur") / F.col("wall_us") * 100).alias("pct_of_wall")).orderBy("ts", "seq")
+
+
+def instances_of(nodes: DataFrame, module_type: str, with_kernels: bool = False) -> DataFrame:
+    """All instances of a type in preorder, or those that have kernels."""
+    own = nodes.where(F.col("module_type") == module_type)
+    return (own.where("kernel_count > 0") if with_kernels else own).orderBy("preorder")

@@ -72,3 +72,25 @@ def diagnostics(overview: DataFrame, sequences: DataFrame) -> DataFrame:
     time = F.when(cv <= 0.05, 100.0).when(cv <= 0.1, 80.0).when(cv <= 0.2, 60.0).otherwise(F.greatest(F.lit(0.0), 100 - 200 * cv))
     out = overview.join(match, "module_type", "left").fillna({"pattern": 100.0}).withColumn("time_score", time)
     return out.withColumn("score", TIME_WEIGHT * F.col("time_score") + PATTERN_WEIGHT * F.col("pattern"))
+
+
+def ordered_diagnostics(overview: DataFrame, scored: DataFrame) -> DataFrame:
+    """Diagnostics in the overview's order, each (type, count) once, with its root and grade.
+    overview: row, depth, module_type, count; scored: module_type, count, score"""
+    first = overview.groupBy("module_type", "count").agg(F.min_by(F.struct("row", "depth", "root"), "row").alias("f"))
+    j = first.join(scored, ["module_type", "count"])
+    return j.select("f.row", "f.root", "f.depth", "module_type", "count", "score", grade(F.col("score")).alias("grade")).orderBy("row")
+
+
+def quality_rows(scores: DataFrame, total: DataFrame, groups: DataFrame) -> DataFrame:
+    """section, metric, score, grade, detail: the rules, the composite, then the groups.
+    scores: rule, score; total: composite; groups: module_type, count, score"""
+    rules = scores.select(F.lit("rule").alias("section"), F.col("rule").alias("metric"), "score", grade(F.col("score")).alias("grade"), F.lit("").alias("detail"))
+    one = total.select(F.lit("composite"), F.lit("composite"), "composite", grade(F.col("composite")), F.lit(""))
+    per = groups.select(F.lit("group"), "module_type", "score", grade(F.col("score")), F.concat(F.lit("count="), F.col("count").cast("string")))
+    return rules.union(one).union(per)
+
+
+def passes(total: DataFrame, threshold: float) -> bool:
+    """Whether the composite (one row) reaches the threshold."""
+    return (total.first()["composite"] or 0.0) >= threshold

@@ -27,6 +27,44 @@ def search(nodes: DataFrame, ancestors: DataFrame, text: str, column: str = "nam
     return ancestors.join(hits, "node", "left_semi").select(F.col("ancestor").alias("node_id")).distinct()
 
 
+def of_phase(nodes: DataFrame, ancestors: DataFrame, phase: str) -> DataFrame:
+    """Nodes of a phase and all their ancestors.  nodes: node_id, phase"""
+    hits = nodes.where(F.col("phase") == phase).select(F.col("node_id").alias("node"))
+    return ancestors.join(hits, "node", "left_semi").select(F.col("ancestor").alias("node_id")).distinct()
+
+
+def expanded(ancestors: DataFrame, depth: int) -> DataFrame:
+    """Nodes that show when the tree is open down to a depth: those with at most so many ancestors."""
+    return ancestors.groupBy(F.col("node").alias("node_id")).agg(F.max("dist").alias("depth")).where(F.col("depth") <= depth)
+
+
+def visible(ancestors: DataFrame, opened: DataFrame) -> DataFrame:
+    """Nodes all of whose ancestors are open.  opened: node_id"""
+    shut = ancestors.where("dist > 0").join(opened.select(F.col("node_id").alias("ancestor")), "ancestor", "left_anti").select("node").distinct()
+    return ancestors.where("dist = 0").join(shut, "node", "left_anti").select(F.col("node").alias("node_id"))
+
+
+def ordered_siblings(nodes: DataFrame, by: str = "original") -> DataFrame:
+    """Place of each node among its siblings: original, time_up, time_down or kernels_down.
+    nodes: node_id, parent_id, preorder, total_us, total_count"""
+    first = {"original": [], "time_up": [F.col("total_us")], "time_down": [F.col("total_us").desc()], "kernels_down": [F.col("total_count").desc()]}[by]
+    return nodes.withColumn("place", F.row_number().over(W.partitionBy("parent_id").orderBy(*first, "preorder"))).select("node_id", "parent_id", "place")
+
+
+def architecture(nodes: DataFrame, totals: DataFrame) -> DataFrame:
+    """Blocks of the main root (the model root with most children): embeddings are its header,
+    the others its body, other roots the footer; each with its type's count and mean time."""
+    t = nodes.join(totals, "node_id").withColumn("class", module_class(F.col("module_type")))
+    kids = t.where("parent_id is not null").groupBy(F.col("parent_id").alias("node_id")).agg(F.count("*").alias("_kids"))
+    roots = t.where("parent_id is null").join(kids, "node_id", "left").fillna({"_kids": 0})
+    main = roots.agg(F.min_by("node_id", F.struct((F.col("class") != "model_root").alias("a"), (-F.col("_kids")).alias("b"), F.col("preorder").alias("c"))).alias("main"))
+    stats = t.groupBy("module_type").agg(F.count("*").alias("count"), F.avg("total_us").alias("mean_us"))
+    j = t.crossJoin(F.broadcast(main)).where((F.col("parent_id") == F.col("main")) | F.col("parent_id").isNull() & (F.col("node_id") != F.col("main")))  # one row
+    part = F.when(F.col("parent_id").isNull(), "footer").when(F.col("class") == "embedding", "header").otherwise("body")
+    g = j.groupBy(part.alias("part"), "module_type", "class").agg(F.count("*").alias("blocks"), F.min("preorder").alias("first"))
+    return g.join(stats, "module_type")
+
+
 def runs(nodes: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:
     """Runs of equal values: keys, run, value, n, first"""
     w = W.partitionBy(*keys).orderBy(order)

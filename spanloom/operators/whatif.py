@@ -55,3 +55,25 @@ def end_to_end(steps: DataFrame, output_tokens: int) -> DataFrame:
     e2e = F.when(llm, F.coalesce("ttft_us", z) + (output_tokens - 1) * F.coalesce("itl_us", z)).otherwise(F.col("_s"))
     new = F.when(llm, F.coalesce("new_ttft_us", z) + (output_tokens - 1) * F.coalesce("new_itl_us", z)).otherwise(F.col("_n"))
     return s.select("ttft_us", "new_ttft_us", "itl_us", "new_itl_us", e2e.alias("e2e_us"), new.alias("new_e2e_us"), F.when(new > 0, (e2e / new - 1) * 100).alias("throughput_pct"))
+
+
+def model_kind(tabs: DataFrame) -> DataFrame:
+    """One row: llm where a detail tab has a phase, else single."""
+    return tabs.agg(F.when(F.coalesce(F.max(F.col("phase").isin("prefill", "decode", "pre", "dec")), F.lit(False)), "llm").otherwise("single").alias("kind"))
+
+
+def ranked_kernels(details: DataFrame, top: int = 10) -> DataFrame:
+    """Kernels by time from detail tabs, where there is no table of all kernels: sum, count and percent."""
+    g = details.groupBy("name").agg(F.sum("dur").alias("total_us"), F.count("*").alias("n"))
+    all_ = details.agg(F.sum("dur").alias("_all"))
+    g = g.orderBy(F.col("total_us").desc(), "name").limit(top).crossJoin(F.broadcast(all_))  # top rows, one row
+    return g.select("name", "total_us", "n", F.when(F.col("_all") > 0, F.col("total_us") / F.col("_all") * 100).otherwise(0.0).alias("pct"))
+
+
+def accumulated(history: DataFrame, upto: int | None = None) -> DataFrame:
+    """The changes in force after a session of them: of a kernel its first since the last reset.
+    history: seq, name (null: reset), pct; upto: the last seq to count"""
+    h = history if upto is None else history.where(F.col("seq") <= upto)
+    last = h.where("name is null").agg(F.coalesce(F.max("seq"), F.lit(-1)).alias("_reset"))
+    h = h.where("name is not null").crossJoin(F.broadcast(last)).where(F.col("seq") > F.col("_reset"))  # one row
+    return h.groupBy("name").agg(F.min_by("pct", "seq").alias("pct"), F.min("seq").alias("seq"))

@@ -17,13 +17,25 @@ from spanloom.sources import sinks, trace
 
 def keep(df: DataFrame) -> DataFrame:
     """Computed once and cut from its lineage, in the folder of spark.checkpoint.dir (one of
-    its own only where none is set)."""
+    its own only where none is set and all runs in one process)."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spanloom-"))
+        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not shared and not (sc.master or "").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spanloom-"))
     return df.checkpoint()
 
 
+def in_preorder(nodes: DataFrame) -> DataFrame:
+    """Adds preorder: threads as first seen, then time; graph replays and their layers last.
+    Numbers grow along the order and have gaps."""
+    first = nodes.groupBy("thread").agg(F.min("seq").alias("_thread"))
+    longer = F.when(F.col("synthetic"), 0.0).otherwise(-F.col("end"))
+    n = nodes.join(first, "thread").repartitionByRange("synthetic", "_thread", "thread", "ts").sortWithinPartitions("synthetic", "_thread", "thread", "ts", longer, "seq")
+    return keep(n.withColumn("preorder", F.monotonically_increasing_id()).drop("_thread"))
+
+
 def analyze(events: DataFrame, rules: list[tuple[str, str]] | None = None, window: int | None = None) -> dict[str, DataFrame]:
     """Report tables of a trace.  Without module spans only the category table is made."""
     events = keep(events)
@@ -34,7 +46,7 @@ def analyze(events: DataFrame, rules: list[tuple[str, str]] | None = None, windo
         k = classify.classified(kernels, rules=rules)
         return {"categories": rollup.category_breakdown(k)}
     spans = d["spans"].select("thread", F.col("seq").alias("node_id"), F.col("label").alias("name"), "module_type", "instance_id", "ts", "end", "seq")
-    nodes = keep(tree.nest(spans, ["thread"]).withColumn("synthetic", F.lit(False)))
+    nodes = in_preorder(tree.nest(spans, ["thread"]).withColumn("synthetic", F.lit(False)))
     at = spans.select("thread", "node_id", F.col("ts").alias("s"), F.col("end").alias("e"))
     if full:
         launches = correlate.deduped_launches(d["launches"].select("correlation", "kind", "seq", "thread", "ts"))
@@ -43,7 +55,7 @@ def analyze(events: DataFrame, rules: list[tuple[str, str]] | None = None, windo
         miss = correlate.unmatched(k, hit)
         graph = keep(miss.join(correlate.graph_launches(d["launches"].where("kind = 'runtime'")), "correlation", "left_semi"))
         own, more = _replayed(graph, nodes)
-        nodes = nodes.unionByName(more)
+        nodes = in_preorder(nodes.drop("preorder").unionByName(more))
         ops = d["ops"].where("input_dims is not null").select("thread", F.col("seq").alias("op_id"), F.col("ts").alias("s"), F.col("end").alias("e"), F.col("input_dims").alias("dims"))
         every = d["launches"].select("correlation", "seq", "thread", "ts").where("correlation is not null")
         shaped = correlate.shapes(every, ops, ["thread"])
@@ -55,10 +67,11 @@ def analyze(events: DataFrame, rules: list[tuple[str, str]] | None = None, windo
         o = d["ops"].select(F.col("seq").alias("op_id"), "thread", "name", "ts", "dur", "seq")
         details = correlate.cpu_ops(o, at, ["thread"]).join(o, "op_id").select(F.col("op_id").alias("event_id"), "node_id", F.lit(None).cast("long").alias("correlation"), "name", "ts", "dur", "seq", F.lit(None).cast("string").alias("dims"), F.lit(None).cast("string").alias("source"))
     details = keep(classify.classified(details, rules=rules))
-    nodes = keep(nodes.withColumn("preorder", F.col("seq")))
     up = keep(tree.closure(nodes))
     marks = phases.markers(d["frames"].select("name", "ts", "dur", "seq"))
-    tags = keep(phases.filled(phases.tagged(nodes, up, marks).unionByName(nodes.where("synthetic").select("node_id", F.lit("decode").alias("phase"))).groupBy("node_id").agg(F.min("phase").alias("phase")), up))
+    # Without markers the names of a node's own operators decide, which only nodes of cpu traces have.
+    tagged = phases.majority(details.select("node_id", "name")) if not full and marks.isEmpty() else phases.tagged(nodes, up, marks)
+    tags = keep(phases.filled(tagged.unionByName(nodes.where("synthetic").select("node_id", F.lit("decode").alias("phase"))).groupBy("node_id").agg(F.min("phase").alias("phase")), up))
     selfs, per = rollup.self_stats(details), rollup.self_breakdown(details)
     totals = keep(rollup.inclusive(selfs, up, nodes))
     roots = nodes.where("parent_id is null").select(F.col("node_id").alias("ancestor"))
@@ -81,30 +94,48 @@ def analyze(events: DataFrame, rules: list[tuple[str, str]] | None = None, windo
     return out
 
 
+#: More than a replay has layers; parts the numbers of synthetic nodes.
+LAYERS = 1 << 20
+
+
 def _replayed(graph: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Kernels of graph replays under synthetic roots and layers, and those nodes."""
-    names = replay.layer_names(nodes.withColumn("preorder", F.col("seq")))
+    names = replay.layer_names(nodes)
     k = graph.withColumn("seq", F.col("src_rank") * (1 << 50) + F.col("seq"))
     shape = keep(replay.templates(k, replay.distinct_halves(names)))
-    runs = keep(replay.replays(k, shape).withColumn("root", -(F.col("correlation") * 4096 + 1)))
+    runs = keep(replay.replays(k, shape).withColumn("root", -(F.col("correlation") * LAYERS + 1)))
     layered = keep(replay.layers(k, shape).join(runs.select("correlation", "root", "target"), "correlation").withColumn("node_id", F.col("root") - 1 - F.col("layer")))
     layers = layered.groupBy("node_id", "root", "layer", "target").agg(F.min("ts").alias("ts"), F.max(F.col("ts") + F.col("dur")).alias("end"), F.min("seq").alias("seq")).join(names, "layer", "left")
     label = F.when(F.col("target") & F.col("name").isNotNull(), F.col("name")).otherwise(F.concat(F.lit("Layer_"), F.col("layer").cast("string")))
 
     def node(df: DataFrame, **cols) -> DataFrame:
         df = df.select(*[c.alias(n) for n, c in cols.items()])
-        return df.select(F.lit("graph").alias("thread"), "node_id", "name", F.regexp_replace("name", r"_\d+$", "").alias("module_type"), F.coalesce(F.regexp_extract("name", r"_(\d+)$", 1).try_cast("long"), F.lit(0)).alias("instance_id"), "ts", "end", "seq", "parent_id", F.lit(True).alias("synthetic"))
+        return df.select(F.concat(F.lit("graph "), F.coalesce("parent_id", "node_id").cast("string")).alias("thread"), "node_id", "name", F.regexp_replace("name", r"_\d+$", "").alias("module_type"), F.coalesce(F.regexp_extract("name", r"_(\d+)$", 1).try_cast("long"), F.lit(0)).alias("instance_id"), "ts", "end", "seq", "parent_id", F.lit(True).alias("synthetic"))
 
-    top = node(runs, node_id=F.col("root"), name=F.col("name"), ts=F.col("ts"), end=F.col("end"), seq=F.lit(1 << 58) + F.col("ordinal"), parent_id=F.lit(None).cast("long"))
+    # A replay is a thread of its own, so its layers follow it; threads go by their root's start.
+    top = node(runs, node_id=F.col("root"), name=F.col("name"), ts=F.col("ts"), end=F.col("end"), seq=F.lit(1 << 58) + (F.col("ts") * 1000).cast("long"), parent_id=F.lit(None).cast("long"))
     kids = node(layers.withColumn("label", label), node_id=F.col("node_id"), name=F.col("label"), ts=F.col("ts"), end=F.col("end"), seq=F.lit(1 << 59) + F.col("layer"), parent_id=F.col("root"))
     return layered.withColumn("seq", F.col("event_id")), top.unionByName(kids)
 
 
 def compare(a: DataFrame, b: DataFrame) -> dict[str, DataFrame]:
     """Difference tables of two gpu_kernels tables."""
-    x, y = (diff.aggregated(t.select("name", "category", F.col("total_us").alias("us"), F.col("count").alias("n"), F.xxhash64("name").alias("seq"))) for t in (a, b))
-    deltas = diff.kernel_delta(x, y)
-    return {"executive": diff.executive(x, y), "kernels": deltas, "categories": diff.category_delta(deltas), "attribution": diff.attribution(deltas), "changes": diff.same_kernel_changes(deltas), "gone_new": diff.gone_new(x, y)}
+    # The tables' rows go by time, then name, so the first row of a short name is the longest.
+    row = F.struct((-F.col("total_us")).alias("t"), "name")
+    x, y = (keep(diff.aggregated(t.select("name", "category", F.col("total_us").alias("us"), F.col("count").alias("n"), row.alias("seq")))) for t in (a, b))
+    deltas, sides = keep(diff.kernel_delta(x, y)), diff.gone_new(x, y)
+    found = [(r["label"], r["gone_us"], r["new_us"], r["net_us"]) for r in diff.replacements(sides)]
+    return {
+        "executive": diff.executive(x, y),
+        "kernels": deltas,
+        "categories": diff.category_delta(deltas),
+        "drill_down": diff.drill_down(deltas),
+        "attribution": diff.attribution(deltas),
+        "changes": diff.same_kernel_changes(deltas),
+        "gone_new": sides,
+        "replacements": a.sparkSession.createDataFrame(found, "label string, gone_us double, new_us double, net_us double"),
+        "actionable": diff.actionable(deltas),
+    }
 
 
 def main(argv: list[str] | None = None) -> int:

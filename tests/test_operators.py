@@ -150,6 +150,8 @@ def test_statistics(spark):
 def test_replacements(spark):
     sides = spark.createDataFrame([("GONE", "gemm", 500.0), ("GONE", "attention", 300.0), ("NEW", "gemm", 450.0), ("NEW", "other", 400.0), ("GONE", "conv", 5.0)], "side string, category string, us double")
     assert [(r["label"], r["net_us"]) for r in diff.replacements(sides)] == [("attention → other", 100.0), ("gemm", -50.0)]
+    alone = spark.createDataFrame([("GONE", "conv", 900.0), ("NEW", "moe", 150.0), ("NEW", "tiny", 20.0)], "side string, category string, us double")
+    assert [(r["label"], r["gone_us"], r["new_us"], r["net_us"]) for r in diff.replacements(alone)] == [("conv", 900.0, None, -900.0), ("moe", None, 150.0, 150.0)]
 
 
 def test_deltas_add_up(spark):

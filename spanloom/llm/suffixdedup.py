@@ -55,6 +55,9 @@ GRAM = 40
 HOT = 512
 #: Ranges of offsets that a larger bin's contexts are cut into, again and again.
 WAYS = 4
+#: Keys that are broadcast at most because many rows, more than LIGHT, have them.
+HEAVY = 1000
+LIGHT = 1000
 #: Contexts that are ordered at once.
 BATCH = 16_384
 #: Words of a passage that the registered queries look for beside byte strings.
@@ -355,10 +358,21 @@ def _classes(members: DataFrame) -> DataFrame:
     return written(classes.join(bins, "h").select("h", "ctx", "c", "k", "p.doc", "p.rid", "p.first", "p.n", "p.off"), "classes")
 
 
+def _met(rows: DataFrame, named: DataFrame, on: list[str], how: str) -> DataFrame:
+    """rows joined with a written table of keys that knows the number of rows of each, c.  Keys with
+    more than one in HEAVY of these rows, which are HEAVY at most, are broadcast, so no key
+    brings its rows into one task."""
+    total = named.agg(F.sum("c")).first()[0] or 0
+    heavy = F.col("c") > max(LIGHT, total // HEAVY)
+    few = F.broadcast(named.where(heavy).drop("c"))  # HEAVY rows at most
+    rest = rows.join(F.broadcast(named.where(heavy).select(*on)), on, "left_anti")  # the same
+    return rows.join(few, on, how).unionByName(rest.join(named.where(~heavy).drop("c"), on, how))
+
+
 def _whole(members: DataFrame, classes: DataFrame, first: bool) -> DataFrame:
     """All windows of contexts that have equals; the first of them is left where first copies stay."""
-    several = classes.where("c > 1").select("h", "ctx", F.col("rid").alias("_rep"), F.col("first").alias("_at"))
-    found = members.join(several, ["h", "ctx"])
+    several = classes.where("c > 1").select("h", "ctx", "c", F.col("rid").alias("_rep"), F.col("first").alias("_at"))
+    found = _met(members, several, ["h", "ctx"], "inner")
     if first:
         found = found.where((F.col("rid") != F.col("_rep")) | (F.col("first") != F.col("_at")))
     return found.select("rid", "first", F.array(F.lit(0), F.col("n")).alias("runs"))
@@ -389,9 +403,9 @@ def repeated_runs(rows: DataFrame, length: int = LENGTH, keep: str = "none", gra
     """(_rid, _doc, _text) -> by row, (first, runs) of the windows to remove."""
     first = keep == "first"
     found = written(_anchor_rows(rows.select("_rid", "_doc", "_text"), length, gram, encode), "anchors")
-    shared = found.groupBy("h").agg(F.count("*").alias("_c")).where("_c > 1").select("h")
-    members = written(found.join(shared, "h", "left_semi"), "members")
-    discard(found)
+    shared = written(found.groupBy("h").agg(F.count("*").alias("c")).where("c > 1"), "shared")
+    members = written(_met(found, shared, ["h"], "left_semi"), "members")
+    discard(found, shared)
     classes = _classes(members)
     spent: list = [members, classes]
     hits = _whole(members, classes, first)

@@ -201,7 +201,10 @@ def repeated_texts(rng):
 
 
 @pytest.mark.parametrize("hot", [4096, 3])
-def test_repeats(spark, hot):
+def test_repeats(spark, hot, monkeypatch):
+    if hot == 3:
+        monkeypatch.setattr(suffixdedup, "LIGHT", 2)
+        monkeypatch.setattr(suffixdedup, "HEAVY", 1 << 40)
     rng = random.Random(hot)
     texts = repeated_texts(rng)
     want = brute_repeats([(t or "").encode() for t in texts], 80)

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from spanloom import derive
-from spanloom.functions import classify, flops, names, numbers
+from spanloom.functions import classify, flops, names, numbers, text
 from spanloom.plans.analyze import in_preorder, keep
 from spanloom.operators import correlate, diff, intervals, phases, replay, report, rollup, score, tree, viewer, whatif
 from spanloom.sql import query
@@ -951,3 +951,40 @@ def _(t):
 def _(t):
     s4 = score.time_consistency(_flat(t), classify.is_llm(t.nodes())).select(F.lit("S4").alias("rule"), _r("score").alias("score"))
     return score.quality_rows(s4, score.composite(s4), _flat(t).select("module_type", "count", (F.col("count") % 100).cast("double").alias("score")))
+
+
+_TABS = "(SELECT n.module_type, p.phase, sum(d.dur) * 0.8 AS wall_us FROM details d JOIN nodes n USING (node_id) JOIN phases p USING (node_id) GROUP BY ALL)"
+
+
+@_register(
+    "phase_models",
+    query(
+        f"""SELECT phase, module_type, round(step_us, 4) AS step_us, has_tab, round(step_us / sum(step_us) OVER (PARTITION BY phase) * 100, 4) AS pct_of_phase FROM (
+  SELECT module_type, phase, wall_us AS step_us, true AS has_tab FROM {_TABS}
+  UNION ALL SELECT n.module_type, (SELECT min(phase) FROM {_TABS}), avg(total_us), false FROM nodes n JOIN totals USING (node_id) WHERE parent_id IS NULL GROUP BY n.module_type)""",
+        "totals", "nodes", "details", "phases",
+    ),
+)
+def _(t):
+    n = t.nodes()
+    p = phases.tagged(n, t.closure(), t.markers()).join(n.where("parent_id is not null").select("node_id", "module_type"), "node_id")
+    tabs = t.details().join(p, "node_id").groupBy("module_type", "phase").agg((F.sum("dur") * F.lit(0.8)).alias("wall_us"))
+    roots = _totals(t).join(n.where("parent_id is null").select("node_id", "module_type"), "node_id").groupBy("module_type").agg(F.avg("total_us").alias("mean_us"))
+    above = n.select("module_type", "parent_id").join(n.select(F.col("node_id").alias("parent_id"), F.col("module_type").alias("ancestor")), "parent_id").select("module_type", "ancestor").distinct()
+    tree_ = n.where("parent_id is null").select("module_type", F.lit(0).alias("depth"), F.lit("").alias("phase"), F.col("preorder").alias("row"))
+    m = whatif.phase_models(roots, tabs, whatif.root_phases(tree_), above)
+    return m.select("phase", "module_type", _r("step_us").alias("step_us"), "has_tab", _r("pct_of_phase").alias("pct_of_phase"))
+
+
+_ROOT_PHASE = "SELECT n.module_type, n.parent_id IS NOT NULL AS deep, p.phase, n.preorder FROM nodes n JOIN phases p USING (node_id)"
+
+
+@_register("first_phases", query(f"SELECT module_type, arg_min(phase, preorder) AS phase FROM ({_ROOT_PHASE}) WHERE deep GROUP BY module_type", "nodes", "phases"))
+def _(t):
+    n = t.nodes().where("parent_id is not null").join(phases.tagged(t.nodes(), t.closure(), t.markers()), "node_id")
+    return whatif.root_phases(n.select("module_type", F.lit(0).alias("depth"), "phase", F.col("preorder").alias("row")))
+
+
+@_register("short_times", query("SELECT node_id, CASE WHEN total_us >= 1000000 THEN printf('%d.%02ds', CAST((total_us + 5000) // 10000 // 100 AS BIGINT), CAST((total_us + 5000) // 10000 % 100 AS BIGINT)) WHEN total_us >= 1000 THEN printf('%d.%dms', CAST((total_us + 50) // 100 // 10 AS BIGINT), CAST((total_us + 50) // 100 % 10 AS BIGINT)) ELSE total_us || 'us' END AS time, format('{:,}', total_us) || CASE WHEN total_us < 1000 THEN '.0' ELSE '' END AS grouped FROM totals", "totals"))
+def _(t):
+    return _totals(t).select("node_id", text.short_us(F.col("total_us")).alias("time"), text.grouped_us(F.col("total_us")).alias("grouped"))

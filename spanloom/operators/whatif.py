@@ -77,3 +77,31 @@ def accumulated(history: DataFrame, upto: int | None = None) -> DataFrame:
     last = h.where("name is null").agg(F.coalesce(F.max("seq"), F.lit(-1)).alias("_reset"))
     h = h.where("name is not null").crossJoin(F.broadcast(last)).where(F.col("seq") > F.col("_reset"))  # one row
     return h.groupBy("name").agg(F.min_by("pct", "seq").alias("pct"), F.min("seq").alias("seq"))
+
+
+def root_phases(tree: DataFrame) -> DataFrame:
+    """(module_type, phase): the first phase that a root of the type has.
+    tree: module_type, depth, phase, row"""
+    return tree.where("depth = 0 and phase in ('prefill', 'decode')").groupBy("module_type").agg(F.min_by("phase", "row").alias("phase"))
+
+
+def phase_models(roots: DataFrame, tabs: DataFrame, tree_phases: DataFrame, ancestors: DataFrame) -> DataFrame:
+    """Modules that make up a step of each phase with their percent of it.  Root types count with
+    their mean time under the phase of the tree, else of their own tab, else of a tab below
+    them (of several, the first by name); then come tabs that are no such root and have no tab of their
+    phase above.  Without phases in the tabs all belong to the phase '', otherwise roots
+    of unknown phase are left out.
+    roots: module_type, mean_us; tabs: module_type, phase, wall_us; ancestors: module_type, ancestor"""
+    kind = model_kind(tabs).select((F.col("kind") == "llm").alias("_llm"))
+    named = tabs.where("phase <> ''")
+    own = named.groupBy("module_type").agg(F.min("phase").alias("_own"))
+    below = named.join(ancestors, "module_type").groupBy(F.col("ancestor").alias("module_type")).agg(F.min("phase").alias("_below"))
+    tree = tree_phases.select("module_type", F.col("phase").alias("_tree"))
+    r = roots.join(tree, "module_type", "left").join(own, "module_type", "left").join(below, "module_type", "left").crossJoin(F.broadcast(kind))  # one row
+    r = r.withColumn("phase", F.when(F.col("_llm"), F.coalesce("_tree", "_own", "_below")).otherwise(F.lit(""))).where("phase is not null")
+    r = r.select("module_type", "phase", F.col("mean_us").cast("double").alias("step_us")).join(tabs.select("module_type", "phase", F.lit(True).alias("has_tab")), ["module_type", "phase"], "left").fillna({"has_tab": False})
+    above = ancestors.where("ancestor <> module_type").join(tabs.select(F.col("module_type").alias("ancestor"), "phase"), "ancestor").select("module_type", "phase").distinct()
+    rest = tabs.join(r.select("module_type", "phase"), ["module_type", "phase"], "left_anti").join(above, ["module_type", "phase"], "left_anti")
+    every = r.unionByName(rest.select("module_type", "phase", F.col("wall_us").cast("double").alias("step_us"), F.lit(True).alias("has_tab")))
+    step = every.groupBy("phase").agg(F.sum("step_us").alias("_step"))
+    return every.join(step, "phase").select("phase", "module_type", "step_us", "has_tab", F.when(F.col("_step") > 0, F.col("step_us") / F.col("_step") * 100).otherwise(0.0).alias("pct_of_phase"))

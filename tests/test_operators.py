@@ -323,3 +323,29 @@ def test_stream_equals_batch(spark, tmp_path):
     q.stop()
     key = lambda df: sorted(map(tuple, df.collect()))
     assert key(spark.table("w")) == key(windowed_categories(rows))
+
+
+def test_report_text(spark):
+    from spanloom.functions import text
+
+    rows = [(0, "A"), (1, "B"), (2, "C"), (2, "D"), (1, "E"), (2, "F"), (0, "G"), (1, "H")]
+    assert text.tree_lines(rows) == ["A", "├── B", "│   ├── C", "│   └── D", "└── E", "    └── F", "G", "└── H"]
+    assert text.tree_lines([]) == []
+    df = spark.createDataFrame([(12, 100), (-1500, 3000), (2_345_678, 0)], "d long, b long")
+    got = [r[0] for r in df.select(text.change_text(F.col("d"), F.col("b"))).collect()]
+    assert got == ["+12us (+12.0%)", "-1.5ms (-50.0%)", "+2.35s"]
+    assert [r[0] for r in df.where("d > 0").select(text.tab_us(F.col("d"))).collect()] == ["12.0us", "2345.7ms"]
+    assert text.table(["name", "us"], [("k", 1.0), (None, 1234.5)]).splitlines()[2:] == ["k         1.0", "      1,234.5"]
+    assert text.cut("abcdef", 4) == "ab.."
+
+
+def test_phase_models(spark):
+    roots = spark.createDataFrame([("Model", 100.0), ("Odd", 7.0)], "module_type string, mean_us double")
+    above = spark.createDataFrame([("Layer", "Model")], "module_type string, ancestor string")
+    tree = spark.createDataFrame([("Model", 0, "decode", 2), ("Model", 0, "prefill", 5), ("Layer", 1, "prefill", 1)], "module_type string, depth int, phase string, row long")
+    tabs = spark.createDataFrame([("Model", "decode", 90.0), ("Layer", "decode", 9.0), ("Sampler", "decode", 25.0)], "module_type string, phase string, wall_us double")
+    got = {(r["phase"], r["module_type"]): (r["step_us"], r["has_tab"], r["pct_of_phase"]) for r in whatif.phase_models(roots, tabs, whatif.root_phases(tree), above).collect()}
+    assert got == {("decode", "Model"): (100.0, True, 80.0), ("decode", "Sampler"): (25.0, True, 20.0)}
+    single = tabs.withColumn("phase", F.lit(""))
+    got = {(r["phase"], r["module_type"]) for r in whatif.phase_models(roots, single, whatif.root_phases(tree), above).collect()}
+    assert got == {("", "Model"), ("", "Odd"), ("", "Sampler")}

@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import argparse
+import os
 import sys
 import tempfile
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from spanloom.functions import classify
-from spanloom.operators import correlate, diff, phases, replay, report, rollup, tree, viewer
+from spanloom.functions import classify, text
+from spanloom.operators import correlate, diff, phases, replay, report, rollup, score, tree, viewer, whatif
 from spanloom.sources import sinks, trace
 
 
@@ -138,6 +140,62 @@ def compare(a: DataFrame, b: DataFrame) -> dict[str, DataFrame]:
     }
 
 
+def quality(overview: DataFrame, nodes: DataFrame, details: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Rows of the quality scores (section, metric, score, grade, detail) and the composite (one row) of a
+    report.  nodes: its node_stats; details: its details, for the kernel sequences."""
+    spark = overview.sparkSession
+    rows = keep(overview.where("module_type <> '(self)'").withColumn("total_us", F.col("sum_us").cast("double")))
+    llm = keep(classify.is_llm(nodes))
+    levels = nodes.select(F.when(F.col("parent_id").isNull(), 0).otherwise(1).alias("depth"), F.coalesce("phase", F.lit("")).alias("phase"))
+    rules = {"S1": score.phase_coverage(levels, llm), "S2": score.architecture(rows), "S3": score.instance_consistency(rows), "S4": score.time_consistency(rows, llm)}
+    scores = keep(spark.createDataFrame([(k, df.first()["score"]) for k, df in rules.items()], "rule string, score double"))
+    total = keep(score.composite(scores))
+    if details is None:
+        sequences = spark.createDataFrame([], "module_type string, node_id long, seq_hash string, first boolean")
+    else:
+        d = details.groupBy("tab", "node_id").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", "name"))), lambda x: x["name"]), "\n"), 256).alias("seq_hash"))  # a tab holds 1000 rows at most
+        d = d.dropDuplicates(["node_id"]).join(nodes.select("node_id", "module_type", "preorder"), "node_id")
+        first = d.groupBy("module_type").agg(F.min("preorder").alias("_f"))
+        sequences = d.join(first, "module_type").select("module_type", "node_id", "seq_hash", (F.col("preorder") == F.col("_f")).alias("first"))
+    groups = score.diagnostics(rows.dropDuplicates(["module_type", "count"]), sequences)
+    return score.quality_rows(scores, total, groups), total
+
+
+def projection(overview: DataFrame, nodes: DataFrame, details: DataFrame, changes: DataFrame, output_tokens: int) -> dict[str, DataFrame]:
+    """What changes of kernels (name, pct, seq) do to the modules, to the steps of each phase and to an
+    answer of so many tokens.  overview, nodes (node_stats), details: tables of a report.  Tabs of a type and
+    phase that differ in structure count as one module, by time."""
+    part = lambda k: F.regexp_extract("tab", r"^(.*) (\S*) (\S+)$", k)
+    wall = F.when(F.col("pct_of_wall") > 0, F.col("dur") / F.col("pct_of_wall") * 100).otherwise(0.0)
+    d = keep(details.select(part(1).alias("module_type"), part(2).alias("phase"), "name", "dur", wall.alias("wall_us")))
+    modules = keep(whatif.project(d, changes))
+    o = overview.where("module_type <> '(self)'")
+    above = o.select("module_type", F.explode(F.split("path", "/")).alias("ancestor")).where("ancestor <> module_type").distinct()
+    roots = o.where("depth = 0").select("module_type", "mean_us")
+    tree_ = nodes.select("module_type", F.when(F.col("parent_id").isNull(), 0).otherwise(1).alias("depth"), "phase", F.col("preorder").alias("row"))
+    model = keep(whatif.phase_models(roots, modules.select("module_type", "phase", "wall_us"), whatif.root_phases(tree_), above))
+    shares = o.where("depth > 0").groupBy("root_type", "module_type").agg(F.sum("pct").alias("pct"))
+    steps = None
+    for p in sorted(r["phase"] for r in model.select("phase").distinct().collect()):  # prefill, decode or none
+        own = whatif.propagated(model.where(F.col("phase") == p).select("module_type", "step_us", "pct_of_phase"), shares, modules.where(F.col("phase") == p)).withColumn("phase", F.lit(p))
+        steps = own if steps is None else steps.unionByName(own)
+    out = {"modules": modules, "kernels": whatif.ranked_kernels(d)}
+    if steps is None:
+        return out
+    sums = steps.groupBy("phase").agg(F.sum("step_us").alias("step_us"), F.sum("new_step_us").alias("new_step_us"))
+    return out | {"steps": steps, "phases": sums, "answer": whatif.end_to_end(sums, output_tokens)}
+
+
+def label_of(folder: str) -> str:
+    """The name of a report in a difference: the folder that holds it."""
+    return os.path.basename(os.path.dirname(os.path.abspath(folder).rstrip("/"))) or folder
+
+
+def show(title: str, df: DataFrame, most: int = 20) -> None:
+    """The first rows of a report table on the console."""
+    print(f"\n== {title} ==\n{text.table(df.columns, [tuple(r) for r in df.limit(most).collect()])}")
+
+
 def main(argv: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(prog="spanloom")
     sub = p.add_subparsers(dest="command", required=True)
@@ -152,6 +210,17 @@ def main(argv: list[str] | None = None) -> int:
     two.add_argument("base")
     two.add_argument("target")
     two.add_argument("-o", "--output", required=True)
+    two.add_argument("--base-label")
+    two.add_argument("--target-label")
+    three = sub.add_parser("quality", help="scores of a report folder")
+    three.add_argument("report")
+    three.add_argument("--csv", help="file of the scores (default: quality.csv in the report folder)")
+    three.add_argument("--json", action="store_true", help="print the scores as JSON")
+    three.add_argument("--threshold", type=float, help="end with status 1 below this composite")
+    four = sub.add_parser("project", help="what faster kernels do to a report")
+    four.add_argument("report")
+    four.add_argument("-c", "--change", action="append", default=[], metavar="NAME=PERCENT", required=True)
+    four.add_argument("--output-tokens", type=int, default=1024)
     fix = sub.add_parser("repair", help="inject missing flow starts")
     fix.add_argument("trace")
     fix.add_argument("-o", "--output")
@@ -162,6 +231,9 @@ def main(argv: list[str] | None = None) -> int:
         rules = trace.read_rules(spark, a.rules) if a.rules else None
         tables = analyze(trace.read_events(spark, a.trace), rules, a.probe_window)
         sinks.write_tables(tables, a.output)
+        for name in ("summary", "categories"):
+            if name in tables:
+                show(name, tables[name])
         if a.workbook:
             sinks.write_workbook(tables, a.workbook)
         if a.html and "node_stats" in tables:
@@ -170,7 +242,31 @@ def main(argv: list[str] | None = None) -> int:
             sinks.write_html(viewer.nested_json([r.asDict() for r in v.collect()]), a.html)
     elif a.command == "compare":
         x, y = (spark.read.parquet(f"{f}/gpu_kernels") for f in (a.base, a.target))
-        sinks.write_tables(compare(x, y), a.output)
+        tables = compare(x, y)
+        sinks.write_tables(tables, a.output)
+        print(f"{a.base_label or label_of(a.base)} -> {a.target_label or label_of(a.target)}")
+        for name in ("executive", "categories", "replacements", "actionable"):
+            show(name, tables[name])
+    elif a.command == "quality":
+        read = lambda n: spark.read.parquet(f"{a.report}/{n}")
+        try:
+            details = read("details")
+        except AnalysisException:  # reports of cpu traces have none
+            details = None
+        rows, total = quality(read("overview"), read("node_stats"), details)
+        rows = keep(rows)
+        sinks.write_scores(rows, a.csv or f"{a.report}/quality.csv")
+        if a.json:
+            print("[" + ",\n ".join(rows.toJSON().collect()) + "]")  # a row per rule and group
+        else:
+            show("quality", rows, 1000)
+        return 0 if a.threshold is None or score.passes(total, a.threshold) else 1
+    elif a.command == "project":
+        pairs = [c.rpartition("=") for c in a.change]
+        changes = spark.createDataFrame([(n, float(p), i) for i, (n, _, p) in enumerate(pairs)], "name string, pct double, seq long")
+        overview, nodes, details = (spark.read.parquet(f"{a.report}/{n}") for n in ("overview", "node_stats", "details"))
+        for name, df in projection(overview, nodes, details, changes, a.output_tokens).items():
+            show(name, df)
     else:
         events = trace.read_events(spark, a.trace)
         r = correlate.repair_summary(events).first()

@@ -349,3 +349,30 @@ def test_phase_models(spark):
     single = tabs.withColumn("phase", F.lit(""))
     got = {(r["phase"], r["module_type"]) for r in whatif.phase_models(roots, single, whatif.root_phases(tree), above).collect()}
     assert got == {("", "Model"), ("", "Odd"), ("", "Sampler")}
+
+
+def test_commands(spark, tmp_path, capsys):
+    with open(f"{tmp_path}/t.json", "w") as f:
+        json.dump(trace_doc(), f)
+    report_ = f"{tmp_path}/run/report"
+    assert analyze.main(["analyze", f"{tmp_path}/t.json", "-o", report_]) == 0
+    assert "== summary ==" in capsys.readouterr().out
+    assert analyze.main(["quality", report_, "--csv", f"{tmp_path}/q.csv", "--json", "--threshold", "101"]) == 1
+    got = {r["metric"]: r for r in json.loads(capsys.readouterr().out)}
+    assert {"S1", "S2", "S3", "S4", "composite", "Model"} <= set(got)
+    want = sum(score.WEIGHTS[k] * round(got[k]["score"]) / 100 for k in score.WEIGHTS)
+    assert got["composite"]["score"] == pytest.approx(want)
+    with open(f"{tmp_path}/q.csv") as f:
+        assert f.readline().strip() == "section,metric,score,grade,detail" and len(f.readlines()) == len(got)
+    assert analyze.main(["quality", report_, "--csv", f"{tmp_path}/q.csv", "--threshold", "0"]) == 0
+    assert analyze.main(["compare", report_, report_, "-o", f"{tmp_path}/d"]) == 0
+    assert "run -> run" in capsys.readouterr().out
+    tables = [spark.read.parquet(f"{report_}/{n}") for n in ("overview", "node_stats", "details")]
+    same = analyze.projection(*tables, spark.createDataFrame([("no such", 50.0, 0)], "name string, pct double, seq long"), 10)
+    assert same["answer"].first()["throughput_pct"] == pytest.approx(0)
+    names_ = [r[0] for r in tables[2].select("name").distinct().collect()]
+    half = analyze.projection(*tables, spark.createDataFrame([(n, 50.0, 0) for n in names_], "name string, pct double, seq long"), 10)
+    assert all(r["delta_pct"] == pytest.approx(-50) for r in half["modules"].collect())
+    assert half["answer"].first()["new_e2e_us"] < half["answer"].first()["e2e_us"]
+    assert analyze.main(["project", report_, "-c", f"{names_[0]}=50"]) == 0
+    assert "== answer ==" in capsys.readouterr().out

@@ -58,6 +58,9 @@ WAYS = 4
 #: Keys that are broadcast at most because many rows, more than LIGHT, have them.
 HEAVY = 1000
 LIGHT = 1000
+#: Bits of a sieve for each key, and at most.
+SIEVE = 16
+SIEVE_MOST = 1 << 26
 #: Contexts that are ordered at once.
 BATCH = 16_384
 #: Words of a passage that the registered queries look for beside byte strings.
@@ -358,15 +361,29 @@ def _classes(members: DataFrame) -> DataFrame:
     return written(classes.join(bins, "h").select("h", "ctx", "c", "k", "p.doc", "p.rid", "p.first", "p.n", "p.off"), "classes")
 
 
+def _sieved(rows: DataFrame, named: DataFrame, on: list[str], keys: int) -> DataFrame:
+    """rows without most of those whose key is none of named's, by a broadcast table of bits, SIEVE
+    for each of so many keys and SIEVE_MOST at most.  It drops no row that named has, and few
+    others pass, so a join that follows need not shuffle the rest."""
+    bits = min(SIEVE_MOST, 1 << max(6, (SIEVE * keys).bit_length()))
+    at = F.pmod(F.xxhash64(*on), F.lit(bits))
+    words = named.select(at.alias("_bit")).groupBy(F.expr("shiftright(_bit, 6)").alias("_word"))
+    words = words.agg(F.expr("bit_or(shiftleft(1L, CAST(_bit & 63 AS INT)))").alias("_set"))
+    hit = F.expr("shiftright(_at, 6) = _word AND shiftright(_set, CAST(_at & 63 AS INT)) & 1 = 1")
+    # A semi join, since Spark pushes other semi joins below an inner one; SIEVE_MOST / 64 rows at most.
+    return rows.withColumn("_at", at).join(F.broadcast(words), hit, "left_semi").drop("_at")
+
+
 def _met(rows: DataFrame, named: DataFrame, on: list[str], how: str) -> DataFrame:
     """rows joined with a written table of keys that knows the number of rows of each, c.  Keys with
     more than one in HEAVY of these rows, which are HEAVY at most, are broadcast, so no key
-    brings its rows into one task."""
-    total = named.agg(F.sum("c")).first()[0] or 0
-    heavy = F.col("c") > max(LIGHT, total // HEAVY)
+    brings its rows into one task.  Of the others, rows that a sieve keeps are shuffled."""
+    total, keys = named.agg(F.sum("c"), F.count("*")).first()
+    heavy = F.col("c") > max(LIGHT, (total or 0) // HEAVY)
     few = F.broadcast(named.where(heavy).drop("c"))  # HEAVY rows at most
-    rest = rows.join(F.broadcast(named.where(heavy).select(*on)), on, "left_anti")  # the same
-    return rows.join(few, on, how).unionByName(rest.join(named.where(~heavy).drop("c"), on, how))
+    light = named.where(~heavy).drop("c")
+    rest = _sieved(rows, light, on, keys).join(F.broadcast(named.where(heavy).select(*on)), on, "left_anti")  # the same
+    return rows.join(few, on, how).unionByName(rest.join(light, on, how))
 
 
 def _whole(members: DataFrame, classes: DataFrame, first: bool) -> DataFrame:
@@ -426,7 +443,8 @@ def repeated_runs(rows: DataFrame, length: int = LENGTH, keep: str = "none", gra
         spent += [parts, classes]
         hits = hits.union(_whole(parts, classes, first))
         several = classes.where("k > 1").select("h", "ctx", "rid", "first", F.col("k").alias("_k"))
-        contexts = parts.drop("k").join(several, ["h", "ctx", "rid", "first"]).withColumnRenamed("_k", "k")
+        key = ["h", "ctx", "rid", "first"]
+        contexts = _sieved(parts.drop("k"), several, key, several.count()).join(several, key).withColumnRenamed("_k", "k")
         contexts = contexts.select("h", "ctx", "n", "off", "doc", "rid", "first", "k", "lo", "hi", "raw")
         hottest = classes.where("k > 1").join(parts.where("lo < hi").select("h").distinct(), "h", "left_semi").agg(F.max("k")).first()[0] or 0
     small = contexts if small is None else small.union(contexts)

@@ -229,6 +229,30 @@ def test_first_copies_stay(spark, hot):
     assert got.text.tolist() == want
 
 
+def shuffled(spark):
+    """Records that all stages so far wrote to shuffles."""
+    sc = spark.sparkContext._jsc.sc()
+    sc.listenerBus().waitUntilEmpty()
+    stages = sc.statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), None)
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+@pytest.mark.parametrize("how", ["left_semi", "inner"])
+def test_rows_without_a_named_key_are_not_shuffled(spark, how, tmp_path):
+    rows = spark.range(40_000).selectExpr("xxhash64(id) h", "id % 7 ctx", "id rid")
+    spark.range(-50, 150).selectExpr("xxhash64(id) h", "id % 7 ctx", "if(id < 5, 2000L, 2L) c").write.parquet(f"{tmp_path}/named")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = shuffled(spark)
+        for keys in (["h"], ["h", "ctx"]):
+            named = spark.read.parquet(f"{tmp_path}/named").select(*keys, "c")
+            got = suffixdedup._met(rows, named, keys, how).collect()
+            assert sorted(r.rid for r in got) == list(range(150)) and got[0].__fields__ == ["h", "ctx", "rid"]
+        assert shuffled(spark) - before < 10_000
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_the_pipeline_cuts_passages_of_51_words(spark):
     import corpus_pipeline
 

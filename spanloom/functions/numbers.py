@@ -6,6 +6,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def rounded(c: Column, k: int = 4) -> Column:
+    """Halves away from zero after scaling, as SQL rounds doubles: 143 of 2000 is 7.2 %, whatever the last bit of 7.15."""
+    scale, d = 10.0**k, c.cast("double")
+    y = F.abs(d) * scale
+    whole = F.rint(y) + F.when(y - F.rint(y) == 0.5, 1.0).otherwise(0.0)
+    return F.when(y < float("inf"), F.signum(d) * whole / scale).otherwise(d)
+
+
 def pct_change(base: Column, target: Column) -> Column:
     """Change in percent; null where there is no base but a target."""
     return F.when(base > 0, (target - base) / base * 100).when(base == target, 0.0)

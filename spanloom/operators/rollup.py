@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from spanloom.functions.numbers import rounded
+
 
 def self_stats(details: DataFrame) -> DataFrame:
     """(node_id, self_us, self_count); details: node_id, dur, category, name, ts, seq."""
@@ -87,7 +89,7 @@ def breakdown_text(per_category: DataFrame) -> DataFrame:
     """(node_id, breakdown): categories by time with their share, as one text"""
     w = W.partitionBy("node_id")
     p = per_category.where("us > 0").withColumn("_all", F.sum("us").over(w))
-    part = F.concat("category", F.lit(": "), F.format_number(F.col("us").cast("double"), 0), F.lit(" us ("), F.format_string("%.1f", F.col("us") / F.col("_all") * 100), F.lit("%)"))
+    part = F.concat("category", F.lit(": "), F.format_number(F.col("us").cast("double"), 0), F.lit(" us ("), F.format_string("%.1f", rounded(F.col("us") / F.col("_all") * 100, 1)), F.lit("%)"))
     items = F.sort_array(F.collect_list(F.struct((-F.col("us")).alias("a"), F.col("category").alias("b"), part.alias("c"))))
     return p.groupBy("node_id").agg(F.array_join(F.transform(items, lambda x: x["c"]), ", ").alias("breakdown"))
 

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from spanloom.functions.classify import module_class
+from spanloom.functions.numbers import rounded
 
 
 def viewer_nodes(nodes: DataFrame, totals: DataFrame) -> DataFrame:
@@ -17,7 +18,7 @@ def viewer_nodes(nodes: DataFrame, totals: DataFrame) -> DataFrame:
     up = totals.select(F.col("node_id").alias("parent_id"), F.col("total_us").alias("_up"))
     most = t.agg(F.max("total_us").alias("_most"))
     j = t.join(up, "parent_id", "left").crossJoin(F.broadcast(most))  # one row
-    pct = F.when(F.col("parent_id").isNull(), 100.0).when(F.col("_up") > 0, F.round(F.col("total_us") / F.col("_up") * 100, 1)).otherwise(0.0)
+    pct = F.when(F.col("parent_id").isNull(), 100.0).when(F.col("_up") > 0, rounded(F.col("total_us") / F.col("_up") * 100, 1)).otherwise(0.0)
     return j.select("node_id", "parent_id", "module_type", module_class(F.col("module_type")).alias("class"), "total_us", pct.alias("pct_of_parent"), F.when(F.col("_most") > 0, F.col("total_us") / F.col("_most")).otherwise(0.0).alias("bar"))
 
 

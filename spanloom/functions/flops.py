@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,6 +13,12 @@ QH_VH = r"(?i)qh(\d+)_vh(\d+)"
 HD = r"(?i)hd(\d+)"
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value computed a single time: an expression that is put in many
+    places inside lambda functions would be computed at each of them."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def parsed_dims(text: Column) -> Column:
     """Shapes of a literal like [[2, 3], [], [4]]; null if it isn't one."""
     return F.when(F.trim(text).startswith("["), F.from_json(F.replace(text, F.lit("'"), F.lit('"')), "array<array<bigint>>"))
@@ -18,8 +26,7 @@ def parsed_dims(text: Column) -> Column:
 
 def shaped(dims: Column) -> Column:
     """Non-empty shapes; null if there is none."""
-    kept = F.filter(dims, lambda d: F.size(d) > 0)
-    return F.when(F.size(kept) > 0, kept)
+    return once(F.filter(dims, lambda d: F.size(d) > 0), lambda kept: F.when(F.size(kept) > 0, kept))
 
 
 def pair_flops(a: Column, b: Column) -> Column:
@@ -35,14 +42,16 @@ def pair_flops(a: Column, b: Column) -> Column:
 
 def gemm_flops(dims: Column) -> Column:
     """FLOPs of the first pair of 2- or 3-dimensional shapes that multiply."""
-    m = F.filter(dims, lambda d: F.size(d).isin(2, 3))
-    found = F.flatten(F.transform(m, lambda a, i: F.transform(F.filter(m, lambda b, j: j > i), lambda b: pair_flops(a, b))))
-    return F.when(F.size(dims) >= 2, F.get(F.filter(found, lambda x: x.isNotNull()), 0))
+
+    def first_pair(m: Column) -> Column:
+        found = F.flatten(F.transform(m, lambda a, i: F.transform(F.filter(m, lambda b, j: j > i), lambda b: pair_flops(a, b))))
+        return F.get(F.filter(found, lambda x: x.isNotNull()), 0)
+
+    return once(dims, lambda every: F.when(F.size(every) >= 2, once(F.filter(every, lambda d: F.size(d).isin(2, 3)), first_pair)))
 
 
 def attention_flops(dims: Column, name: Column) -> Column:
     """2*Sq*Skv*H*(dqk+dv) of an attention kernel; null where the shapes don't tell."""
-    three = F.filter(dims, lambda d: F.size(d) == 3)
 
     def at(x: Column, k: int) -> Column:
         return F.get(x, k)
@@ -50,33 +59,46 @@ def attention_flops(dims: Column, name: Column) -> Column:
     qk = F.regexp_extract(name, QH_VH, 1).try_cast("bigint")
     v = F.regexp_extract(name, QH_VH, 2).try_cast("bigint")
     hd = F.regexp_extract(name, HD, 1).try_cast("bigint")
-    d_qk, d_v = F.coalesce(qk, hd), F.coalesce(v, hd)
-    # Head counts, most tensors first, then in order of first sight.
-    heads = F.array_distinct(F.transform(three, lambda t: at(t, 1)))
-    ranked = F.transform(
-        F.array_sort(F.transform(heads, lambda h, i: F.struct((-F.size(F.filter(three, lambda t: at(t, 1) == h))).alias("n"), i.alias("i"), h.alias("h")))),
-        lambda s: s["h"],
-    )
-
-    def of_group(h: Column) -> Column:
-        group = F.filter(three, lambda t: at(t, 1) == h)
-        width = h.cast("double")
-        named = F.filter(group, lambda t: at(t, 2) == d_qk)
+    widths = F.struct(F.coalesce(qk, hd).alias("qk"), F.coalesce(v, hd).alias("v"))
+
+    def ranked(three: Column) -> Column:
+        """Head counts, most tensors first, then in order of first sight."""
+        heads = F.array_distinct(F.transform(three, lambda t: at(t, 1)))
+        return F.transform(
+            F.array_sort(F.transform(heads, lambda h, i: F.struct((-F.size(F.filter(three, lambda t: at(t, 1) == h))).alias("n"), i.alias("i"), h.alias("h")))),
+            lambda s: s["h"],
+        )
+
+    def width_sum(g: Column) -> Column:
+        d = F.sort_array(F.array_distinct(F.transform(g, lambda t: at(t, 2).cast("double"))), False)
+        return once(d, lambda d: F.when(F.size(d) == 1, 2 * F.get(d, 0)).otherwise(F.get(d, 0) + F.get(d, 1)))
+
+    def by_name(named: Column, width: Column, w: Column) -> Column:
         seq = F.transform(named, lambda t: at(t, 0).cast("double"))
-        by_name = F.when(F.size(named) >= 2, 2 * F.array_max(seq) * F.array_min(seq) * width * (d_qk + d_v))
+        return F.when(F.size(named) >= 2, once(seq, lambda q: 2 * F.array_max(q) * F.array_min(q) * width * (w["qk"] + w["v"])))
+
+    def by_shape(group: Column, width: Column) -> Column:
+        def of(x: Column) -> Column:
+            same = F.filter(group, lambda t: at(t, 0) == x["most"])
+            return F.when(F.size(same) >= 2, 2 * x["most"] * x["most"] * width * width_sum(same)).when(x["least"] < x["most"], 2 * x["least"] * x["most"] * width * width_sum(group))
+
         seqs = F.transform(group, lambda t: at(t, 0).cast("double"))
-        most, least = F.array_max(seqs), F.array_min(seqs)
-        same = F.filter(group, lambda t: at(t, 0) == most)
+        return once(once(seqs, lambda q: F.struct(F.array_max(q).alias("most"), F.array_min(q).alias("least"))), of)
+
+    def of_group(three: Column, h: Column, w: Column) -> Column:
+        width = h.cast("double")
+
+        def of(group: Column) -> Column:
+            named = F.filter(group, lambda t: at(t, 2) == w["qk"])
+            return F.when(F.size(group) >= 2, F.when(w["qk"].isNotNull(), once(named, lambda g: by_name(g, width, w))).otherwise(by_shape(group, width)))
 
-        def width_sum(g: Column) -> Column:
-            d = F.sort_array(F.array_distinct(F.transform(g, lambda t: at(t, 2).cast("double"))), False)
-            return F.when(F.size(d) == 1, 2 * F.get(d, 0)).otherwise(F.get(d, 0) + F.get(d, 1))
+        return once(F.filter(three, lambda t: at(t, 1) == h), of)
 
-        shape = F.when(F.size(same) >= 2, 2 * most * most * width * width_sum(same)).when(least < most, 2 * least * most * width * width_sum(group))
-        return F.when(F.size(group) >= 2, F.when(d_qk.isNotNull(), by_name).otherwise(shape))
+    def of_shapes(three: Column) -> Column:
+        found = once(widths, lambda w: F.filter(F.transform(ranked(three), lambda h: of_group(three, h, w)), lambda x: x.isNotNull()))
+        return F.when(F.size(three) >= 2, F.get(found, 0))
 
-    found = F.filter(F.transform(ranked, of_group), lambda x: x.isNotNull())
-    return F.when(~name.rlike(ATTENTION_SKIP) & (F.size(three) >= 2), F.get(found, 0))
+    return F.when(~name.rlike(ATTENTION_SKIP), once(F.filter(dims, lambda d: F.size(d) == 3), of_shapes))
 
 
 def flops(dims: Column, category: Column, name: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from spanloom.functions import flops
 from spanloom.operators import viewer
 
 
@@ -18,3 +19,10 @@ def test_rounded(spark):
     df = spark.createDataFrame([(7.1499999999999995,), (-7.1499999999999995,), (2.25,), (0.0,), (1e308,), (float("inf"),), (float("nan"),), (None,)], "x double")
     got = [r[0] for r in df.select(rounded(F.col("x"), 1)).collect()]
     assert got[:6] == [7.2, -7.2, 2.3, 0.0, 1e308, float("inf")] and got[6] != got[6] and got[7] is None
+
+
+def test_shapes_are_parsed_once(spark):
+    df = spark.createDataFrame([("[[4,8,64],[100,8,64]]", "decode")], "dims string, name string")
+    for v in (flops.attention_flops(flops.parsed_dims(F.col("dims")), F.col("name")), flops.gemm_flops(flops.shaped(flops.parsed_dims(F.col("dims"))))):
+        plan = df.select(v.alias("v"))._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("from_json") == 1, plan.count("from_json")

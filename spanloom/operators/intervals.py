@@ -63,17 +63,18 @@ def deepest(points: DataFrame, intervals: DataFrame, keys: list[str], point_id:
 
 def as_of(points: DataFrame, markers: DataFrame, point_id: str, take: list[str], at: str = "ts", start: str = "s", end: str = "e", order: str | None = None) -> DataFrame:
     """Per point the columns of the last marker that starts at or before it (ties: last in
-    ``order``), null unless the point is within that marker.  Rows of points and
-    markers meet in one sort, so neither side is sent everywhere."""
+    ``order``), null unless the point is within that marker.  The distinct times of points and
+    markers meet in one sort per time slice, so rows of one time or slice are not gathered in a task."""
     fields = F.struct(F.col(start).alias("_s"), (F.col(order) if order else F.lit(0)).alias("_o"), F.col(end).alias("_e"), *take)
     width = 1 << 20
-    m = markers.select(F.lit(1).alias("_z"), F.floor(F.col(start) / width).alias("_w"), F.col(start).alias("_t"), F.lit(0).alias("_k"), F.lit(None).cast(dict(points.dtypes)[point_id]).alias(point_id), fields.alias("_m"))
-    p = points.select(F.lit(1).alias("_z"), F.floor(F.col(at) / width).alias("_w"), F.col(at).cast(dict(m.dtypes)["_t"]).alias("_t"), F.lit(1).alias("_k"), F.col(point_id), F.lit(None).cast(m.schema["_m"].dataType).alias("_m"))
+    m = markers.where(F.col(start).isNotNull()).groupBy(F.col(start).alias("_t")).agg(F.max(fields).alias("_m")).withColumn("_k", F.lit(0)).withColumn("_at", F.lit(None).cast(dict(points.dtypes)[at]))
+    p = points.select(F.col(at).alias("_at")).where("_at is not null").distinct().select(F.col("_at").alias("_t"), F.lit(None).cast(m.schema["_m"].dataType).alias("_m"), F.lit(1).alias("_k"), "_at")
+    every = m.select("_t", "_m", "_k", "_at").union(p).withColumn("_w", F.floor(F.col("_t") / width))
     # The last marker of each time slice, carried to later slices: one row per slice.
-    slices = m.groupBy("_w").agg(F.max("_m").alias("_top"))
-    before = slices.join(points.select(F.floor(F.col(at) / width).alias("_w")).distinct(), "_w", "full")
-    carried = before.withColumn("_carry", F.max("_top").over(W.orderBy("_w").rowsBetween(W.unboundedPreceding, -1))).select("_w", "_carry")
+    slices = every.groupBy("_w").agg(F.max("_m").alias("_top"))
+    carried = slices.select("_w", F.max("_top").over(W.orderBy("_w").rowsBetween(W.unboundedPreceding, -1)).alias("_carry"))
     own = F.max("_m").over(W.partitionBy("_w").orderBy("_t", "_k").rowsBetween(W.unboundedPreceding, 0))
-    found = m.union(p).withColumn("_own", own).where("_k = 1").join(carried, "_w", "left").withColumn("_f", F.coalesce("_own", "_carry"))
+    found = every.withColumn("_own", own).where("_k = 1").join(carried, "_w", "left").select("_at", "_t", F.coalesce("_own", "_carry").alias("_f"))
     ok = F.col("_t") <= F.col("_f._e")
-    return found.select(point_id, *[F.when(ok, F.col(f"_f.{c}")).alias(c) for c in take])
+    hits = found.where(ok).select("_at", *[F.col(f"_f.{c}").alias(f"_m_{c}") for c in take])
+    return points.select(point_id, F.col(at).alias("_at")).join(hits, "_at", "left").select(point_id, *[F.col(f"_m_{c}").alias(c) for c in take])

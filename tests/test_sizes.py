@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from spanloom.functions import flops
-from spanloom.operators import viewer
+from spanloom.operators import phases, viewer
 
 
 def test_percent_rounds_halves_as_sql(spark):
@@ -26,3 +26,25 @@ def test_shapes_are_parsed_once(spark):
     for v in (flops.attention_flops(flops.parsed_dims(F.col("dims")), F.col("name")), flops.gemm_flops(flops.shaped(flops.parsed_dims(F.col("dims"))))):
         plan = df.select(v.alias("v"))._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("from_json") == 1, plan.count("from_json")
+
+
+def below(plan, stop):
+    """Whether a leaf is reached from a plan's node on a way without a node of that name."""
+    kids = [plan.children().apply(i) for i in range(plan.children().size())]
+    return plan.nodeName() != stop and (not kids or any(below(k, stop) for k in kids))
+
+
+def nodes_of(plan, name):
+    kids = [plan.children().apply(i) for i in range(plan.children().size())]
+    return [*([plan] if plan.nodeName() == name else []), *(n for k in kids for n in nodes_of(k, name))]
+
+
+def test_as_of_sorts_times_and_not_points(spark):
+    marks = spark.createDataFrame([(10, 20, "prefill", 0), (12, 14, "decode", 1)], "s long, e long, phase string, seq long")
+    pts = spark.range(4000).select(F.col("id").alias("node_id"), (F.col("id") % 4 * 5 + 5.5).alias("ts"))
+    df = phases.start_phase(pts, marks)
+    got = {(r["node_id"] % 4, r["phase"]) for r in df.collect()}
+    # 20.5 lies after the end, though its whole part doesn't.
+    assert got == {(0, None), (1, "prefill"), (2, None), (3, None)} and df.count() == 4000
+    windows = nodes_of(df._jdf.queryExecution().optimizedPlan(), "Window")
+    assert windows and not any(below(w, "Aggregate") for w in windows)

@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 from spanloom.functions import flops
 from spanloom.operators import phases, viewer
 
+DIR = "/root/testdata/sf0.001"
+
 
 def test_percent_rounds_halves_as_sql(spark):
     nodes = spark.createDataFrame([(1, None, "M"), (2, 1, "L")], "node_id long, parent_id long, module_type string")
@@ -48,3 +50,22 @@ def test_as_of_sorts_times_and_not_points(spark):
     assert got == {(0, None), (1, "prefill"), (2, None), (3, None)} and df.count() == 4000
     windows = nodes_of(df._jdf.queryExecution().optimizedPlan(), "Window")
     assert windows and not any(below(w, "Aggregate") for w in windows)
+
+
+def test_rows_are_dealt_to_more_parts_with_the_size(spark, tmp_path, monkeypatch):
+    from spanloom import derive
+
+    t = derive.Trace(spark, DIR)
+    monkeypatch.setattr(derive, "PART_BYTES", 10_000)
+    assert t.details().rdd.getNumPartitions() >= 10  # the file of lineitem has over 100 kB
+
+
+def test_names_are_made_without_the_kernels(spark):
+    from spanloom import derive
+    from spanloom.functions.classify import classified
+
+    t = derive.Trace(spark, DIR)
+    got = {(r["name"], r["category"]) for r in t.details().select("name", "category").distinct().collect()}
+    assert got == {(r["name"], r["category"]) for r in classified(t.kernels().select("name").distinct()).collect()}
+    scans = nodes_of(t.details()._jdf.queryExecution().optimizedPlan(), "Window")
+    assert len(scans) == 2  # places of lines and of orders, once each

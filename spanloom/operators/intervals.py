@@ -49,11 +49,12 @@ def deepest(points: DataFrame, intervals: DataFrame, keys: list[str], point_id:
     if window is not None:
         w = W.partitionBy(*keys).orderBy(F.col(start), F.col(end).desc(), *tie)
         spans = intervals.withColumn("_rn", F.row_number().over(w))
-        starts = spans.select(*keys, F.col(start).alias("_t"), F.lit(None).cast("string").alias("_p"), F.col("_rn"))
-        marks = points.select(*keys, F.col(at).alias("_t"), F.col(point_id).cast("string").alias("_p"), F.lit(None).cast("int").alias("_rn"))
+        # Points and starts of a key meet in one sort; each point takes the number of the last start with it.
+        row = F.struct(*points.columns)
+        starts = spans.select(*keys, F.col(start).alias("_t"), F.lit(None).cast(points.select(row.alias("p")).schema["p"].dataType).alias("_p"), F.col("_rn"))
+        marks = points.where(F.col(point_id).isNotNull()).select(*keys, F.col(at).alias("_t"), row.alias("_p"), F.lit(None).cast("int").alias("_rn"))
         upto = W.partitionBy(*keys).orderBy("_t", F.col("_p").isNotNull()).rowsBetween(W.unboundedPreceding, 0)
-        last = starts.union(marks).withColumn("_last", F.max("_rn").over(upto)).where("_p is not null").select(F.col("_p"), "_last").distinct()
-        pts = points.join(last, F.col(point_id).cast("string") == F.col("_p")).drop("_p")
+        pts = starts.union(marks).withColumn("_last", F.max("_rn").over(upto)).where("_p is not null").select("_p.*", "_last")
     pairs = enclosing(pts, spans, keys, at, start, end)
     if window is not None:
         pairs = pairs.where(f"_rn > _last - {window} and _rn <= _last")

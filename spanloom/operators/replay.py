@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from spanloom.functions.classify import graph_kind
+from spanloom.operators.kept import keep
 
 
 def segments(kernels: DataFrame, keys: list[str], order: str = "pos", kind: str = "kind") -> DataFrame:
@@ -65,17 +66,32 @@ def layers(kernels: DataFrame, shape: DataFrame) -> DataFrame:
     return k.join(t, "size").where("pos >= lo and pos < hi").drop("lo", "hi")
 
 
+def numbered(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """Adds ordinal: the place from 0 among the rows of a key.  Rows are sorted in ranges; a
+    range's first place comes from the sizes of those before it, so no task sorts a whole key."""
+    r = rows.repartitionByRange(key, *order).sortWithinPartitions(key, *order)
+    r = keep(r.withColumn("_id", F.monotonically_increasing_id()))
+    part = F.shiftright("_id", 33)  # the number of the range
+    sizes = r.groupBy(F.col(key).alias("_key"), part.alias("_part")).agg(F.count("*").alias("_n"), F.min("_id").alias("_first"))
+    before = F.coalesce(F.sum("_n").over(W.partitionBy("_key").orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.select("_key", "_part", (before - F.col("_first")).alias("_shift"))  # a row per key and range
+    j = r.join(F.broadcast(sizes), F.col("_key").eqNullSafe(F.col(key)) & (part == F.col("_part")))
+    return j.select(*rows.columns, (F.col("_id") + F.col("_shift")).alias("ordinal"))
+
+
 def replays(kernels: DataFrame, shape: DataFrame) -> DataFrame:
     """Per replay: size, layers, kind (target, draft), name and ordinal among its kind.
     A target has at least half of the most layers, and two."""
     n = shape.groupBy("size").agg(F.count("*").alias("layers"))
-    r = kernels.groupBy("correlation").agg(F.count("*").alias("size"), F.min("ts").alias("ts"), F.max(F.col("ts") + F.col("dur")).alias("end")).join(n, "size")
-    least = F.greatest(F.floor(F.max("layers").over(W.partitionBy(F.lit(0))) / 2), F.lit(2))
-    r = r.withColumn("target", F.col("layers") >= least)
+    r = kernels.groupBy("correlation").agg(F.count("*").alias("size"), F.min("ts").alias("ts"), F.max(F.col("ts") + F.col("dur")).alias("end"))
+    # A row per kernel count, of which N kernels have at most the root of 2N.
+    s = r.select("size").distinct().join(n, "size")
     one = W.partitionBy(F.lit(0))
+    least = F.greatest(F.floor(F.max("layers").over(one) / 2), F.lit(2))
+    s = s.withColumn("target", F.col("layers") >= least)
     both = F.max("target").over(one) & ~F.min("target").over(one)
-    kind = F.when(F.col("target"), "target").otherwise("draft")
-    r = r.withColumn("kind", F.when(both, kind).otherwise("all")).withColumn("ordinal", F.row_number().over(W.partitionBy("kind").orderBy("ts", "correlation")) - 1)
+    s = s.withColumn("kind", F.when(both, F.when(F.col("target"), "target").otherwise("draft")).otherwise("all"))
+    r = numbered(r.join(F.broadcast(s), "size"), "kind", ["ts", "correlation"]).withColumn("ordinal", F.col("ordinal").cast("int"))
     stem = F.when(F.col("kind") == "target", "CudaGraphReplay_target_").when(F.col("kind") == "draft", "CudaGraphReplay_draft_").otherwise("CudaGraphReplay_")
     return r.select("correlation", "size", "layers", "target", "kind", "ordinal", F.concat(stem, F.col("ordinal").cast("string")).alias("name"), "ts", "end")
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 import argparse
 import os
 import sys
-import tempfile
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -14,21 +13,10 @@ from pyspark.sql import functions as F
 
 from spanloom.functions import classify, text
 from spanloom.operators import correlate, diff, phases, replay, report, rollup, score, tree, viewer, whatif
+from spanloom.operators.kept import keep
 from spanloom.sources import sinks, trace
 
 
-def keep(df: DataFrame) -> DataFrame:
-    """Computed once and cut from its lineage, in the folder of spark.checkpoint.dir (one of
-    its own only where none is set and all runs in one process)."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not shared and not (sc.master or "").startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spanloom-"))
-    return df.checkpoint()
-
-
 def in_preorder(nodes: DataFrame) -> DataFrame:
     """Adds preorder: threads as first seen, then time; graph replays and their layers last.
     Numbers grow along the order and have gaps."""

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from spanloom.functions import flops
 from spanloom.operators import rollup
+from spanloom.operators.kept import keep
 
 TAB_ROWS, TREE_ROWS, TREE_DEPTH, OVERVIEW_DEPTH, SELF_SHARE = 1000, 5000, 3, 5, 0.5
 
@@ -23,31 +24,38 @@ def module_tree(nodes: DataFrame, depths: DataFrame, totals: DataFrame, breakdow
     return out.select("preorder", "node_id", "depth", "name", "total_us", "total_count", F.coalesce("breakdown", F.lit("")).alias("breakdown"), F.coalesce("phase", F.lit("")).alias("phase")).orderBy("preorder").limit(limit)
 
 
-def overview(nodes: DataFrame, ancestors: DataFrame, totals: DataFrame, selfs: DataFrame, reps: DataFrame) -> DataFrame:
+def overview(nodes: DataFrame, ancestors: DataFrame, totals: DataFrame, selfs: DataFrame, reps: DataFrame | None = None) -> DataFrame:
     """Hierarchy of types by root type: statistics over all instances of a type below the
     root type, percent from the representative (the instance 1, else the first).  path, module_type, depth,
-    count, mean/std/min/max/total, pct, top_kernel."""
+    count, mean/std/min/max/total, pct, top_kernel (where the representatives' kernels are given)."""
     t = nodes.join(totals, "node_id").join(selfs, "node_id", "left").fillna({"self_us": 0})
-    grand = t.where("parent_id is null").agg(F.sum("total_us").alias("g"))
     root_of = ancestors.join(nodes.where("parent_id is null").select(F.col("node_id").alias("ancestor"), F.col("module_type").alias("root_type")), "ancestor").select(F.col("node").alias("node_id"), "root_type")
-    t = t.join(root_of, "node_id")
+    t = keep(t.join(root_of, "node_id"))
     stats = t.groupBy("root_type", "module_type").agg(F.count("*").alias("count"), F.avg("total_us").alias("mean_us"), F.coalesce(F.stddev_samp("total_us"), F.lit(0.0)).alias("std_us"), F.min("total_us").alias("min_us"), F.max("total_us").alias("max_us"), F.sum("total_us").alias("sum_us"))
     first = F.min_by(F.struct("node_id", "total_us", "self_us"), F.struct((F.col("instance_id") != 1).alias("a"), F.col("preorder").alias("b")))
     roots = t.where("parent_id is null")
+    grand = roots.agg(F.sum("total_us").alias("g"))
     level = roots.groupBy("root_type", "module_type").agg(first.alias("f"), F.sum("total_us").alias("all_us")).crossJoin(F.broadcast(grand)).select("root_type", "module_type", F.col("module_type").alias("path"), "f.*", (F.col("all_us") / F.col("g") * 100).alias("pct"))  # one row: the grand total
+    level = keep(level)  # levels have a row per path
     out = level.select("root_type", "module_type", "path", F.lit(0).alias("depth"), "node_id", "pct")
     kids = t.where("parent_id is not null").select("parent_id", F.col("module_type").alias("kid_type"), "instance_id", "preorder", F.col("node_id").alias("kid"), F.col("total_us").alias("kid_total"), F.col("self_us").alias("kid_self"))
     pick = F.min_by(F.struct(F.col("kid").alias("node_id"), F.col("kid_total").alias("total_us"), F.col("kid_self").alias("self_us")), F.struct((F.col("instance_id") != 1).alias("a"), F.col("preorder").alias("b")))
     for d in range(1, OVERVIEW_DEPTH + 1):
-        own = level.where((F.col("total_us") > 0) & (F.col("self_us") / F.col("total_us") * 100 >= SELF_SHARE)).join(kids.select(F.col("parent_id").alias("node_id")).distinct(), "node_id", "left_semi")
+        at = F.broadcast(level.select("root_type", "path", F.col("node_id").alias("parent_id"), F.col("total_us").alias("up")))
+        j = kids.join(at, "parent_id")
+        parents = keep(j.select(F.col("parent_id").alias("node_id")).distinct())
+        own = level.where((F.col("total_us") > 0) & (F.col("self_us") / F.col("total_us") * 100 >= SELF_SHARE)).join(parents, "node_id", "left_semi")
         out = out.unionByName(own.select("root_type", F.lit("(self)").alias("module_type"), F.concat("path", F.lit("/(self)")).alias("path"), F.lit(d).alias("depth"), "node_id", (F.col("self_us") / F.col("total_us") * 100).alias("pct")))
-        j = level.select("root_type", "path", F.col("node_id").alias("parent_id"), F.col("total_us").alias("up")).join(kids, "parent_id")
         level = j.groupBy("root_type", "path", "kid_type", "up").agg(pick.alias("f"), F.sum("kid_total").alias("us"))
         level = level.select("root_type", F.col("kid_type").alias("module_type"), F.concat("path", F.lit("/"), "kid_type").alias("path"), "f.*", F.when(F.col("up") > 0, F.col("us") / F.col("up") * 100).otherwise(0.0).alias("pct"))
+        level = keep(level)
         if level.isEmpty():
             break
         out = out.unionByName(level.select("root_type", "module_type", "path", F.lit(d).alias("depth"), "node_id", "pct"))
-    return out.join(stats, ["root_type", "module_type"], "left").join(reps.withColumnRenamed("rep_kernel", "top_kernel"), "node_id", "left").drop("node_id")
+    out = out.join(stats, ["root_type", "module_type"], "left")
+    if reps is not None:
+        out = out.join(reps.withColumnRenamed("rep_kernel", "top_kernel"), "node_id", "left")
+    return out.drop("node_id")
 
 
 def detail_representatives(nodes: DataFrame, phases: DataFrame, signed: DataFrame) -> DataFrame:

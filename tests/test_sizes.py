@@ -69,3 +69,46 @@ def test_names_are_made_without_the_kernels(spark):
     assert got == {(r["name"], r["category"]) for r in classified(t.kernels().select("name").distinct()).collect()}
     scans = nodes_of(t.details()._jdf.queryExecution().optimizedPlan(), "Window")
     assert len(scans) == 2  # places of lines and of orders, once each
+
+
+def scans(df, column):
+    """How often the plan reads a table with that column."""
+    return sum(column in n.toString() for n in nodes_of(df._jdf.queryExecution().optimizedPlan(), "LogicalRelation"))
+
+
+def test_windowed_points_are_not_joined_by_their_id(spark):
+    from spanloom.operators import intervals
+
+    pts = spark.createDataFrame([("t", i, 10 * i + 5) for i in range(20)] + [("t", None, 7)], "thread string, p long, ts long")
+    iv = spark.createDataFrame([("t", i, 10 * i, 10 * i + 30) for i in range(20)], "thread string, node_id long, s long, e long")
+    df = intervals.deepest(pts, iv, ["thread"], "p", ["node_id"], order="node_id", window=2)
+    assert {r["p"]: r["node_id"] for r in df.collect()} == {i: max(i - 1, 0) for i in range(20)}
+    assert len(nodes_of(df._jdf.queryExecution().optimizedPlan(), "Join")) == 1
+
+
+def test_replays_are_numbered_without_one_window(spark):
+    from spanloom.operators import replay
+
+    rows = [(i, "ab"[i % 3 == 0], i * 7 % 5) for i in range(500)]
+    got = {r["i"]: r["ordinal"] for r in replay.numbered(spark.createDataFrame(rows, "i long, kind string, ts long").repartition(7), "kind", ["ts", "i"]).collect()}
+    want = {i: k for kind in "ab" for k, (_, i) in enumerate(sorted((t, i) for i, x, t in rows if x == kind))}
+    assert got == want
+
+
+def test_kernels_are_made_once(spark):
+    from spanloom import catalog, derive
+
+    t = derive.Trace(spark, DIR)
+    assert scans(t.launches(), "l_quantity") == scans(t.kernels(), "l_quantity") == 1
+    for df in (catalog._deltas(t), *(catalog.QUERIES[q](spark, DIR) for q in ("tab_comparison", "module_category_time"))):
+        assert scans(df, "l_quantity") == 0  # sums of one pass are kept
+
+
+def test_overview_without_top_kernels(spark):
+    from spanloom.operators import report, rollup, tree
+
+    nodes = spark.createDataFrame([(1, None, "M", 1, 0), (2, 1, "L", 1, 1)], "node_id long, parent_id long, module_type string, instance_id long, preorder long")
+    selfs = spark.createDataFrame([(2, 5, 1)], "node_id long, self_us long, self_count long")
+    up = tree.closure(nodes)
+    o = report.overview(nodes, up, rollup.inclusive(selfs, up, nodes), selfs)
+    assert "top_kernel" not in o.columns and {r["path"]: r["pct"] for r in o.collect()} == {"M": 100.0, "M/L": 100.0}
